@@ -41,5 +41,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeat_digests
+
+    return repeat_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup)}
 ORACLES: dict[str, str] = {}
