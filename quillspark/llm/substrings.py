@@ -77,11 +77,12 @@ def rolling(hashes: np.ndarray, k: int, which: int) -> np.ndarray:
 
 
 class Batch:
-    """The words of some texts with their hashes."""
+    """The words of some texts with their hashes; folded, words that differ in the case of A-Z have one hash."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, folded: bool = False) -> None:
         self.codes, self.offsets, self.words = split_words(texts)
-        told = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode()) for w in self.words]), dtype=np.uint64).reshape(-1, 2)
+        raw = [w.encode().lower() for w in self.words] if folded else [w.encode() for w in self.words]
+        told = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), dtype=np.uint64).reshape(-1, 2)
         self.hashes = (told[self.codes, 0], told[self.codes, 1]) if len(told) else (np.zeros(0, np.uint64),) * 2
         size = np.diff(self.offsets)
         self.start = np.repeat(self.offsets[:-1], size)
