@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, read
+from .maxscore import ORACLE as MAX_SCORE_SQL
+from .substrings import ORACLE as SUBSTRING_SQL
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -53,5 +55,23 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op8_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op10_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import neighbours
+
+    return neighbours(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup, op8_max_score, op9_html_extraction, op10_vantage_point)}
+ORACLES = {"op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL}

@@ -348,3 +348,25 @@ def repeat_digests(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     done = remove_repeats(docs.select("doc_id", "text"), window)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), p as (
+  select doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) as win
+  from (select doc_id, words, unnest(range(1, len(words) - 33)) as i from w where len(words) >= 35)
+), twice as (
+  select doc_id, i from p where win in (select win from p group by win having count(*) > 1)
+), gone as (
+  select doc_id, list(distinct i + j) as places from twice, unnest(range(35)) as t(j) group by doc_id
+), kept as (
+  select w.doc_id, len(words) as n_words, coalesce(len(places), 0) as n_removed,
+         case when places is null then words
+              else list_transform(list_filter(range(1, len(words) + 1), lambda k: not list_contains(places, k)), lambda k: words[k]) end as rest
+  from w left join gone on w.doc_id = gone.doc_id
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed,
+       sha256(coalesce(array_to_string(rest, ' '), '')) as kept_sha256
+from kept
+"""

@@ -292,6 +292,24 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, SCHEMA)
 
 
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text scores below CUT; rows without text stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                codes, offsets, distinct = split_words(texts_of(part))
+                words = words_of(distinct, model.settings.buckets)
+                score = model.scores(model.logits(codes, offsets, words), guess_languages(codes, offsets, words))
+                yield pa.record_batch([as_array(part.column("row")).filter(pa.array((score < CUT) | (np.diff(offsets) == 0)))], names=["row"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.select("row", F.col("row.text").alias("text")).mapInArrow(run, rows.schema)
+    return kept.select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Train on the labelled sample and score all documents."""
     settings = settings or Settings()
