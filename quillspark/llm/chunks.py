@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a worker: Spark's tasks are the parallelism
 
+#: The most chunks whose ids a worker remembers from one slice to the next.
+MEMO = 300_000
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -80,6 +83,7 @@ class LibraryEncoder:
         steps = (told["normalizer"] or {}).get("normalizers", [])
         self.lower = any(s["type"] == "Lowercase" for s in steps)
         self.spaced = not steps  # a space before a word is part of its token
+        self.known: dict[str, bytes] = {}
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.marks = {c: [t.id for t in self.model.tokenize(c)] for c in ".,;:!?"}
 
@@ -100,20 +104,36 @@ class LibraryEncoder:
 
     def __call__(self, chunks: list[str], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after another, and how many each has; only chunks that are used are encoded."""
-        got: list[list[int]] = [[]] * len(chunks)
-        rest = []
+        got: list[bytes] = [b""] * len(chunks)
+        rest, known = [], self.known
         for i in np.flatnonzero(used).tolist():
-            ids = self.plain(chunks[i])
-            if ids is None:
-                rest.append(i)
-            else:
-                got[i] = ids
+            chunk = chunks[i]
+            held = known.get(chunk)
+            if held is None:
+                ids = self.plain(chunk)
+                if ids is None:
+                    rest.append(i)
+                    continue
+                held = array("i", ids).tobytes()
+                if len(known) < MEMO:
+                    known[chunk] = held
+            got[i] = held
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                got[i] = e.ids
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum())), lengths
+                got[i] = held = array("i", e.ids).tobytes()
+                if len(known) < MEMO and len(chunks[i]) < 64:
+                    known[chunks[i]] = held
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        return np.frombuffer(b"".join(got), dtype=np.int32), lengths
+
+
+_ENCODERS: dict[int, LibraryEncoder] = {}
+
+
+def encoder_of(spec: str) -> LibraryEncoder:
+    """One encoder a worker and vocabulary, with the chunks that it has met."""
+    return _ENCODERS.get(hash(spec)) or _ENCODERS.setdefault(hash(spec), LibraryEncoder(spec))
 
 
 def encoded(texts: pa.Array, encoder: Callable, specials: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -118,9 +118,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        from .chunks import LibraryEncoder, encoded
+        from .chunks import encoded, encoder_of
 
-        encoder = LibraryEncoder(spec.value)
+        encoder = encoder_of(spec.value)
         for batch in batches:
             for part in slices(batch):
                 ids, at = encoded(texts_of(part), encoder, encoder.specials)

@@ -180,9 +180,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        from .chunks import LibraryEncoder, encoded
+        from .chunks import encoded, encoder_of
 
-        encoder = LibraryEncoder(spec.value)
+        encoder = encoder_of(spec.value)
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         part, k = TaskContext.get().partitionId(), 0
@@ -246,7 +246,7 @@ def read_token_files(index: DataFrame, path: str) -> DataFrame:
                     i = j
                 yield pa.record_batch([pa.array(told.doc_ids, pa.int64()), pa.array(starts + base), pa.array(told.counts), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(run, ROWS)
+    return files.repartition(max(1, index.count()), "path").mapInArrow(run, ROWS)
 
 
 def decode_token_files(index: DataFrame, path: str) -> DataFrame:
@@ -265,7 +265,7 @@ def decode_token_files(index: DataFrame, path: str) -> DataFrame:
                     at = np.concatenate([[0], np.cumsum(n)])
                     yield pa.record_batch([pa.array(told.doc_ids[i : i + 256], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
 
-    return index.select("path").repartition("path").mapInArrow(run, "doc_id long, ids array<long>")
+    return index.select("path").repartition(max(1, index.count()), "path").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
