@@ -6,7 +6,7 @@ one symbol of some chunk; so each chunk is indexed once for each symbol that may
 pairs within BOUND share an entry. At similarity 0.8 a pair shares none with probability under 2e-6.
 
 Documents with equal sets are one class from the start. In every entry the members are compared with its smallest one, on
-their full sets; a member that is found to differ is compared with the entry's other members of other components as well.
+their full sets; members that are found to differ are compared with the other members of that smallest one's entries, in tiles.
 So a large group of copies costs a comparison or so a member, and no link between different texts is lost to that.
 """
 
@@ -24,6 +24,8 @@ SYMBOLS, CHUNK = 50, 5
 CHUNKS = SYMBOLS // CHUNK
 #: The largest signature distance at which every pair is found.
 BOUND = 2 * CHUNKS - 1
+#: Documents in a block of a tile.
+BLOCK = 384
 _SETS = "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary"
 _ODD = (mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 _SALT = mixed(np.arange(1000, 1000 + CHUNKS * CHUNK, dtype=np.uint64)).reshape(CHUNKS, CHUNK)
@@ -134,6 +136,60 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, total: int)
     return texts.select("grp", "node", "hub", "text").groupBy("grp").applyInArrow(_compare(k, percent), "a long, b long")
 
 
+def _compare_tiles(k: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(texts_of(table), k)
+        marks = signatures(sets).reshape(len(sets), CHUNKS, CHUNK)
+        nodes, labels = table.column("node").to_numpy(), table.column("component").to_numpy()
+        first = table.column("first").combine_chunks().to_numpy(zero_copy_only=False)
+        size = np.array([len(s) for s in sets])
+        tiles: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("hub", "x", "y")))):
+            tiles.setdefault(key, []).append(i)
+        found = set()
+        for (_, x, y), at_ in tiles.items():
+            at = np.array(at_)
+            left, right = (at, at) if x == y else (at[first[at]], at[~first[at]])
+            for i in left.tolist():
+                other = right[(labels[right] != labels[i]) & (nodes[right] > nodes[i] if x == y else True)]
+                other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+                if len(other):  # in some chunk at most one symbol differs: they share an entry
+                    other = other[((marks[other] == marks[i]).sum(axis=2) >= CHUNK - 1).any(axis=1)]
+                for j in other.tolist():
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        found.add((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def compare_strangers(docs: DataFrame, pairs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among the members of a hub's entries that are in other components than the hub, and of these to the rest.
+
+    The first kind ("out") and the second ("in") are cut into blocks of BLOCK documents; a tile has one block of the first
+    kind and another of either, so a task sees two blocks at most, and members of the hub's own component, which may be very
+    many, are never compared with each other.
+    """
+    label = written(found, "found")
+    told = pairs.select("a", "hub").join(label.select(F.col("node").alias("a"), F.col("component").alias("c")), "a", "left")
+    told = told.join(label.select(F.col("node").alias("hub"), F.col("component").alias("h")), "hub", "left")
+    told = written(told.select("hub", "a", F.coalesce("c", "a").alias("component"), (F.coalesce("c", "a") != F.coalesce("h", "hub")).alias("out")), "told")
+    many = told.groupBy("hub").agg(F.count(F.when(F.col("out"), 1)).alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0 and n > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    many = written(many.select("hub", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n") - F.col("n_out")).alias("ins")), "strange")
+    rows = told.join(many, "hub").withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("a"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("a"), F.col("ins"))).cast("int"))
+    # a tile is (x, y): x an out block, y the same, a later out block or an in block
+    last = F.when(F.col("out"), F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
+    rows = rows.withColumn("z", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumn("x", F.least("own", "z")).withColumn("y", F.greatest("own", "z")).withColumn("first", F.col("own") == F.col("x"))
+    rows = written(rows.select(F.col("a").alias("node"), "component", "hub", "x", "y", "first"), "tiles")
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("hub", "x", "y"), F.lit(max(1, rows.count() // 256))))
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
+    return texts.groupBy("grp").applyInArrow(_compare_tiles(k, percent), "a long, b long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes that have a link: the smallest node that can be reached.
 
@@ -171,17 +227,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = written(met.groupBy("a", "hub").agg(F.max("n").alias("n")), "pairs")
     links = written(confirm(docs, pairs, shingle, percent, pairs.count()), "confirmed")
     found = components(links)
-    # members that are not like the hub of an entry: the entry's other members may be like them
-    apart = met.join(links.withColumnRenamed("b", "hub"), ["a", "hub"], "left_anti").where("n > 2").select("entry", "a", "hub")
-    label = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-    apart = apart.join(label("a"), "a", "left").withColumn("c_a", F.coalesce("c_a", "a"))
-    others = index.withColumnRenamed("node", "b").join(apart, "entry").where("a != b and b != hub")
-    others = others.join(label("b"), "b", "left").where("c_a != coalesce(c_b, b)")
-    more = written(others.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("hub"), F.lit(1).alias("n")).distinct(), "others")
-    if not more.isEmpty():
-        late = written(confirm(docs, more, shingle, percent, more.count()), "confirmed")
-        if not late.isEmpty():
-            found = components(links.unionByName(late))
+    late = written(compare_strangers(docs, pairs, found, shingle, percent), "late")
+    if not late.isEmpty():
+        found = components(links.unionByName(late))
     whole = nodes.select("fp1", "fp2", "node").join(found, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("component_id"))
     whole = written(whole, "classes")
     out = sets.select("doc_id", "n_shingles", "fp1", "fp2").join(whole, ["fp1", "fp2"], "left")
