@@ -132,7 +132,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, total: int)
     groups = F.pmod(F.xxhash64("hub", "parts", "part"), F.lit(max(1, total // 192))).alias("grp")
     dealt = dealt.select("a", "hub", groups)
     wanted = dealt.select(F.col("a").alias("node"), "hub", "grp").unionByName(dealt.select(F.col("hub").alias("node"), "hub", "grp").distinct())
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node")
     return texts.select("grp", "node", "hub", "text").groupBy("grp").applyInArrow(_compare(k, percent), "a long, b long")
 
 
@@ -186,7 +186,7 @@ def compare_strangers(docs: DataFrame, pairs: DataFrame, found: DataFrame, k: in
     rows = rows.withColumn("x", F.least("own", "z")).withColumn("y", F.greatest("own", "z")).withColumn("first", F.col("own") == F.col("x"))
     rows = written(rows.select(F.col("a").alias("node"), "component", "hub", "x", "y", "first"), "tiles")
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("hub", "x", "y"), F.lit(max(1, rows.count() // 256))))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dealt, "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dealt.hint("merge"), "node")
     return texts.groupBy("grp").applyInArrow(_compare_tiles(k, percent), "a long, b long")
 
 
