@@ -30,7 +30,7 @@ def pack_units(blocks: DataFrame, least: int = 1000, most: int = 1500, compat: b
         overflow = text & s["kind"].isNotNull() & (s["kind"] == x["kind"]) & over
         total = F.when(joins, s["total"] + x["n"]).otherwise(x["n"])
         full = F.lit(most > 0) & (total >= most)
-        ripe = joins & (total >= least) & (F.lit(most <= 0) | (total + x["n"] > most) | (total + x["n"] == most))
+        ripe = joins & (total >= least) & (F.lit(most <= 0) | (total + x["n"] >= most))
         closes = ~text | full | ripe | (overflow & F.lit(compat))
         unit = F.when(joins, s["unit"]).otherwise(s["unit"] + 1)
         return F.struct(unit.cast("int").alias("unit"), F.when(closes, none).otherwise(x["kind"]).alias("kind"), total.cast("int").alias("total"), F.concat(s["units"], F.array(unit.cast("int"))).alias("units"))

@@ -1,6 +1,298 @@
-"""All registered queries and the SQL that says the same."""
+"""All registered queries and the SQL that says the same.
+
+Tables hold no papers, so inputs for many operators are built from columns, by one expression that both Spark and SQL read.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import protect as P
+from quillspark.functions import text as X
+from quillspark.operators import glossary as G
+from quillspark.operators import pricing, tables, units
+from quillspark.sources import html as H
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as blocks: one paragraph a line, each seventh a heading."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("block_idx", "text"))
+    return lines.withColumn("kind", F.when(F.col("block_idx") % 7 == 6, "heading").otherwise("paragraph"))
+
+
+_BLOCKS = """
+with lines as (select doc_id, lang, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as block_idx from documents),
+blocks as (select *, case when block_idx % 7 = 6 then 'heading' else 'paragraph' end as kind from lines)
+"""
+
+
+@query(_BLOCKS + "select doc_id, block_idx, kind, cast(length(text) as bigint) as n from blocks")
+def doc_paragraph_blocks(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select("doc_id", "block_idx", "kind", F.length("text").cast("long").alias("n"))
+
+
+@query(
+    _BLOCKS.replace("with lines", "with recursive lines")
+    + r""", b as (select doc_id, lang, block_idx, kind, length(regexp_replace(text, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g')) as n from blocks),
+fold as (
+  select doc_id, lang, block_idx, n, 0 as unit, case when kind = 'paragraph' and n < 1500 then kind end as open, n as total from b where block_idx = 0
+  union all
+  select b.doc_id, b.lang, b.block_idx, b.n,
+    case when b.kind = f.open and f.total + b.n <= 1500 then f.unit else f.unit + 1 end,
+    case when b.kind <> 'paragraph' then null
+         when f.open is null then case when b.n < 1500 then b.kind end
+         when f.total + b.n > 1500 then null
+         when f.total + b.n >= 1500 or (f.total + b.n >= 1000 and f.total + b.n + b.n >= 1500) then null else b.kind end,
+    case when b.kind = f.open and f.total + b.n <= 1500 then f.total + b.n else b.n end
+  from fold f join b on b.doc_id = f.doc_id and b.block_idx = f.block_idx + 1
+), u as (select doc_id, lang, unit, count(*) as size, sum(n) as chars from fold group by all)
+select lang, count(*) as units, cast(sum(case when size > 1 then 1 else 0 end) as bigint) as merged, cast(sum(size) as bigint) as blocks, cast(sum(chars) as bigint) as chars from u group by lang"""
+)
+def unit_packing_stats(spark, sf_dir):
+    blocks = paragraphs(spark, sf_dir)
+    packed = units.pack_units(blocks)
+    per = packed.groupBy("doc_id", "lang", "unit_id").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length(X.strip(F.col("text")))).alias("chars"))
+    return per.groupBy("lang").agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("size") > 1).alias("merged"), F.sum("size").alias("blocks"), F.sum("chars").alias("chars"))
+
+
+_PAPER = "concat('https://arxiv.org/abs/', lpad(cast(p_partkey % 9999 as string), 4, '0'), '.', lpad(cast(p_size as string), 5, '0'), case when p_partkey % 3 = 0 then concat('v', cast(p_size % 5 + 1 as string)) else '' end)"
+
+
+@query(f"select p_partkey, regexp_extract({_PAPER}, '(\\d{{4}}\\.\\d{{4,5}}(v\\d+)?)', 1) as paper, regexp_replace(regexp_extract({_PAPER}, '(\\d{{4}}\\.\\d{{4,5}}(v\\d+)?)', 1), 'v\\d+$', '') as base from part")
+def arxiv_id_extract(spark, sf_dir):
+    paper = X.require_arxiv_id(F.expr(_PAPER))
+    return table(spark, sf_dir, "part").select("p_partkey", paper.alias("paper"), X.without_version(paper).alias("base"))
+
+
+@query("select o_custkey % 50 as paper, 'v' || max(o_orderkey % 12 + 1) as version from orders group by 1")
+def latest_version(spark, sf_dir):
+    v = (F.col("o_orderkey") % 12 + 1).alias("v")
+    links = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("paper"), v)
+    return links.groupBy("paper").agg(F.max_by(F.concat(F.lit("v"), F.col("v").cast("string")), "v").alias("version"))
+
+
+@query("select doc_id, 'https://www.bing.com/search?q=' || replace(lang || ' source ' || source, ' ', '%20') as url from documents")
+def search_url(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.search_url(F.concat_ws(" ", "lang", F.lit("source"), "source")).alias("url"))
+
+
+@query("""select doc_id, length(tex) <= 25 and not regexp_matches(tex, '\\\\(begin|aligned|sum|int|frac|prod|lim|displaystyle|choose|binom|cases|matrix)') as inline
+from (select doc_id, case doc_id % 3 when 0 then '\\frac{a}{' || n_chars || '}' when 1 then 'x_' || n_chars else repeat('y+', cast(n_chars % 20 as int)) || 'z' end as tex from documents)""")
+def inline_math_predicate(spark, sf_dir):
+    tex = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\\frac{a}{"), F.col("n_chars").cast("string"), F.lit("}"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x_"), F.col("n_chars").cast("string"))).otherwise(F.concat(F.expr("repeat('y+', cast(n_chars % 20 as int))"), F.lit("z")))
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_inline_math(tex).alias("inline"))
+
+
+_MIXED = "concat('使用A', lang, '方法', doc_id, '在', source, '上 ok')"
+
+
+@query(f"select doc_id, regexp_replace({_MIXED}, '([一-鿿])([A-Za-z0-9])|([A-Za-z0-9])([一-鿿])', '\\1\\3 \\2\\4', 'g') as spaced, regexp_matches({_MIXED}, '[一-鿿]') as cjk from documents")
+def cjk_spacing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.space_cjk(F.expr(_MIXED)).alias("spaced"), X.has_cjk(F.expr(_MIXED)).alias("cjk"))
+
+
+@query("""select doc_id, case when n = '' then 'paper' else n end as name from (
+  select doc_id, case when length(s) > 120 then regexp_replace(regexp_replace(substr(s, 1, 120), '[\\s\\p{Z}]+$', ''), '\\.+$', '') else s end as n from (
+    select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\p{C}', '', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '^\\.+|\\.+$', '', 'g'), '[\\s\\p{Z}]{2,}', ' ', 'g') as s
+    from (select doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, chr(92), '＼'), '/', '、'), ':', '：'), '*', '＊'), '?', '？'), '"', '”'), '<', '＜'), '>', '＞'), '|', '｜'), chr(10), ''), chr(13), ''), chr(9), '') as t from documents)))""")
+def safe_filename(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.safe_filename(F.col("text")).alias("name"))
+
+
+_CELL = "case p_partkey % 8 when 0 then p_type when 1 then cast(p_size as string) when 2 then 'ASR' when 3 then '$x_1$' when 4 then concat(p_brand, '-v2') when 5 then '<b>Qwen</b>' when 6 then '方法' else concat('**', p_type, ' rate**') end"
+
+
+@query("select p_partkey, p_partkey % 8 in (4, 7) or (p_partkey % 8 = 0 and not (not contains(p_type, ' ')) and not regexp_matches(p_type, '^[A-Z]{1,5}( [A-Z]{1,5})*$')) as translatable from part")
+def cell_translatable(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.is_cell_translatable(F.expr(_CELL)).alias("translatable"))
+
+
+@query("select doc_id, case doc_id % 4 when 0 then true when 1 then false when 2 then false else false end as heading from documents")
+def heading_plausible(spark, sf_dir):
+    said = F.expr("case doc_id % 4 when 0 then concat('方法 ', doc_id) when 1 then concat('method ', doc_id) when 2 then '我们认为这是一个很长的段落而不是标题内容' else repeat('句。', 5) end")
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_plausible_heading(said, F.concat(F.lit("Method "), F.col("doc_id").cast("string"))).alias("heading"))
+
+
+@query("select doc_id, unnest([lang, source, cast(doc_id as varchar)]) as part, unnest([0, 1, 2]) as pos from documents")
+def newpar_split(spark, sf_dir):
+    text = F.concat(F.col("lang"), F.lit("\n⟦NEWPAR⟧\n"), F.col("source"), F.lit("\n[ newpar ]"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.paragraph_parts(text)).alias("pos", "part"))
+
+
+@query("select doc_id, 'AB' || doc_id as en, 'Alpha Beta ' || lang as en_full from documents union all select doc_id, 'CD' || doc_id, 'Cee Dee ' || source from documents")
+def abbrev_defs(spark, sf_dir):
+    text = F.expr("concat('We use AB', doc_id, ' = Alpha Beta ', lang, ', and CD', doc_id, ' (Cee Dee ', source, '); XY: X.')")
+    return G.abbreviations(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "en", "en_full")
+
+
+_TERMS = "event_id as ord, user_id % 50 as doc_id, event_type as en, case when event_id % 11 = 0 then '<KEEP>' when event_id % 7 = 0 then '' else concat('译', event_id % 13) end as zh, case when event_id % 5 = 0 then concat('full', event_id % 17) else '' end as en_full, case when event_id % 9 = 0 then concat('note', event_id % 3) end as note"
+
+
+@query(f"""with e as (select {_TERMS} from events), k as (select * from e where zh <> '')
+select doc_id, en as en_key, min(ord) as ord, case when arg_min(zh, ord) = '<KEEP>' then '<KEEP>' else arg_max(zh, ord) filter (where zh <> '<KEEP>') end as zh,
+  arg_min(en_full, ord) filter (where en_full <> '') as en_full, arg_min(note, ord) filter (where note is not null) as note from k group by 1, 2""")
+def glossary_ingest_last_wins(spark, sf_dir):
+    return G.ingest_terms(table(spark, sf_dir, "events").selectExpr(*_split(_TERMS))).drop("seen")
+
+
+@query(f"""with e as (select {_TERMS} from events), l as (select *, min(case when zh = '<KEEP>' then ord end) over (partition by doc_id, en) as lock from e)
+select doc_id, en as en_key, min(ord) as ord, case when max(case when zh = '<KEEP>' then 1 else 0 end) = 1 then '<KEEP>' else arg_min(zh, ord) filter (where zh <> '') end as zh,
+  arg_min(en_full, ord) filter (where en_full <> '' and (lock is null or ord <= lock)) as en_full, arg_min(note, ord) filter (where note is not null and (lock is null or ord <= lock)) as note from l group by 1, 2""")
+def glossary_finalize_keep_wins(spark, sf_dir):
+    return G.finalize_terms(table(spark, sf_dir, "events").selectExpr(*_split(_TERMS)))
+
+
+def _split(columns: str) -> list[str]:
+    out, depth, part = [], 0, ""
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(part)
+            part = ""
+        else:
+            part += c
+    return [*out, part]
+
+
+@query("""select doc_id, 0 as block_idx, case doc_id % 6 when 0 then 'residue' when 1 then 'awkward' when 2 then 'variant' else 'term' end as rule from documents where doc_id % 6 <= 4""")
+def needs_repair(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    said = docs.select("doc_id", F.lit(0).alias("block_idx"), F.lit("a probe and GPT model").alias("text"), F.expr("case doc_id % 6 when 0 then '⟦MATH_3⟧ 探针 GPT' when 1 then '锐利边界 探针 GPT' when 2 then '副产物 探针 GPT' when 3 then 'the probe GPT' when 4 then '探针 模型' else '探针 GPT' end").alias("translation"))
+    terms = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("probe").alias("en_key"), F.lit("探针").alias("zh")), F.struct(F.lit("gpt").alias("en_key"), F.lit(G.KEEP).alias("zh")))).alias("t")).select("doc_id", "t.*")
+    return G.needs_repair(said, terms)
+
+
+@query("select doc_id, case doc_id % 4 when 0 then '引言' when 1 then '相关工作' when 2 then '结论' end as title from documents")
+def section_title_join(spark, sf_dir):
+    name = F.expr("case doc_id % 4 when 0 then ' Introduction' when 1 then 'Related Work ' when 2 then 'CONCLUSIONS' else '1 Introduction' end")
+    return table(spark, sf_dir, "documents").select("doc_id", X.section_title(name).alias("title"))
+
+
+@query("select conv_id as doc_id, cast(turn // 2 as bigint) as unit_id from conversations group by 1, 2 having not bool_and(length(text) % 3 <> 0)")
+def pending_units_anti(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_idx"), F.expr("turn div 2").alias("unit_id"), "text")
+    return units.pending_units(turns.drop("text"), turns.where(F.length("text") % 3 != 0))
+
+
+_USAGE = "case event_type when 'click' then 'DeepSeek-V4-Flash-0731' when 'view' then 'deepseek-v4-pro' when 'purchase' then 'unknown-model' else 'deepseek-v4' end"
+_PRICES = [(0, "deepseek-v4-flash", 0.02, 1.0, 2.0), (1, "deepseek-v4-pro", 0.1, 3.0, 6.0)]
+
+
+def _priced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    usage = table(spark, sf_dir, "events").select(F.expr(_USAGE).alias("model"), F.expr("100 + event_id % 900").alias("prompt"), F.expr("event_id % 300").alias("completion"), F.expr("event_id % 90").alias("cache_hit"), F.lit(1).cast("long").alias("requests"))
+    prices = spark.createDataFrame(_PRICES, "ord int, model string, cache_hit_price double, cache_miss_price double, output_price double")
+    return pricing.usage_totals(usage, "model"), prices
+
+
+@query(f"""with u as (select {_USAGE} as model, sum(100 + event_id % 900) as prompt, sum(event_id % 300) as completion, sum(event_id % 90) as cache_hit, count(*) as requests from events group by 1)
+select model, cast(prompt as bigint) as prompt, cast(completion as bigint) as completion, cast(cache_hit as bigint) as cache_hit, requests,
+ round(case when model = 'unknown-model' then null when model = 'deepseek-v4-pro' then cache_hit / 1e6 * 0.1 + (prompt - cache_hit) / 1e6 * 3.0 + completion / 1e6 * 6.0
+ else cache_hit / 1e6 * 0.02 + (prompt - cache_hit) / 1e6 * 1.0 + completion / 1e6 * 2.0 end, 6) as cost from u""")
+def token_usage_cost(spark, sf_dir):
+    totals, prices = _priced(spark, sf_dir)
+    return pricing.estimate_cost(totals, prices).select("model", "prompt", "completion", "cache_hit", "requests", F.round("cost", 6).alias("cost"))
+
+
+@query(f"select distinct model, case model when 'deepseek-v4-pro' then 'deepseek-v4-pro' else 'deepseek-v4-flash' end as priced from (select {_USAGE} as model from events) where model <> 'unknown-model'")
+def price_lookup_prefix(spark, sf_dir):
+    totals, prices = _priced(spark, sf_dir)
+    return pricing.price_lookup(totals, prices).select("model", "priced")
+
+
+@query(f"""with u as (select {_USAGE} as model, sum(100 + event_id % 900) as p, sum(event_id % 300) as c, sum(event_id % 90) as h from events group by 1)
+select model, round(100.0 * h / p, 2) as hit_pct, round(100.0 * (p - h) / p, 2) as miss_pct, round(100.0 * c / (p + c), 2) as output_pct from u""")
+def token_usage_report(spark, sf_dir):
+    return pricing.usage_report(_priced(spark, sf_dir)[0]).select("model", *(F.col(c).cast("double").alias(c) for c in ("hit_pct", "miss_pct", "output_pct")))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_idx"), F.when(F.col("role") == "user", "paragraph").otherwise("heading").alias("kind"), F.when(F.col("turn") == 0, "abstract").alias("section"), "text")
+
+
+@query("select doc_id, block_idx, seed from (select conv_id as doc_id, turn as block_idx, cast(row_number() over (partition by conv_id order by turn) as int) as seed from conversations where role = 'user' and trim(text) <> '') where seed <= 4")
+def seed_text_limit4(spark, sf_dir):
+    return units.seed_texts(_turns(spark, sf_dir)).select("doc_id", "block_idx", "seed")
+
+
+@query("""with p as (select conv_id, turn, text, turn = 0 as abs, row_number() over (partition by conv_id, turn = 0 order by turn) as n from conversations where role = 'user')
+select conv_id as doc_id, coalesce(nullif(string_agg(text, chr(10) order by turn) filter (where abs), ''), string_agg(text, chr(10) order by turn) filter (where not abs and n <= 3)) as summary from p where abs or n <= 3 group by 1""")
+def abstract_fallback3(spark, sf_dir):
+    return units.abstract_or_first(_turns(spark, sf_dir))
+
+
+@query("select l_orderkey, l_linenumber, last_value(case when l_linenumber % 3 = 1 then l_returnflag end ignore nulls) over (partition by l_orderkey order by l_linenumber) as filled from (select l_orderkey, l_linenumber, max(l_returnflag) as l_returnflag from lineitem group by 1, 2)")
+def grid_fill_down(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    cells = cells.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).otherwise("").alias("text"))
+    return tables.fill_down(cells, "text", "l_linenumber", "l_orderkey").select("l_orderkey", "l_linenumber", "filled")
+
+
+@query("select l_orderkey, l_linenumber as r, min(case when l_quantity < 40 then 1 else 0 end) over (partition by l_orderkey order by l_linenumber) = 1 as is_header from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by 1, 2)")
+def header_prefix_run(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("r")).agg(F.max("l_quantity").alias("l_quantity"))
+    return tables.header_run(rows, F.col("l_quantity") < 40, "l_orderkey").select("l_orderkey", "r", "is_header")
+
+
+@query("""with c as (select l_orderkey as table_id, l_linenumber - 1 as c, case when l_linenumber <= l_quantity % 6 then l_linestatus else '' end as text from lineitem)
+select table_id, c, text from (select *, greatest(coalesce(max(case when text <> '' then c end) over (partition by table_id), -1), 1) as last from c) where c <= last""")
+def trim_tail_cols(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as table_id", "l_linenumber - 1 as c", "case when l_linenumber <= l_quantity % 6 then l_linestatus else '' end as text")
+    return tables.trim_empty_columns(cells).select("table_id", "c", "text")
+
+
+@query("select conv_id as doc_id, string_agg(text, chr(10) order by turn) as markdown from conversations group by 1")
+def markdown_assemble(spark, sf_dir):
+    return units.assemble(_turns(spark, sf_dir), "text")
+
+
+@query("""select user_id % 20 as doc_id, string_agg('- ' || event_type || ' → 【译' || n || '】', chr(10) order by n) as prompt from (select user_id % 20 as user_id, event_type, min(event_id) as n from events group by 1, 2) group by 1""")
+def glossary_prompt(spark, sf_dir):
+    terms = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("doc_id"), F.col("event_type").alias("en_key")).agg(F.min("event_id").alias("ord"))
+    return G.prompt_lines(terms.select("doc_id", "ord", "en_key", F.concat(F.lit("译"), F.col("ord").cast("string")).alias("zh"), F.lit(None).cast("string").alias("en_full"), F.lit(None).cast("string").alias("note")))
+
+
+@query("select p_partkey, least(power(2.0, p_size % 9), 30.0) as delay, not (400 + p_size between 400 and 499) or 400 + p_size = 429 as again from part")
+def retry_backoff(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.retry_delay(F.col("p_size") % 9).alias("delay"), X.may_retry(F.col("p_size") + 400).alias("again"))
+
+
+@query("select doc_id, text from documents")
+def protect_restore_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", P.protect("text").alias("p"))
+    return docs.select("doc_id", P.restore("p.text", "p.entries").alias("text"))
+
+
+@query("select doc_id, 'A ⟦MATH_0⟧ b ⟦REF_X1⟧ ⟦REF_X2⟧' as text, cast(3 as bigint) as n from documents")
+def protect_counts(spark, sf_dir):
+    text = F.expr("concat('A $x_', doc_id, '$ b [1, ', doc_id, '] [t](http://e/', doc_id, ')')")
+    return table(spark, sf_dir, "documents").select("doc_id", P.protect(text).alias("p")).select("doc_id", "p.text", F.size("p.entries").cast("long").alias("n"))
+
+
+@query("select page_id, cast(len(regexp_extract_all(html, '<a href=')) as bigint) as links from pages")
+def page_links(spark, sf_dir):
+    return H.links(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")).groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("links"))
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    return H.parse_blocks(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")).select("doc_id", "block_idx", "kind", "level", "text", "raw")
