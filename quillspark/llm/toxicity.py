@@ -43,8 +43,8 @@ class Settings:
     batch: int = 32
     rate: float = 0.08
     seed: int = 1
-    positives: int = 2500
-    negatives: int = 5000
+    positives: int = 1500
+    negatives: int = 2500
     max_chars: int = 1 << 16
 
 
@@ -58,14 +58,12 @@ class Words:
     language: np.ndarray
 
 
-def words_of(words: list[str], buckets: int) -> Words:
-    plain = [w.lower().strip(_EDGES) or w for w in words]
-    data = [f"<{w}>".encode() for w in plain]
-    row = np.fromiter((xxhash.xxh3_64_intdigest(d) for d in data), np.uint64, len(data)) % np.uint64(buckets)
+def _grams(data: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed rows of the n-grams of each word, word by word, and how many each has."""
     raw = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint32)
     size = np.fromiter(map(len, data), np.int64, len(data))
     end = np.repeat(np.cumsum(size), size)
-    owner = np.repeat(np.arange(len(data)), size)
+    owner = np.repeat(np.arange(len(data), dtype=np.int32), size)
     rows, owners = [], []
     for n in (3, 4, 5, 6):
         if len(raw) < n:
@@ -78,12 +76,19 @@ def words_of(words: list[str], buckets: int) -> Words:
         rows.append((h[ok] % np.uint32(buckets)).astype(np.int32))
         owners.append(owner[: len(h)][ok])
     grams = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    owned = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
-    order = np.argsort(owned, kind="stable")
-    at = np.searchsorted(owned[order], np.arange(len(data) + 1))
+    owned = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int32)
+    return grams[np.argsort(owned, kind="stable")], np.bincount(owned, minlength=len(data))
+
+
+def words_of(words: list[str], buckets: int, block: int = 1 << 15) -> Words:
+    plain = [w.lower().strip(_EDGES) or w for w in words]
+    row = np.fromiter((xxhash.xxh3_64_intdigest(f"<{w}>".encode()) for w in plain), np.uint64, len(plain)) % np.uint64(buckets)
+    found = [_grams([f"<{w}>".encode() for w in plain[a : a + block]], buckets) for a in range(0, len(plain), block)]
+    grams = np.concatenate([g for g, _ in found]) if found else np.zeros(0, dtype=np.int32)
+    at = np.concatenate([[0], *(n for _, n in found)]).cumsum()
     code = {w: k for k, name in enumerate(FREQUENT) for w in FREQUENT[name]}
     language = np.fromiter((code.get(w, -1) for w in plain), np.int8, len(plain))
-    return Words(row.astype(np.int64), grams[order], at, language)
+    return Words(row.astype(np.int64), grams, at, language)
 
 
 def guess_languages(codes: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
