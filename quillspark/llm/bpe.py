@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import chunked
-from .common import as_array, slices, texts_of
+from .common import LARGE_SLICE, as_array, slices, texts_of
 
 #: Fixed value: the pattern by which byte-level BPE splits text before it merges.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         codec = codec_of(spec.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=LARGE_SLICE):
                 from .chunks import encoded
 
                 ids, at = encoded(texts_of(part), codec.encode_chunks, codec.specials)
@@ -268,7 +268,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         codec = codec_of(spec.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=LARGE_SLICE):
                 found = list(zip(*_digests(codec, texts_of(part)))) or [(), (), ()]
                 yield pa.record_batch([as_array(part.column("doc_id")), pa.array(found[0], pa.int64()), pa.array(found[1], pa.string()), pa.array(found[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
+#: The same where a slice costs by its distinct words, which a larger slice has fewer of.
+LARGE_SLICE = 16 << 20
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -62,6 +71,14 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on and would keep the peak of every stage they have served."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, slices, texts_of, written
+from .common import as_array, release, slices, texts_of, written
 from .substrings import Batch, mixed, rolling
 
 SYMBOLS, CHUNK = 50, 5
@@ -101,6 +101,7 @@ def _index(batches):
 
 def _compare(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         nodes, hubs = table.column("node").to_pylist(), table.column("hub").to_pylist()
         place = {}
         for i, d in enumerate(nodes):
@@ -138,6 +139,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, total: int)
 
 def _compare_tiles(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         sets = shingle_sets(texts_of(table), k)
         marks = signatures(sets).reshape(len(sets), CHUNKS, CHUNK)
         nodes, labels = table.column("node").to_numpy(), table.column("component").to_numpy()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_array, slices, texts_of, written
+from .common import LARGE_SLICE, as_array, slices, texts_of, written
 
 CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -122,7 +122,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
 
         encoder = encoder_of(spec.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=LARGE_SLICE):
                 ids, at = encoded(texts_of(part), encoder, encoder.specials)
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 n = np.diff(at) + 1

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_array, slices, texts_of
+from .common import LARGE_SLICE, as_array, slices, texts_of
 
 BLOCK = 1024
 #: Values in a word and their width, of selectors 1, 2, ...
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
 
         total = 0
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=LARGE_SLICE):
                 ids, at = encoded(texts_of(piece), encoder, encoder.specials)
                 counts = np.diff(at)
                 if end_id is not None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_array, new_path, split_words, texts_of, written
+from .common import as_array, new_path, release, split_words, texts_of, written
 
 #: Rows of an input file in a batch, and bytes of compressed input to a slot.
 ROWS, SLOT_BYTES = 2048, 4 << 20
@@ -47,7 +47,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n, 1 << 16)
             for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 steps = np.full(self.n, b, dtype=np.uint64)
                 steps[0] = 1
@@ -134,7 +134,7 @@ def located(docs: DataFrame) -> DataFrame:
         return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("batch"))
 
 
-def runs(batches, most: int = 8 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
+def runs(batches, most: int = 4 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Rows of one batch key at a time, cut further where their texts are long."""
     from .common import slices
 
@@ -202,6 +202,7 @@ def _told(buckets: int, slot: int, values: np.ndarray, owner: np.ndarray, batche
 
 def find_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         batches = table.column("batch").to_pylist()
         parts = [uncoded(d) for d in table.column("data").to_pylist()]
         kinds = np.repeat(np.array(table.column("kind").to_pylist(), dtype=np.int8), [len(p) for p in parts])
@@ -275,6 +276,7 @@ def loaded(data: bytes) -> np.ndarray:
 
 def find_single(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         batches = table.column("batch").to_pylist()
         parts = [loaded(d) for d in table.column("data").to_pylist()]
         again = np.repeat(np.array(table.column("kind").to_pylist(), dtype=bool), [len(p) for p in parts])
