@@ -60,6 +60,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(as_array(batch.column(name)).cast(pa.large_string()), "")
 
 
+def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of whole rows in a column row, with the text in them as a column of its own; nothing is copied."""
+    row = as_array(batch.column("row"))
+    return batch.append_column("text", row.field(row.type.get_field_index("text")))
+
+
 def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no part but a single row has more than that many bytes of text."""
     sizes = pc.fill_null(pc.binary_length(as_array(batch.column(name))), 0).to_numpy(zero_copy_only=False)

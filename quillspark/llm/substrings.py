@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_array, new_path, release, split_words, texts_of, written
+from .common import as_array, new_path, release, split_words, texts_of, with_text, written
 
 #: Rows of an input file in a batch, and bytes of compressed input to a slot.
 ROWS, SLOT_BYTES = 2048, 4 << 20
@@ -294,7 +294,7 @@ def find_single(buckets: int):
 def drop_repeats(block: int, window: int, bits: int, anchors_at: str, single_at: str, buckets: int):
     def run(batches):
         found, single = Answers(anchors_at, buckets), Answers(single_at, buckets)
-        for key, part in runs(batches):
+        for key, part in runs(map(with_text, batches)):
             batch = Batch(texts_of(part))
             p, (slots, values) = candidates(batch, found.of(key), block, window, bits)
             if len(p):
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     at = asked(text.mapInArrow(send_anchors(block, bits), _SENT), find_anchors(slots), "anchors")
     once = asked(text.mapInArrow(send_windows(block, window, bits, at, slots), _SENT), find_single(slots), "single")
     schema = T.StructType([*rows.select("row").schema, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = rows.select("row", F.col("row.text").alias("text"), "batch").mapInArrow(drop_repeats(block, window, bits, at, once, slots), schema)
+    done = rows.select("row", "batch").mapInArrow(drop_repeats(block, window, bits, at, once, slots), schema)
     own = [c for c in docs.columns if c.lower() not in ("kept", "n_words", "n_removed")]
     return done.select(*(F.col(f"row.`{c}`").alias(c) for c in own), "kept", "n_words", "n_removed")
 

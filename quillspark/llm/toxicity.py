@@ -16,9 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, gather, slices, split_words, texts_of
+from .common import as_array, gather, slices, split_words, texts_of, with_text
 
 WIDTHS = (1, 2, 3)
+#: Bytes of text scored at once: a distinct word has a row of filter responses.
+SMALL_SLICE = 4 << 20
 CUT = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, language string"
 #: Frequent words by which a language is guessed.
@@ -284,7 +286,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = sent.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SMALL_SLICE):
                 codes, offsets, distinct = split_words(texts_of(part))
                 words = words_of(distinct, model.settings.buckets)
                 tongues = guess_languages(codes, offsets, words)
@@ -304,14 +306,14 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = sent.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(with_text(batch), most=SMALL_SLICE):
                 codes, offsets, distinct = split_words(texts_of(part))
                 words = words_of(distinct, model.settings.buckets)
                 score = model.scores(model.logits(codes, offsets, words), guess_languages(codes, offsets, words))
                 yield pa.record_batch([as_array(part.column("row")).filter(pa.array((score < CUT) | (np.diff(offsets) == 0)))], names=["row"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kept = rows.select("row", F.col("row.text").alias("text")).mapInArrow(run, rows.schema)
+    kept = rows.mapInArrow(run, rows.schema)
     return kept.select("row.*")
 
 
