@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import protect as P
 from quillspark.functions import text as X
 from quillspark.operators import glossary as G
-from quillspark.operators import pricing, tables, units
+from quillspark.operators import pricing, tables, translate, units
 from quillspark.sources import html as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,3 +296,37 @@ def page_links(spark, sf_dir):
 @query()
 def page_blocks(spark, sf_dir):
     return H.parse_blocks(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")).select("doc_id", "block_idx", "kind", "level", "text", "raw")
+
+
+def _conversation_units(spark, sf_dir) -> DataFrame:
+    return _turns(spark, sf_dir).select("doc_id", F.expr("block_idx div 2").alias("unit_id"), "block_idx", "text")
+
+
+@query("""select cast(conv_id as varchar) as doc_id, cast(turn as int) as block_idx, text as translation from conversations where trim(text) <> ''""")
+def translate_units(spark, sf_dir):
+    return translate.translate_units(_conversation_units(spark, sf_dir), None, translate.IdentityBackend).select("doc_id", "block_idx", "translation")
+
+
+@query("select conv_id as doc_id, turn as block_idx from conversations where length(text) % 3 = 0")
+def resume_blocks(spark, sf_dir):
+    blocks = _turns(spark, sf_dir).select("doc_id", "block_idx", "text")
+    stored = blocks.where(F.length("text") % 3 != 0).withColumn("version", F.lit(1))
+    return translate.resume(blocks, stored, 1).select("doc_id", "block_idx")
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")
+    blocks = H.parse_blocks(pages)
+    units_ = blocks.select("doc_id", F.col("block_idx").alias("unit_id"), "block_idx", "text")
+    return translate.render_markdown(blocks, translate.translate_units(units_, None, translate.IdentityBackend))
+
+
+@query()
+def page_images(spark, sf_dir):
+    return H.images(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html"))
+
+
+@query()
+def page_bibliography(spark, sf_dir):
+    return H.parse_bibliography(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html"))

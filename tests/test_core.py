@@ -93,3 +93,25 @@ def test_paper_blocks():
     assert [b["kind"] for b in found] == ["title", "heading", "paragraph", "heading", "paragraph", "equation", "paragraph"]
     assert "[[1]](https://www.bing.com/search?q=Title \"Title\")" in found[4]["raw"] and "$x$" in found[4]["raw"]
     assert found[5]["text"] == "y"
+
+
+def test_stream(spark, tmp_path):
+    from quillspark.streaming.ingest import html_stream, store_blocks
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / f"in/p{i}.html").write_text(f"<h1>T{i}</h1><p>one</p><p>two</p>")
+    store_blocks(html_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 9 and got.select("doc_id").distinct().count() == 3
+
+
+def test_translation(spark):
+    from quillspark.operators import translate as T
+
+    rows = [("d", 0, 0, "a probe $x$ of [1]"), ("d", 0, 1, " "), ("d", 1, 2, "Probe")]
+    data = spark.createDataFrame(rows, "doc_id string, unit_id int, block_idx int, text string")
+    terms = spark.createDataFrame([("d", "probe", "探针")], "doc_id string, en_key string, zh string")
+    got = {r["block_idx"]: r["translation"] for r in T.translate_units(data, terms, T.DictionaryBackend).collect()}
+    assert got == {0: "a 探针 $x$ of [1]", 2: "探针"}
+    assert T.parse_reply('ok {"translation": "t", "terms": 3} end') == ("t", []) and T.parse_reply("plain") == ("plain", [])
