@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a worker: Spark's tasks are the parallelism
 
 #: The most chunks whose ids a worker remembers from one slice to the next.
-MEMO = 200_000
+MEMO = 500_000
 _CUT = re.compile(r" (?=\S)")
 
 

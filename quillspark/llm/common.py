@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 8 << 20
 #: The same where a slice costs by its distinct words, which a larger slice has fewer of.
-LARGE_SLICE = 16 << 20
+LARGE_SLICE = 24 << 20
 
 
 try:

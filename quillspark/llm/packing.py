@@ -122,7 +122,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
 
         encoder = encoder_of(spec.value)
         for batch in batches:
-            for part in slices(batch, most=LARGE_SLICE):
+            for part in slices(batch, most=LARGE_SLICE * 2 // 3):
                 ids, at = encoded(texts_of(part), encoder, encoder.specials)
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 n = np.diff(at) + 1
