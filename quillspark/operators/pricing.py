@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import model_key
+from quillspark.functions.text import model_key, price
+
+#: First cell of the row with the model names, texts that mark the rows of prices, and what inputs have in common.
+MODEL_ROW, INPUT_MARK = "模型版本", "输入"
+PRICE_ROWS = {"cache_hit": "输入（缓存命中）", "cache_miss": "输入（缓存未命中）", "output": "百万tokens输出"}
 
 
 def usage_totals(usage: DataFrame, *keys: str) -> DataFrame:
@@ -41,3 +45,30 @@ def fresh_prices(cache: DataFrame, now: int, ttl: int = 24 * 3600) -> DataFrame:
     """Cached prices that are not older than ttl; if none is, whatever there is."""
     marked = cache.withColumn("fresh", F.lit(now) - F.col("fetched_at") <= ttl)
     return marked.withColumn("_any", F.max("fresh").over(Window.partitionBy(F.lit(1)))).where("fresh or not _any").drop("_any")
+
+
+def price_table(rows: DataFrame) -> DataFrame:
+    """Prices on a price page: doc_id, ord, model, cache_hit_price, cache_miss_price, output_price.
+
+    rows: doc_id, r, cells (texts of one table row; see ``sources.html.table_rows``). Prices are matched with models by their
+    order in the row, as merged cells shift columns; of several rows of a kind the last counts. A row whose number of prices
+    differs from that of models is an error; a model that lacks a price is left out.
+    """
+    shown = F.array_join("cells", " ")
+    output = shown.contains(PRICE_ROWS["output"]) & ~shown.contains(INPUT_MARK)
+    kind = F.when(F.get("cells", F.lit(0)) == MODEL_ROW, "model")
+    for name in ("cache_hit", "cache_miss"):
+        kind = kind.when(shown.contains(PRICE_ROWS[name]), name)
+    told = rows.withColumn("kind", kind.when(output, "output")).where("kind is not null")
+    named = F.transform(F.filter(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c != ""), model_key)
+    found = F.filter(F.transform("cells", price), lambda x: x.isNotNull())
+    told = told.withColumn("named", F.when(F.col("kind") == "model", named)).withColumn("found", F.when((F.col("kind") != "model") & (F.size(found) > 0), found))
+    last = lambda value, name: F.max_by(value, F.when((F.col("kind") == name) & F.col(value).isNotNull(), F.col("r"))).alias(name)
+    page = told.groupBy("doc_id").agg(last("named", "model"), *(last("found", name) for name in PRICE_ROWS))
+    for name in PRICE_ROWS:
+        wrong = F.raise_error(F.concat(F.lit(f"{name}: "), F.size(name), F.lit(" prices for "), F.size("model"), F.lit(" models")))
+        page = page.withColumn(name, F.when(F.size(name) != F.size("model"), wrong.cast("array<double>")).otherwise(F.col(name)))
+    each = page.select("doc_id", F.posexplode("model").alias("ord", "name"), *PRICE_ROWS)
+    each = each.select("doc_id", "ord", F.col("name").alias("model"), *(F.get(name, F.col("ord")).alias(f"{name}_price") for name in PRICE_ROWS)).dropna()
+    latest = (F.max_by(f"{name}_price", "ord").alias(f"{name}_price") for name in PRICE_ROWS)
+    return each.groupBy("doc_id", "model").agg(F.min("ord").alias("ord"), *latest).select("doc_id", "ord", "model", *(f"{name}_price" for name in PRICE_ROWS))

@@ -330,3 +330,116 @@ def page_images(spark, sf_dir):
 @query()
 def page_bibliography(spark, sf_dir):
     return H.parse_bibliography(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html"))
+
+
+def _part(spark, sf_dir, sql: str, **columns) -> DataFrame:
+    """Columns made from x, which is that expression over part."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(sql).alias("x")).select("p_partkey", *(c.alias(n) for n, c in columns.items()))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then 'x_' || p_size else 'y ' || chr(92) || 'displaystyle' end as tex from part")
+def tex_without_displaystyle(spark, sf_dir):
+    made = "case when p_size % 2 = 0 then '  ' || chr(92) || 'displaystyle x_' || p_size else 'y ' || chr(92) || 'displaystyle' end"
+    return _part(spark, sf_dir, made, tex=X.strip_displaystyle(F.col("x")))
+
+
+@query("select s_suppkey, s_name || case when s_suppkey % 2 = 0 then '（共同一作）' else '（通讯作者）' end as author from supplier")
+def author_marks(spark, sf_dir):
+    made = F.expr("s_name || case when s_suppkey % 2 = 0 then '^{*}' else '^{🖂}' end")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", X.author_marks(made).alias("author"))
+
+
+@query("select doc_id, rtrim(text || '。.', '.。') as text from documents")
+def without_stops(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_stops(F.concat("text", F.lit("。."))).alias("text"))
+
+
+@query("select p_partkey, p_partkey % 3 = 0 as han, p_partkey % 3 <> 1 as wide from part")
+def chinese_text(spark, sf_dir):
+    made = "p_name || case p_partkey % 3 when 0 then '模型' when 2 then '㐀' else '' end"
+    return _part(spark, sf_dir, made, han=X.has_cjk(F.col("x")), wide=X.has_cjk(F.col("x"), wide=True))
+
+
+@query("select p_partkey, p_brand || ' and ' || p_size || ' x' || p_type as text from part")
+def markdown_to_plain(spark, sf_dir):
+    return _part(spark, sf_dir, "'**' || p_brand || '** and `' || p_size || '` [x](http://y)*' || p_type || '*'", text=X.strip_markdown(F.col("x")))
+
+
+@query("""select p_partkey, (case p_size % 4 when 0 then 255 when 1 then 10 when 2 then 1 end)::double as red,
+(case p_size % 4 when 0 then 165 when 1 then 11 when 2 then 2 end)::double as green, (case p_size % 4 when 0 then 0 when 1 then 12 when 2 then 3 end)::double as blue from part""")
+def css_colours(spark, sf_dir):
+    made = "case p_size % 4 when 0 then ' Orange' when 1 then '#0a0B0c' when 2 then 'rgb(1, 2,3)' else 'none' end"
+    return _part(spark, sf_dir, made, **{n: X.colour(F.col("x"))[k].cast("double") for k, n in enumerate(("red", "green", "blue"))})
+
+
+@query("""select p_partkey, round(case p_size % 6 when 0 then p_size * 25.4 / 96 when 1 then p_size * 25.4 / 72 when 2 then p_size * 10.0 when 3 then p_size / 100.0 when 4 then p_size * 4.0 end, 6)::double as width from part""")
+def css_widths(spark, sf_dir):
+    made = "case p_size % 6 when 0 then 'width: ' || p_size || 'px' when 1 then p_size || 'pt' when 2 then p_size || ' CM' when 3 then 'a:b;width:' || p_size || '%' when 4 then p_size || 'em' else 'auto' end"
+    return _part(spark, sf_dir, made, width=F.round(X.css_width(F.col("x")), 6))
+
+
+@query("select p_partkey, p_size % 3 = 0 as bold, p_size % 2 = 0 as italic from part")
+def css_emphasis(spark, sf_dir):
+    made = "case when p_size % 3 = 0 then 'font-weight: 700;' else 'font-weight:400;' end || case when p_size % 2 = 0 then 'FONT-STYLE:italic' else '' end"
+    return _part(spark, sf_dir, made, bold=X.bold_style(F.col("x")), italic=X.italic_style(F.col("x")))
+
+
+@query("select p_partkey, 'deepseek-v' || p_size || case when p_size % 2 = 0 then '' else '-chat' end as model from part")
+def model_keys(spark, sf_dir):
+    return _part(spark, sf_dir, "' DeepSeek-V' || p_size || case when p_size % 2 = 0 then '-0731 ' else '-Chat20250731' end", model=X.model_key(F.col("x")))
+
+
+@query("select p_partkey, case p_size % 3 when 0 then p_size::double when 1 then 0.02::double end as price from part")
+def price_cells(spark, sf_dir):
+    return _part(spark, sf_dir, "case p_size % 3 when 0 then p_size || ' 元' when 1 then '0.02元' else '0.5 USD' end", price=X.price(F.col("x")))
+
+
+@query("select p_partkey, p_size % 3 = 0 as separator from part")
+def separator_rows(spark, sf_dir):
+    return _part(spark, sf_dir, "array(':---', case p_size % 3 when 0 then ' ---: ' when 1 then '--' else p_name end)", separator=X.is_separator_row(F.col("x")))
+
+
+@query("select p_partkey, p_size % 4 = 0 or p_size % 4 = 1 as hint from part")
+def abbreviation_hints(spark, sf_dir):
+    kind = F.expr("case when p_size % 4 = 0 then 'figure' when p_size % 4 = 3 then 'heading' else 'paragraph' end")
+    text = F.expr("case when p_size % 4 = 2 then lower(p_name) else 'with LLM : large model' end")
+    return table(spark, sf_dir, "part").select("p_partkey", X.defines_abbreviation(kind, text).alias("hint"))
+
+
+@query("""select p_partkey, case when p_size % 2 = 0 then '[A. 2020](https://www.bing.com/search?q=On%20' || p_size || '%20parts "On ' || p_size || ' parts")'
+else '[A. 2020](https://www.bing.com/search?q=A.%202020)' end as link from part""")
+def citation_links(spark, sf_dir):
+    return _part(spark, sf_dir, "case when p_size % 2 = 0 then 'On ' || p_size || ' parts, 2020a' end", link=X.cite_link(F.lit("A. 2020"), F.col("x")))
+
+
+@query("""select p_partkey, case p_size % 3 when 0 then 'http://e/a/' when 1 then 'https://arxiv.org/i/' else 'https://arxiv.org/html/1/' end || p_size || '.png' as url, p_size || '.png' as name from part""")
+def image_urls(spark, sf_dir):
+    made = "case p_size % 3 when 0 then 'http://e/a/' when 1 then '/i/' else '' end || p_size || '.png'"
+    url = X.absolute_url(F.col("x"), F.lit("https://arxiv.org/html/1/"))
+    return _part(spark, sf_dir, made, url=url, name=X.last_segment(url))
+
+
+@query("select doc_id, case when length(text) > 600 then substr(text, 1, 600) || '…' else text end as text from documents")
+def shortened_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.shortened(F.col("text"), 600).alias("text"))
+
+
+@query("select doc_id, count(*) as units, count(*) filter (n > 1) as merged, cast(sum(n) as bigint) as blocks from (select conv_id as doc_id, turn // 2 as unit_id, count(*) as n from conversations group by 1, 2) group by 1")
+def unit_counts(spark, sf_dir):
+    return units.unit_counts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.expr("turn div 2").alias("unit_id")))
+
+
+@query("select s_suppkey, s_suppkey * 3600 as fetched_at from supplier where 10 - s_suppkey <= 5")
+def price_cache_fresh(spark, sf_dir):
+    cache = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey * 3600").alias("fetched_at"))
+    return pricing.fresh_prices(cache, 36_000, 18_000).select("s_suppkey", "fetched_at")
+
+
+@query("""select cast(s_suppkey as varchar) as doc_id, o as ord, 'm' || o || '-v' || s_suppkey as model, 0.5::double as cache_hit_price,
+(s_suppkey + o)::double as cache_miss_price, 8.0::double as output_price from supplier, (values (0), (1)) as t(o) where o = 0 or s_suppkey % 2 = 0""")
+def price_pages(spark, sf_dir):
+    html = F.expr("""concat('<p>x</p><table><tr><th>模型版本</th><td> M0-V', s_suppkey, '-0731</td>', if(s_suppkey % 2 = 0, concat('<td>m1-v', s_suppkey, '</td>'), ''), '</tr>',
+      '<tr><td rowspan="3">价格</td><td>百万tokens输入（缓存命中）</td><td>0.5元</td>', if(s_suppkey % 2 = 0, '<td><b>0.5 元</b></td>', ''), '</tr>',
+      '<tr><td>百万tokens输入（缓存未命中）</td><td>', s_suppkey, '元</td>', if(s_suppkey % 2 = 0, concat('<td>', s_suppkey + 1, '元</td>'), ''), '</tr>',
+      '<tr><td>百万tokens输出</td><td>8元</td>', if(s_suppkey % 2 = 0, '<td>8元</td>', ''), '</tr></table>')""")
+    return pricing.price_table(H.table_rows(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), html.alias("html"))))

@@ -371,6 +371,20 @@ def images(pages: DataFrame, base: str = "https://arxiv.org/html/") -> DataFrame
     return rows.withColumn("name", last_segment(F.col("url"))).where("name <> ''")
 
 
+def table_rows(pages: DataFrame) -> DataFrame:
+    """Rows of the first table of each page: r, cells (their texts, every piece of text trimmed)."""
+
+    def words(node: Element) -> str:
+        return "".join(c.strip() if isinstance(c, str) else words(c) for c in node.children)
+
+    def make(html: str) -> list[dict]:
+        table = tree(html).first(tag="table")
+        found = [[words(c) for c in row.walk() if c.tag in ("td", "th")] for row in table.all(tag="tr")] if table else []
+        return [{"r": i, "cells": cells} for i, cells in enumerate(found) if cells]
+
+    return _rows(pages, make, "doc_id string, r int, cells array<string>")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Links of each page in order, natively: ord, href."""
     found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))

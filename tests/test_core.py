@@ -115,3 +115,15 @@ def test_translation(spark):
     got = {r["block_idx"]: r["translation"] for r in T.translate_units(data, terms, T.DictionaryBackend).collect()}
     assert got == {0: "a 探针 $x$ of [1]", 2: "探针"}
     assert T.parse_reply('ok {"translation": "t", "terms": 3} end') == ("t", []) and T.parse_reply("plain") == ("plain", [])
+
+
+def test_price_table_errors(spark):
+    from quillspark.operators.pricing import price_table
+
+    head, hit = ["模型版本", "A", "", "B"], ["价格", "输入（缓存命中）", "1元"]
+    rows = lambda *cells: spark.createDataFrame([("d", i, c) for i, c in enumerate(cells)], "doc_id string, r int, cells array<string>")
+    assert price_table(rows(head)).count() == 0 and price_table(rows(["x"])).count() == 0
+    with pytest.raises(Exception, match="1 prices for 2 models"):
+        price_table(rows(head, hit)).collect()
+    got = price_table(rows(head, [*hit, "2元"], ["输入（缓存未命中）", "3元", "4元"], ["百万tokens输出", "5元", "-", "6元"])).orderBy("ord").collect()
+    assert [tuple(r)[2:] for r in got] == [("a", 1.0, 3.0, 5.0), ("b", 2.0, 4.0, 6.0)]
