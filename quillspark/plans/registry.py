@@ -343,6 +343,12 @@ def tex_without_displaystyle(spark, sf_dir):
     return _part(spark, sf_dir, made, tex=X.strip_displaystyle(F.col("x")))
 
 
+@query("select p_partkey, chr(92) || 'mathbf{x_' || p_size || '}  ' || chr(92) || '&  y ;   z' as tex from part")
+def tex_for_rendering(spark, sf_dir):
+    made = "'  $' || chr(92) || 'label{e}' || chr(92) || 'bm{x_' || p_size || '} & y ' || chr(92) || chr(92) || chr(10) || ' ' || chr(92) || 'nonumber z$'"
+    return _part(spark, sf_dir, made, tex=X.clean_tex(F.col("x")))
+
+
 @query("select s_suppkey, s_name || case when s_suppkey % 2 = 0 then '（共同一作）' else '（通讯作者）' end as author from supplier")
 def author_marks(spark, sf_dir):
     made = F.expr("s_name || case when s_suppkey % 2 = 0 then '^{*}' else '^{🖂}' end")
