@@ -16,15 +16,14 @@ from quillspark.llm.near_dup import near_duplicates
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.queries import BYTE_BPE
 from quillspark.llm.substrings import remove_repeats
-from quillspark.llm.toxicity import Settings, clean_documents, labelled_sample, train
+from quillspark.llm.toxicity import drop_toxic
 
 #: The classifier's numpy training and the exact joins have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    settings = Settings()
-    return clean_documents(docs, train(*labelled_sample(docs, read(spark, sf_dir, "labels"), settings), settings))
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A word's embedding is the sum of a hashed row for the word and those of its character n-grams over the root of their number, so that
 inflected and unseen forms of a known stem score too. Filters of widths 1, 2 and 3 slide over the words, each keeps its
-largest response in the document (max pooling), and a logistic layer weighs them. Thresholds are calibrated by language,
-the language being guessed from the words of the text alone; a score of CUT means the threshold of the text's language.
+largest response in the document (max pooling), and a logistic layer weighs them. Only a bounded sample is fitted. Thresholds
+are calibrated by language on all labelled rows that are not held out, the language being guessed from the words of the text
+alone; a score of CUT means the threshold of the text's language.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import as_array, gather, slices, split_words, texts_of, with_text
+from .common import as_array, gather, slices, split_words, texts_of, with_text, written
 
 WIDTHS = (1, 2, 3)
 #: Bytes of text scored at once: a distinct word has a row of filter responses.
 SMALL_SLICE = 4 << 20
 CUT = 0.3
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, language string"
+#: Steps of a histogram of logits within one unit of their inverse hyperbolic sine, which bounds the bins and clips nothing.
+STEPS = 128
+#: With fewer labelled rows all are fitted and calibrated on; otherwise a fifth is kept from fitting.
+FEW = 200
 #: Frequent words by which a language is guessed.
 FREQUENT = {
     "en": "the and of to in is that it was for on are with as at be this have from or had by not but what all were when we there can an your which their if will each how them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may long little very after words called just where most know".split(),
@@ -36,7 +41,7 @@ _EDGES = ".,;:!?\"'()[]{}<>*_~#…«»“”‘’"
 
 @dataclass
 class Settings:
-    """positives, negatives and max_chars bound the labelled sample: so many rows of a label at most, of so many characters."""
+    """positives, negatives and max_chars bound the sample that is fitted: so many rows of a label at most, of so many characters."""
 
     buckets: int = 1 << 15
     width: int = 16
@@ -164,13 +169,9 @@ class Model:
             i = j
         return np.maximum(pooled + self.bias, 0) @ self.out + self.base
 
-    def scores(self, logits: np.ndarray, languages: np.ndarray) -> np.ndarray:
-        shifted = logits.astype(np.float64) - self.thresholds[languages] + np.log(CUT / (1 - CUT))
-        return 1 / (1 + np.exp(-np.clip(shifted, -60, 60)))
-
 
 def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None) -> Model:
-    """Fit on four fifths of the rows and calibrate the thresholds on the rest."""
+    """Fit on the rows; the thresholds are left to calibrate."""
     s = settings or Settings()
     model = Model(s)
     codes, offsets, distinct = split_words(pa.array(texts, pa.large_string()))
@@ -180,8 +181,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
         return model
     words = words_of(distinct, s.buckets)
     rng = np.random.default_rng(s.seed)
-    order = rng.permutation(len(labels))
-    fit, rest = (order, order) if len(labels) < 200 else (order[len(order) // 5 :], order[: len(order) // 5])
+    fit = rng.permutation(len(labels))
     names = ("word", "gram", "conv", "bias", "out")
     sums = {k: np.full_like(getattr(model, k), 1e-3) for k in names}
     base_sum, f = 1e-3, s.filters
@@ -236,88 +236,131 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
             spread("word", words.row[which[hit]], emb_grad[hit] * np.float32(0.3))
             many = words.at[which[hit] + 1] - words.at[which[hit]]
             spread("gram", words.grams[gather(words.at[which[hit]], many)], np.repeat(emb_grad[hit] / np.sqrt(np.maximum(many, 1))[:, None], many, axis=0))
-    told = model.logits(codes, offsets, words)[rest]
-    tongues = guess_languages(codes, offsets, words)[rest]
-    truth = labels[rest]
-    general = _threshold(told, truth)
-    model.thresholds[:] = general
-    for t in range(len(LANGUAGES)):
-        own = tongues == t
-        if truth[own].sum() >= 20 and (1 - truth[own]).sum() >= 20:
-            model.thresholds[t] = _threshold(told[own], truth[own])
     return model
 
 
-def _threshold(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The middle of the cuts whose F1 is within 0.02 of the best, so that one odd row of a small set does not move it."""
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(truth[order])
-    if not len(hits) or not hits[-1]:
-        return 0.0
-    f1 = 2 * hits / (np.arange(len(hits)) + 1 + hits[-1])
-    sound = logits[order][f1 >= f1.max() - 0.02]
-    return float(np.median(sound))
+def _threshold(seen: np.ndarray, whole: np.ndarray, cuts: np.ndarray) -> float:
+    """The middle of the cuts whose F1 is within 0.02 of the best, so that one odd row of a small set does not move it.
+
+    seen: clean and toxic rows by bin, which count for the rows of their label in whole; cuts: the lower end of each bin.
+    """
+    clean, toxic = (seen * (whole / seen.sum(axis=1))[:, None])[:, ::-1]
+    hits = np.cumsum(toxic)
+    f1 = 2 * hits / np.maximum(hits + np.cumsum(clean) + hits[-1], 1e-9)
+    sound = np.cumsum((clean + toxic) * (f1 >= f1.max() - 0.02))
+    return float(cuts[::-1][np.searchsorted(sound, sound[-1] / 2)])
+
+
+def calibrate(model: Model, told: DataFrame, known: DataFrame, fitted: DataFrame) -> None:
+    """Set the thresholds from all known rows of told (doc_id, logit, tongue), counted in Spark by language, label and bin.
+
+    Rows that were fitted score too well to place a cut, so the others stand for them: weighed up to the rows of their label.
+    """
+    if not model.out.any():  # nothing was learnt
+        return
+    rows = told.join(known, "doc_id").join(F.broadcast(fitted.withColumn("fitted", F.lit(1))), "doc_id", "left")
+    by = (F.coalesce("fitted", F.lit(0)).alias("fitted"), "tongue", "label", F.floor(F.asinh("logit") * STEPS).alias("bin"))
+    found = np.array([tuple(r) for r in rows.groupBy(*by).count().collect()], dtype=np.int64).reshape(-1, 5)
+    bins, place = np.unique(found[:, 3], return_inverse=True)
+    counts = np.zeros((2, len(LANGUAGES), 2, len(bins)))
+    counts[found[:, 0], found[:, 1], found[:, 2], place] = found[:, 4]
+    whole, cuts = counts.sum(axis=0), np.sinh(bins / STEPS)
+    if not whole.sum(axis=(0, 2)).all():
+        return
+    seen = counts[0] if counts[0].sum(axis=(0, 2)).all() else whole
+    model.thresholds[:] = _threshold(seen.sum(axis=0), whole.sum(axis=(0, 2)), cuts)
+    for t in range(len(LANGUAGES)):
+        if (seen[t].sum(axis=1) >= 20).all():
+            model.thresholds[t] = _threshold(seen[t], whole[t].sum(axis=1), cuts)
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of the labelled rows that are not held out, the same for the same tables, brought to the driver.
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the rows that are not held out; several labels count as toxic if one says so; nulls are dropped."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+
 
-    Per label the rows of lowest hash; a doc_id with several labels counts as toxic if one says so; null labels are dropped.
+def labelled_sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[list, list[str], np.ndarray]:
+    """doc_id, text and label of the rows to fit, a bounded sample, the same for the same tables, brought to the driver.
+
+    Per label the rows of lowest hash outside the fifth that is kept from fitting.
     """
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n) for y, n in ((1, settings.positives), (0, settings.negatives))]
+    free = known if known.count() < FEW else known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)) != 0)
+    parts = [free.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n) for y, n in ((1, settings.positives), (0, settings.negatives))]
     rows = docs.where(F.length("text") <= settings.max_chars).select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     found = sorted((r["doc_id"], r["label"], r["text"]) for r in rows.collect())
-    return [t for _, _, t in found], np.array([y for _, y, _ in found], dtype=np.int64)
+    return [d for d, _, _ in found], [t for _, _, t in found], np.array([y for _, y, _ in found], dtype=np.int64)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Score every whole text (see SCHEMA); no shuffle. Null texts count as empty; an empty text gets the score of no evidence.
+def with_logits(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """Those columns with the logit and language code of every whole text, and whether it has no words; no shuffle.
 
-    The model (two tables of ``buckets`` rows, a few MB whatever the corpus) is broadcast.
+    Null texts count as empty. The model (two tables of ``buckets`` rows, a few MB whatever the corpus) is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    inside = "text" in columns  # the text is sent once
 
     def run(batches):
         model = sent.value
         for batch in batches:
-            for part in slices(batch, most=SMALL_SLICE):
+            for part in slices(with_text(batch) if inside else batch, most=SMALL_SLICE):
                 codes, offsets, distinct = split_words(texts_of(part))
                 words = words_of(distinct, model.settings.buckets)
                 tongues = guess_languages(codes, offsets, words)
-                score = model.scores(model.logits(codes, offsets, words), tongues)
-                yield pa.record_batch(
-                    [as_array(part.column("doc_id")), as_array(part.column("held_out")), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array([LANGUAGES[t] for t in tongues], pa.string())],
-                    names=["doc_id", "held_out", "score", "predicted", "language"],
-                )
+                logit = model.logits(codes, offsets, words).astype(np.float64)
+                yield pa.record_batch([as_array(part.column("row")), pa.array(logit), pa.array(tongues.astype(np.int32)), pa.array(np.diff(offsets) == 0)], names=["row", "logit", "tongue", "bare"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *([] if inside else ["text"]))
+    schema = StructType([rows.schema["row"]]).add("logit", "double").add("tongue", "integer").add("bare", "boolean")
+    return rows.mapInArrow(run, schema)
+
+
+def _score(model: Model) -> F.Column:
+    threshold = F.element_at(F.array(*(F.lit(float(t)) for t in model.thresholds)), F.col("tongue") + 1)
+    shifted = F.col("logit") - threshold + F.lit(float(np.log(CUT / (1 - CUT))))
+    return 1 / (1 + F.exp(-F.greatest(F.least(shifted, F.lit(60.0)), F.lit(-60.0))))
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, SCHEMA)
+
+def _scored(told: DataFrame, model: Model) -> DataFrame:
+    scored = told.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), _score(model).alias("score"), "tongue")
+    names = F.array(*map(F.lit, LANGUAGES))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.element_at(names, F.col("tongue") + 1).alias("language"))
+
+
+def _clean(told: DataFrame, model: Model) -> DataFrame:
+    return told.where(F.col("bare") | (_score(model) < CUT)).select("row.*")
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """Score every whole text; no shuffle. An empty text gets the score of no evidence."""
+    return _scored(with_logits(docs, model, ["doc_id"]), model)
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns unchanged, whose text scores below CUT; rows without text stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return _clean(with_logits(docs, model, docs.columns), model)
 
-    def run(batches):
-        model = sent.value
-        for batch in batches:
-            for part in slices(with_text(batch), most=SMALL_SLICE):
-                codes, offsets, distinct = split_words(texts_of(part))
-                words = words_of(distinct, model.settings.buckets)
-                score = model.scores(model.logits(codes, offsets, words), guess_languages(codes, offsets, words))
-                yield pa.record_batch([as_array(part.column("row")).filter(pa.array((score < CUT) | (np.diff(offsets) == 0)))], names=["row"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kept = rows.mapInArrow(run, rows.schema)
-    return kept.select("row.*")
+def _judged(docs: DataFrame, labels: DataFrame, settings: Settings | None, columns: list[str]) -> tuple[DataFrame, Model]:
+    """Logits of all rows, written once, and the model with thresholds from those of all labelled rows."""
+    settings, known = settings or Settings(), labelled(labels)
+    ids, texts, truth = labelled_sample(docs, known, settings)
+    model = train(texts, truth, settings)
+    told = written(with_logits(docs, model, columns), "logits")
+    fitted = docs.sparkSession.createDataFrame([(d,) for d in sorted(set(ids))], StructType([docs.schema["doc_id"]]))
+    calibrate(model, told.select("row.doc_id", "logit", "tongue"), known, fitted)
+    return told, model
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Train on the labelled sample and score all documents."""
-    settings = settings or Settings()
-    return score_documents(docs, train(*labelled_sample(docs, labels, settings), settings))
+    """Fit on the sample, calibrate on all labelled rows and score all documents: doc_id, held_out, score, predicted, language."""
+    return _scored(*_judged(docs, labels, settings, ["doc_id"]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """clean_documents by the model that classify makes; docs must have a doc_id and a text."""
+    return _clean(*_judged(docs, labels, settings, docs.columns))

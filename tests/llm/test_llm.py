@@ -95,6 +95,28 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.clean_documents(docs, toxicity.train([], np.zeros(0, dtype=np.int64))).columns == docs.columns
 
 
+def test_toxicity_cut_at_the_true_ratio(spark):
+    """One document in twenty is toxic and the fitted sample is half toxic: a cut that is best in the sample is far too loose."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    toxic = np.arange(4000) % 20 == 0
+    weak = toxic | (rng.random(4000) < 0.2)
+    strong = toxic & (rng.random(4000) < 0.6)
+    texts = [" ".join([*rng.choice(words, 12), *["zork"] * int(w), *rng.choice(words, 4), *["blag"] * int(s), *rng.choice(words, 4)]) for w, s in zip(weak, strong)]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(data, marks, toxicity.Settings(positives=150, negatives=150, examples=6000)).collect()
+    said = np.zeros(4000, dtype=bool)
+    said[[r["doc_id"] for r in got if r["predicted"]]] = True
+    assert said[strong].mean() > 0.9 and said[~toxic].mean() < 0.03
+
+
+def test_thresholds_weigh_the_rows_they_stand_for():
+    cuts, seen = np.array([-1.0, 0.0, 1.0]), np.array([[8.0, 2.0, 0.0], [0.0, 4.0, 6.0]])
+    assert toxicity._threshold(seen, np.array([10.0, 10.0]), cuts) == 0.0
+    assert toxicity._threshold(seen, np.array([1000.0, 10.0]), cuts) == 1.0
+
+
 def test_sharding(docs, empty, rows):
     got = sharding.shard_documents(docs, 5).collect()
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == collections.Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
