@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,121 +15,193 @@ from pyspark.sql import DataFrame
 from .common import as_array
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_NAME = re.compile(r"/?([a-zA-Z][^\s<>/]*+)")
+#: What follows a tag's name, up to the end of the tag or the next tag; nothing is looked at twice.
+_REST = re.compile(r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+""")
+_STOP = re.compile(r"[<>]")
+_ATTRIBUTE = re.compile(r"""(?:"[^"]*+"|'[^']*+')|([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_WORTH = re.compile("class|id|role|hidden", re.IGNORECASE)
 #: Elements of HTML by what they mean here.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option dialog menu object canvas audio video figcaption label fieldset".split()) - {"math"}
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+DROPPED = RAW | frozenset("head nav footer aside form button select option dialog menu object canvas audio video label fieldset svg template noscript annotation annotation-xml".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPES = frozenset("ul ol dl table article section div main body html td th blockquote aside nav footer header form".split())
-#: Words in a class, id or role that mark what is not the article.
-UNWANTED = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies reply pagination pager widget skip contentinfo complementary search alert".split()
-)
-PARAGRAPHS = frozenset("p pre td blockquote li dd div section article body main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+CONTENT = frozenset("div p article section body nav main header h1 h2".split())
+PARAGRAPHS = frozenset("p pre td blockquote li dd div section article body main figcaption".split())
+CONTAINERS = frozenset("div section article body main td".split())
+#: A class, id or role that is one of these words, alone or with the words after it, is not the article.
+_MARKED = r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebars?|side-?bar|menus?|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|top-?bar|tool-?bar|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|comments?|disqus|respond|replies|pagination|pager|contentinfo|complementary|shar(?:e|ing)|social)"
+_AFTER = r"(?:[-_]{1,2}(?:box|banner|bar|block|slot|unit|container|wrapper|wrap|section|area|list|links?|item|items|left|right|top|bottom|main|primary|secondary|form|buttons?|policy|notice|thread|inner|outer|\d+))*"
+UNWANTED = re.compile(_MARKED + _AFTER)
+#: The same outside an article only.
+UNWANTED_OUTSIDE = re.compile(r"(?:related|recommended|search|skip|alert|overlay|widgets?)(?:-posts|-links|-articles|-content)?" + _AFTER)
 
 
-@dataclass
 class Node:
-    tag: str
-    parent: Node | None
-    dropped: bool
-    in_link: bool
-    parts: list = field(default_factory=list)
-    score: float = 0.0
-    chars: int = 0
-    linked: int = 0
+    __slots__ = ("tag", "parent", "dropped", "in_link", "inside", "block", "parts", "score", "chars", "commas", "linked", "own")
+
+    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
+        self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+        self.in_link = tag == "a" or parent is not None and parent.in_link
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside  # an article
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.score, self.chars, self.commas, self.linked, self.own = 0.0, 0, 0, 0, None
 
 
 def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
     if tag in DROPPED:
         return True
     if tag == "header":  # a page's, not an article's
-        return not _within(parent, ("article", "main"))
-    if not attributes or tag in ("body", "html", "article", "main"):
+        return not parent.inside
+    if tag in ("body", "html", "article", "main") or not _WORTH.search(attributes):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and not UNWANTED.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id", "role") and not (parent.inside and tag in HEADINGS):
+            for word in value.split():
+                if UNWANTED.fullmatch(word) or not parent.inside and UNWANTED_OUTSIDE.fullmatch(word):
+                    return True
     return False
 
 
-def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+class _Stack:
+    """The open elements, and by scope how many of each name are open in it: no end tag searches for its element in vain."""
+
+    def __init__(self, root: Node) -> None:
+        self.open, self.scopes, self.all = [root], [(root, {})], {}
+
+    @property
+    def top(self) -> Node:
+        return self.open[-1]
+
+    def push(self, node: Node) -> None:
+        self.open.append(node)
+        self.all[node.tag] = self.all.get(node.tag, 0) + 1
+        if node.tag in SCOPES:
+            self.scopes.append((node, {}))
+        else:
+            held = self.scopes[-1][1]
+            held[node.tag] = held.get(node.tag, 0) + 1
+
+    def pop(self) -> Node:
+        node = self.open.pop()
+        self.all[node.tag] -= 1
+        if node.tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][node.tag] -= 1
+        return node
+
+    def close(self, *names: str) -> None:
+        """Close up to the nearest of these in the scope, if one is open there."""
+        held = self.scopes[-1][1]
+        if any(held.get(n) for n in names):
+            while self.pop().tag not in names:
+                pass
+
+    def close_scope(self, *names: str) -> None:
+        """Close the scope that all stands in, if it is one of these."""
+        node = self.scopes[-1][0]
+        if node.tag in names:
+            while self.pop() is not node:
+                pass
+
+    def end(self, name: str) -> None:
+        if name not in SCOPES:  # a stray end tag does not close what it stands in
+            self.close(name)
+        elif self.all.get(name):
+            while self.pop().tag != name:
+                pass
+
+    def before(self, name: str) -> None:
+        """What a start tag closes."""
+        if name in ENDS_P:
+            self.close("p")
+        if name == "li":
+            self.close("li")
+        elif name in ("dt", "dd"):
+            self.close("dt", "dd")
+        elif name == "option":
+            self.close("option")
+        elif name in ("td", "th", "tr", "tbody", "thead", "tfoot"):
+            self.close_scope("td", "th")
+            if name not in ("td", "th"):
+                self.close("tr")
+            if name in ("tbody", "thead", "tfoot"):
+                self.close("tbody", "thead", "tfoot")
+        if name in CONTENT:
+            self.close("head")
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root, and all nodes in page order; a node's parts are texts and nodes."""
-    root = Node("html", None, False, False)
-    nodes, top, at, size = [root], root, 0, len(page)
+    """The root, and all nodes in page order; a node's parts are texts and nodes. One pass, in time linear in the page.
+
+    A tag that the page's end cuts off is dropped with what is in it; one that the next tag cuts off is dropped.
+    """
+    root = Node("html", None, False)
+    nodes, stack, at, size = [root], _Stack(root), 0, len(page)
 
     def text(a: int, b: int) -> None:
+        top = stack.top
         if b > a and not top.dropped:
             top.parts.append(entities.unescape(page[a:b]))
 
     while at < size:
-        found = _TOKEN.search(page, at)
-        if not found:
+        start = page.find("<", at)
+        if start < 0:
             text(at, size)
             break
-        text(at, found.start())
-        at = found.end()
-        name = found[2]
-        if name is None:
+        name = _NAME.match(page, start + 1)
+        if not name:
+            if page[start + 1 : start + 2] in ("!", "?", "/") and start + 1 < size:
+                text(at, start)
+                opened, closed = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], start)), ("<", ">"))
+                end = page.find(closed, start + len(opened))
+                at = end + len(closed) if end >= 0 else size
+            else:  # a sign, not a tag
+                text(at, start + 1)
+                at = start + 1
             continue
-        name = name.lower()
-        if found[1]:
-            node = top
-            while node is not root and node.tag != name:
-                if name not in ("p", "div", "article", "section", "body", "html", "main") and node.tag in SCOPES and name not in SCOPES:
-                    node = root  # a stray end tag does not close what it stands in
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+        text(at, start)
+        end = _REST.match(page, name.end()).end()
+        if end < size and page[end] in "\"'":  # a quote that nothing ends
+            stop = _STOP.search(page, name.end())
+            end = stop.start() if stop else size
+        if end >= size or page[end] == "<":
+            at = end
             continue
-        if name in ("html", "body") and any(n.tag == name for n in nodes[:3]) and name == "html":
+        at = end + 1
+        tag = name[1].lower()
+        if page[start + 1] == "/":
+            stack.end(tag)
             continue
-        if name in ENDS_P:
-            node = top
-            while node is not root and node.tag not in SCOPES and node.tag not in ("p", "li", "dd", "dt"):
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
-        if name in CLOSES:
-            node = top
-            while node is not root and node.tag not in CLOSES[name] and node.tag not in (SCOPES - {"td", "th"} if name == "tr" or name == "tbody" else SCOPES):
-                node = node.parent
-            if node.tag in CLOSES[name]:
-                top = node.parent
-                if name in ("tr", "tbody") and top.tag in CLOSES[name]:
-                    top = top.parent
-        if top.tag == "head" and name in ("body", "div", "p", "article", "nav", "main", "header", "section", "h1"):
-            top = top.parent
-        node = Node(name, top, top.dropped or _unwanted(name, found[3], top), top.in_link or name == "a")
+        if tag == "html" and len(nodes) < 4:
+            continue
+        attributes = page[name.end() : end]
+        stack.before(tag)
+        top = stack.top
+        node = Node(tag, top, top.dropped or _unwanted(tag, attributes, top))
         top.parts.append(node)
         nodes.append(node)
-        if name in RAW and not found[3].endswith("/"):
-            end = re.compile(f"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else size
-        elif name not in VOID and not (found[3].endswith("/") and name in ("svg", "path")):
-            top = node
+        if tag in RAW:
+            found = _ENDS[tag].search(page, at)
+            at = found.end() if found else size
+        elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "math")):
+            stack.push(node)
     return root, nodes
 
 
+_ENDS = {name: re.compile(f"</{name}[^>]*+>", re.IGNORECASE) for name in RAW}
+
+
 def _weigh(nodes: list[Node]) -> None:
     """Points of every node; a paragraph's own text counts, not that of blocks inside it."""
-    own: dict[int, list[int]] = {}
+    blocks = []
     for node in nodes:
         if node.dropped:
             continue
@@ -138,23 +209,26 @@ def _weigh(nodes: list[Node]) -> None:
         chars = sum(len(p.strip()) for p in said)
         if not chars:
             continue
-        commas = sum(p.count(",") + p.count("，") + p.count("、") for p in said)
-        block, up = node, node
-        while block.parent is not None and block.tag not in BLOCKS:
-            block = block.parent
-        held = own.setdefault(id(block), [0, 0, 0, block])
-        held[0] += chars
-        held[1] += commas
-        held[2] += chars if node.in_link else 0
-        while up is not None:
-            up.chars += chars
-            up.linked += chars if node.in_link else 0
-            up = up.parent
-    for chars, commas, linked, block in own.values():
+        linked = chars if node.in_link else 0
+        node.chars += chars
+        node.linked += linked
+        block = node.block
+        if block.own is None:
+            block.own = [0, 0, 0]
+            blocks.append(block)
+        block.own[0] += chars
+        block.own[1] += sum(p.count(",") + p.count("，") + p.count("、") for p in said)
+        block.own[2] += linked
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    for block in blocks:
+        chars, commas, linked = block.own
         if chars < 25 or block.tag not in PARAGRAPHS or linked > 0.5 * chars:
             continue
         points = 1 + commas + min(chars // 100, 3)
-        share, up = 1.0, block if block.tag in ("div", "section", "article", "body", "main", "td") else block.parent
+        share, up = 1.0, block if block.tag in CONTAINERS else block.parent
         for level in range(3):
             if up is None:
                 break
@@ -171,17 +245,14 @@ def main_text(page: str | None) -> str:
     _weigh(nodes)
     live = [n for n in nodes if not n.dropped and n.score > 0]
     density = lambda n: n.linked / n.chars if n.chars else 0.0
-    articles = [n for n in nodes if n.tag in ("article", "main") and not n.dropped and n.chars]
-    if not live and not articles:
-        best = root if root.chars else None
-    else:
-        best = max(live or articles, key=lambda n: n.score * (1 - density(n)))
-        for n in articles:  # a marked article that holds the best container, or most of the text, is the container
-            if n is best or _holds(n, best):
-                best = n
-                break
-    if best is None:
-        return ""
+    if not live:  # no paragraph has points: a marked article, or all there is
+        live = [n for n in nodes if n.tag in ("article", "main") and not n.dropped and n.chars] or [root]
+    best = max(live, key=lambda n: n.score * (1 - density(n)))
+    up = best
+    while up is not None:  # the outermost marked article that holds the best container is the container
+        if up.tag in ("article", "main"):
+            best = up
+        up = up.parent
     kept = [best]
     if best.parent is not None and best.tag not in ("article", "main"):
         least = max(10.0, 0.2 * best.score * (1 - density(best)))
@@ -198,14 +269,6 @@ def main_text(page: str | None) -> str:
     return "\n".join(blocks)
 
 
-def _holds(outer: Node, inner: Node | None) -> bool:
-    while inner is not None:
-        if inner is outer:
-            return True
-        inner = inner.parent
-    return False
-
-
 def _read(top: Node, blocks: list[str]) -> None:
     """Append the blocks of text under a node, in page order; not recursive, as trees can be very deep."""
     line: list[str] = []
@@ -236,6 +299,8 @@ def _read(top: Node, blocks: list[str]) -> None:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from the whole html; one pass, no shuffle.
 
+    Inside an article only elements whose whole class, id or role marks them as advert, menu, notice, sidebar or comments are
+    dropped; formulas and captions stay. Malformed and very deep pages are read in linear time.
     A null or empty html has an empty text; a null page_id or url stays null; repeated rows give a row each; other columns are
     ignored; an empty table gives an empty result.
     """
