@@ -12,26 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import read, written
-from quillspark.llm.near_dup import near_duplicates
+from quillspark.llm.near_dup import drop_near_duplicates
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.queries import BYTE_BPE
 from quillspark.llm.substrings import remove_repeats
 from quillspark.llm.toxicity import drop_toxic
 
-#: The classifier's numpy training and the exact joins have no SQL; tests hold the stages against brute force.
+#: The classifier's numpy training has no SQL; tests/llm hold every stage and the whole run against plain Python.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores as toxic go; rows without words stay."""
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates()
+    """One row of each group of near-duplicates stays, and every row without words or doc_id."""
+    return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages that start twice go; other texts stay as they are, and n_chars follows the text."""
     told = remove_repeats(docs.select(F.struct("*").alias("doc"), "text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     out = told.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
@@ -39,6 +41,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row in pieces of at most 1024 tokens, each with its sequence and offset; null texts are the end token alone."""
     return pack_documents(docs, BYTE_BPE)
 
 

@@ -10,7 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 8 << 20
@@ -51,6 +54,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """All columns of docs in a column row, its text (if it has one) beside it, and file and at, which tell a row from all others."""
+    text = [F.col("text")] if "text" in docs.columns else []
+    told = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *text]
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    try:
+        return docs.select(*told, *place)
+    except AnalysisException:  # not rows of files as they are
+        return written(docs, "rows").select(*told, *place)
+
+
+#: The most keys that are told apart as frequent; with them go as many rows by broadcast.
+HOT_KEYS = 4096
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined, left, with a table that has one row a key. Both are written tables.
+
+    A key that more than one in HOT_KEYS of the rows have would land in one task: there are at most HOT_KEYS of these, so
+    their names go to the driver and their rows of the table by broadcast. All other keys are exchanged.
+    """
+    spark, counts = rows.sparkSession, rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    total, most = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    least = max(HOT_KEYS, total // HOT_KEYS)
+    if most <= least:
+        return rows.join(table.hint("merge"), key, "left")
+    hot = [tuple(r) for r in counts.where(F.col("count") > least).select(key).collect()]
+    names = F.broadcast(spark.createDataFrame(hot, StructType([StructField(key, rows.schema[key].dataType)])))
+    often = rows.join(names, key, "left_semi").join(F.broadcast(table.join(names, key, "left_semi")), key, "left")
+    return often.unionByName(rows.join(names, key, "left_anti").join(table.hint("merge"), key, "left"))
+
+
+def even_keys(spark: SparkSession) -> list[int]:
+    """An int for each shuffle partition that the hash of Spark's exchanges deals to it, so that numbered groups spread evenly."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(16 * n + 64).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").cast("int").alias("k"))
+    return sorted(r["k"] for r in found.collect())
+
+
 def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_array, release, slices, texts_of, written
+from .common import as_array, even_keys, looked_up, placed, release, slices, texts_of, written
 from .substrings import Batch, mixed, rolling
 
 SYMBOLS, CHUNK = 50, 5
@@ -26,7 +26,9 @@ CHUNKS = SYMBOLS // CHUNK
 BOUND = 2 * CHUNKS - 1
 #: Documents in a block of a tile.
 BLOCK = 384
-_SETS = "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary"
+#: Members of a hub in a group that is compared with it, and rows of many small hubs in a group.
+PART, FEW = 128, 96
+_SETS = "doc_id long, file long, at long, n_shingles long, fp1 long, fp2 long, signature binary"
 _ODD = (mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 _SALT = mixed(np.arange(1000, 1000 + CHUNKS * CHUNK, dtype=np.uint64)).reshape(CHUNKS, CHUNK)
 
@@ -82,8 +84,8 @@ def _describe(k: int):
                 prints = [(int(mixed(s).sum(dtype=np.uint64).view(np.int64)), int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
                 marks = signatures(sets)
                 yield pa.record_batch(
-                    [as_array(part.column("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()), pa.array([m.tobytes() for m in marks], pa.binary())],
-                    names=["doc_id", "n_shingles", "fp1", "fp2", "signature"],
+                    [*(as_array(part.column(c)) for c in ("doc_id", "file", "at")), pa.array([len(s) for s in sets], pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()), pa.array([m.tobytes() for m in marks], pa.binary())],
+                    names=["doc_id", "file", "at", "n_shingles", "fp1", "fp2", "signature"],
                 )
 
     return run
@@ -103,14 +105,12 @@ def _compare(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         release()
         nodes, hubs = table.column("node").to_pylist(), table.column("hub").to_pylist()
-        place = {}
-        for i, d in enumerate(nodes):
-            place.setdefault(d, i)
+        place = {d: i for i, d in reversed(list(enumerate(nodes)))}
         kept = sorted(place.values())
         sets = dict(zip((nodes[i] for i in kept), shingle_sets(texts_of(table.take(pa.array(kept))), k)))
         found = set()
         for a, b in zip(nodes, hubs):
-            if a != b and b in sets:
+            if a != b:
                 x, y = sets[a], sets[b]
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -122,19 +122,33 @@ def _compare(k: int, percent: int):
     return run
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+def _grouped(texts: DataFrame, rows: DataFrame, number: F.Column, small: F.Column, own: list[str], compare) -> DataFrame:
+    """The links that compare finds in groups of rows (node, hub, ...), each with the node's text.
+
+    A group is all rows with equal own columns, or, where small holds, those of a number of hubs, about FEW rows. Groups are
+    dealt to partitions by number (from the hash of the hub on), so those of one large hub lie evenly.
+    """
+    spark = rows.sparkSession
+    keys, buckets = even_keys(spark), max(1, rows.where(small).count() // FEW)
+    bucket = F.pmod(F.xxhash64("hub", F.lit(5)), F.lit(buckets))
+    told = F.when(small, F.struct(F.lit(-1).cast("long").alias("g"), bucket.alias("h"), F.lit("").alias("o")))
+    told = told.otherwise(F.struct(F.lit(0).cast("long").alias("g"), F.col("hub").alias("h"), F.concat_ws(",", *own).alias("o")))
+    turn = F.when(small, bucket).otherwise(F.xxhash64("hub") % F.lit(1 << 40) + number)
+    key = F.element_at(F.array(*map(F.lit, keys)), (F.pmod(turn, F.lit(len(keys))) + 1).cast("int"))
+    dealt = rows.withColumn("grp", told).withColumn("key", key)
+    held = texts.join(dealt.hint("merge"), "node").repartition(len(keys), "key")
+    return held.groupBy("key", "grp").applyInArrow(compare, "a long, b long")
+
+
+def confirm(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, hub, n) whose full sets are similar enough, as (a, b).
 
-    Pairs are dealt to groups of a few hundred: the text of a hub goes once to every group that has members of it, and a hub
-    with n members is split over n / 256 parts. total: how many pairs there are.
+    A hub with n members is split over n / PART groups; its text goes once to every group that has members of it.
     """
-    parts = F.ceil(F.col("n") / 256).cast("int")
+    parts = F.ceil(F.col("n") / PART).cast("int")
     dealt = pairs.select("a", "hub", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    groups = F.pmod(F.xxhash64("hub", "parts", "part"), F.lit(max(1, total // 192))).alias("grp")
-    dealt = dealt.select("a", "hub", groups)
-    wanted = dealt.select(F.col("a").alias("node"), "hub", "grp").unionByName(dealt.select(F.col("hub").alias("node"), "hub", "grp").distinct())
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node")
-    return texts.select("grp", "node", "hub", "text").groupBy("grp").applyInArrow(_compare(k, percent), "a long, b long")
+    rows = dealt.select(F.col("a").alias("node"), "hub", "parts", "part").unionByName(dealt.select(F.col("hub").alias("node"), "hub", "parts", "part").distinct())
+    return _grouped(texts, written(rows, "dealt"), F.col("part"), F.col("parts") == 1, ["parts", "part"], _compare(k, percent))
 
 
 def _compare_tiles(k: int, percent: int):
@@ -167,74 +181,135 @@ def _compare_tiles(k: int, percent: int):
     return run
 
 
-def compare_strangers(docs: DataFrame, pairs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+def compare_strangers(texts: DataFrame, pairs: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Links among the members of a hub's entries that are in other components than the hub, and of these to the rest.
 
-    The first kind ("out") and the second ("in") are cut into blocks of BLOCK documents; a tile has one block of the first
+    The first kind ("out") and the second ("in") are cut into blocks of ``block`` texts; a tile has one block of the first
     kind and another of either, so a task sees two blocks at most, and members of the hub's own component, which may be very
     many, are never compared with each other.
     """
     label = written(found, "found")
-    told = pairs.select("a", "hub").join(label.select(F.col("node").alias("a"), F.col("component").alias("c")), "a", "left")
-    told = told.join(label.select(F.col("node").alias("hub"), F.col("component").alias("h")), "hub", "left")
+    told = looked_up(pairs.select("a", "hub"), label.select(F.col("node").alias("a"), F.col("component").alias("c")), "a")
+    told = looked_up(written(told, "told"), label.select(F.col("node").alias("hub"), F.col("component").alias("h")), "hub")
     told = written(told.select("hub", "a", F.coalesce("c", "a").alias("component"), (F.coalesce("c", "a") != F.coalesce("h", "hub")).alias("out")), "told")
     many = told.groupBy("hub").agg(F.count(F.when(F.col("out"), 1)).alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0 and n > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    many = written(many.select("hub", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n") - F.col("n_out")).alias("ins")), "strange")
-    rows = told.join(many, "hub").withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("a"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("a"), F.col("ins"))).cast("int"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    many = written(many.select("hub", "n", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n") - F.col("n_out")).alias("ins")), "strange")
+    rows = looked_up(told, many, "hub").where("outs is not null")
+    rows = rows.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("a"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("a"), F.col("ins"))).cast("int"))
     # a tile is (x, y): x an out block, y the same, a later out block or an in block
     last = F.when(F.col("out"), F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
     rows = rows.withColumn("z", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumn("x", F.least("own", "z")).withColumn("y", F.greatest("own", "z")).withColumn("first", F.col("own") == F.col("x"))
-    rows = written(rows.select(F.col("a").alias("node"), "component", "hub", "x", "y", "first"), "tiles")
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("hub", "x", "y"), F.lit(max(1, rows.count() // 256))))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dealt.hint("merge"), "node")
-    return texts.groupBy("grp").applyInArrow(_compare_tiles(k, percent), "a long, b long")
+    number = F.expr("x * (outs + ins) - x * (x - 1) div 2 + y - x").cast("long").alias("number")
+    rows = written(rows.select(F.col("a").alias("node"), "component", "hub", "x", "y", "first", number, (F.col("n") <= FEW).alias("small")), "tiles")
+    return _grouped(texts, rows, F.col("number"), F.col("small"), ["x", "y"], _compare_tiles(k, percent))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have a link: the smallest node that can be reached.
 
-    Every round each node takes the smallest label of its neighbours and then its label's label; rounds are written tables
-    in the shared folder. What meets at a node is a minimum, combined before it is exchanged.
+    Every round each node takes the smallest label of its neighbours and then its label's label, until none changes; rounds
+    are written tables in the shared folder. What meets at a node is a minimum, combined before it is exchanged; a node with
+    very many links, and a label that very many nodes have, are looked up by broadcast (see looked_up).
     """
     both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "links")
     label = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
+    while True:
+        near = looked_up(both, label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         hooked = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
         hooked = written(hooked, "labels")
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        label = written(hooked.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        if label.where("was != component").isEmpty():
-            return label.select("node", "component")
+        label = written(looked_up(hooked, jump, "component").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        settled = label.where("was != component").isEmpty()
         label = label.select("node", "component")
-    raise RuntimeError("components did not settle")
+        if settled:
+            return label
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept.
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets of ``shingle``-word shingles. An empty or
-    null text is linked with nothing. A row with a null doc_id is kept, linked with nothing and has no component. Rows with
-    one doc_id count as one document and get one component each by their own text; other columns are ignored; an empty
-    table gives an empty result.
-    """
-    sets = written(docs.select("doc_id", "text").mapInArrow(_describe(shingle), _SETS), "sets")
+def _classes(rows: DataFrame, shingle: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (see _SETS), and by fp1, fp2 the component of each distinct set: the smallest (doc_id, file, at) in it."""
+    sets = written(rows.select("row.doc_id", "text", "file", "at").mapInArrow(_describe(shingle), _SETS), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    nodes = written(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "nodes")
+    nodes = full.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "file", "at")).alias("rep"), F.min("signature").alias("signature"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     index = written(nodes.select("node", "signature").mapInArrow(_index, "entry long, node long"), "index")
     hubs = written(index.groupBy("entry").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    met = written(index.join(hubs, "entry").where("node != hub").select("entry", F.col("node").alias("a"), "hub", "n"), "met")
+    met = looked_up(index, hubs, "entry").where("node != hub").select(F.col("node").alias("a"), "hub", "n")
     pairs = written(met.groupBy("a", "hub").agg(F.max("n").alias("n")), "pairs")
-    links = written(confirm(docs, pairs, shingle, percent, pairs.count()), "confirmed")
+    # the texts of one row for each set that has a partner: all texts are exchanged once, here
+    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
+    paired = nodes.join(paired.hint("merge"), "node").select("node", "rep.file", "rep.at")
+    texts = written(rows.select("text", "file", "at").join(paired.hint("merge"), ["file", "at"]).select("node", "text"), "paired")
+    links = written(confirm(texts, pairs, shingle, percent), "confirmed")
     found = components(links)
-    late = written(compare_strangers(docs, pairs, found, shingle, percent), "late")
+    late = written(compare_strangers(texts, pairs, found, shingle, percent, block), "late")
     if not late.isEmpty():
         found = components(links.unionByName(late))
-    whole = nodes.select("fp1", "fp2", "node").join(found, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("component_id"))
-    whole = written(whole, "classes")
-    out = sets.select("doc_id", "n_shingles", "fp1", "fp2").join(whole, ["fp1", "fp2"], "left")
-    linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    linked = F.when(F.col("doc_id").isNotNull(), linked)
-    return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
+    told = written(nodes.select("node", "fp1", "fp2", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "told")
+    first = written(told.groupBy("component").agg(F.min("rep").alias("first")), "first")
+    return sets, written(looked_up(told, first, "component").select("fp1", "fp2", "first"), "classes")
+
+
+def _judged(rows: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """Every row of placed rows: doc_id, file, at, n_shingles, first (null: linked with nothing by definition)."""
+    sets, classes = _classes(rows, shingle, percent, block)
+    own = F.col("n_shingles") > 0
+    sets = sets.select("doc_id", "file", "at", "n_shingles", F.struct("fp1", "fp2").alias("print"))
+    full = written(sets.where(own & F.col("doc_id").isNotNull()), "full")
+    judged = looked_up(full, classes.select(F.struct("fp1", "fp2").alias("print"), "first"), "print")
+    alone = sets.where(~own | F.col("doc_id").isNull()).withColumn("first", F.lit(None).cast(judged.schema["first"].dataType))
+    return judged.unionByName(alone).drop("print")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept.
+
+    Two rows are linked if 100 * intersection >= percent * union of their sets of ``shingle``-word shingles. An empty or
+    null text is linked with nothing. A row with a null doc_id is kept, linked with nothing and has no component. Rows with
+    one doc_id but different texts each go by their own text, whatever their order; repeated rows give a row each; other
+    columns are ignored; an empty table gives an empty result. block: texts in a block of a tile, which bounds a task.
+    """
+    judged = _judged(placed(docs.select("doc_id", "text")), shingle, percent, block)
+    component = F.coalesce("first.doc_id", "doc_id").alias("component_id")
+    return judged.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns unchanged, but one row only of each component: the first by doc_id.
+
+    Rows without words or without a doc_id stay, each of them; of repeated rows with words one stays. Rows are told apart by
+    where they lie, so any column names will do. The texts are exchanged once for this.
+    """
+    rows = placed(docs)
+    judged = _judged(rows, shingle, percent, block)
+    stays = F.col("first").isNull() | ((F.col("first.file") == F.col("file")) & (F.col("first.at") == F.col("at")))
+    kept = judged.where(stays).select("file", "at")
+    return rows.select("row", "file", "at").join(kept.hint("merge"), ["file", "at"], "left_semi").select("row.*")
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents
+), sets as (
+  select doc_id, case when len(words) >= 2 then list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+                      else words end as s
+  from w
+), told as (
+  select doc_id, len(s) as n, unnest(s) as shingle from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b
+  from told a join told b on a.shingle = b.shingle and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges as (
+  select a, b from links union all select b, a from links
+), reached(doc_id, place) as (
+  select doc_id, doc_id from sets
+  union
+  select r.doc_id, e.b from reached r join edges e on e.a = r.place
+)
+select sets.doc_id, cast(len(s) as bigint) as n_shingles, min(place) as component_id, sets.doc_id = min(place) as kept
+from sets join reached on sets.doc_id = reached.doc_id group by sets.doc_id, len(s)
+"""

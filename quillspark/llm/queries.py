@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, read
 from .maxscore import ORACLE as MAX_SCORE_SQL
+from .near_dup import ORACLE as NEAR_DUP_SQL
 from .substrings import ORACLE as SUBSTRING_SQL
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,4 +75,4 @@ def op10_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup, op8_max_score, op9_html_extraction, op10_vantage_point)}
-ORACLES = {"op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL}
+ORACLES = {"op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op7_near_dedup": NEAR_DUP_SQL}
