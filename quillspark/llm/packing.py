@@ -1,17 +1,20 @@
 """Best-fit packing of documents into sequences of bounded length.
 
-The configuration linear program over the length histogram asks for the fewest sequences such that every length is
-covered as often as it occurs, a configuration being a multiset of lengths that fit one sequence. It is solved by
-multiplicative weights: each length carries a weight that starts at its volume and shrinks as it is covered; a knapsack
-dynamic program prices the best configuration under the weights, and it is bought in bulk, in whole sequences and never
-for more pieces than are left. What rounding leaves over is placed by best fit over the rest of the histogram. Both see
-only the histogram (at most ``capacity`` counts), however large the corpus.
+The configuration linear program over the length histogram asks for the fewest sequences such that every length is covered
+as often as it occurs, a configuration being a multiset of lengths that fit one sequence. It is solved by multiplicative
+weights: a length's weight starts at its volume, a little more for long ones, and falls as it is covered. In each round a
+knapsack dynamic program prices, for every length at once, the best configuration that holds it; those worth nearly the
+most of all are bought, fractions of a sequence included, until a length of theirs is covered. What is near enough is
+widened where a round buys little, so the last rounds cover what is hard to fit.
+
+Rounding takes the whole part of every purchase and then, by falling fraction, one sequence more where all its pieces are
+left. The few pieces that remain are placed by best fit. All of it sees only the histogram (at most ``capacity`` counts),
+however large the corpus.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 import zlib
 
 import numpy as np
@@ -26,54 +29,92 @@ CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def knapsack(value: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
-    """Lengths of a best configuration; value[l] is what a piece of length l is worth, most[l] how many there may be."""
-    items = []
-    for n in np.flatnonzero(most)[::-1].tolist():
-        rest, k = min(int(most[n]), capacity // n), 1
-        while rest > 0:  # 1, 2, 4, ... copies of a length as one item
-            k = min(k, rest)
-            items.append((n, k))
-            rest, k = rest - k, 2 * k
-    best = np.zeros(capacity + 1)
-    took = np.zeros((len(items), capacity + 1), dtype=bool)
-    for i, (n, k) in enumerate(items):
-        gain = best[: capacity + 1 - n * k] + value[n] * k
-        took[i, n * k :] = gain > best[n * k :]
-        best[n * k :] = np.maximum(gain, best[n * k :])
-    out, c = [], capacity
-    for i in range(len(items) - 1, -1, -1):
-        if took[i, c]:
-            n, k = items[i]
-            out += [n] * k
-            c -= n * k
-    return out
-
-
-def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 400, rate: float = 0.1, least: int = 4, rest: float = 0.3) -> list[tuple[list[int], int]]:
-    """Configurations and how often each is used; together they hold every length exactly as often as counts says.
-
-    rounds: into about so many purchases the volume bound is cut; rate: by how much a weight may shrink; least: a use of
-    fewer sequences than that is rounded down to none. The share ``rest`` of every length is kept back: with what
-    rounding leaves over, it has all lengths in about their first proportions, and best fit places it.
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """What 0, 1, ..., capacity tokens can be worth at most, and the length that ends such a filling (0: none); value: of each length."""
+    worth = np.where(value > 0, value, -1.0)[1:]
+    held = np.zeros(capacity + 1)  # held[capacity - c] belongs to c tokens
+    last = np.zeros(capacity + 1, dtype=np.int64)
+    for c in range(1, capacity + 1):
+        told = (held[capacity - c + 1 :] + worth[:c])[::-1]  # the longest first
+        k = int(told.argmax())
+        held[capacity - c] = held[capacity - c + 1]
+        if told[k] > held[capacity - c] + 1e-12:
+            held[capacity - c], last[c] = told[k], c - k
+    return held[::-1], last
+
+
+def priced(value: np.ndarray, capacity: int) -> tuple[np.ndarray, list[dict[int, int]], np.ndarray, float]:
+    """The lengths of positive value, the best configuration that holds each, what these are worth, and the most of all."""
+    best, ends = knapsack(value, capacity)
+    at = np.maximum.accumulate(np.where(ends > 0, np.arange(capacity + 1), 0)).tolist()
+    last, lengths, out = ends.tolist(), np.flatnonzero(value > 0)[::-1], []
+    for n in lengths.tolist():
+        config, room = {n: 1}, at[capacity - n]
+        while room:
+            config[last[room]] = config.get(last[room], 0) + 1
+            room = at[room - last[room]]
+        out.append(config)
+    return lengths, out, value[lengths] + best[capacity - lengths], float(best[capacity])
+
+
+def program(counts: np.ndarray, capacity: int = CAPACITY, rate: float = 0.05, lean: float = 0.3, near: float = 5e-4) -> dict[tuple[tuple[int, int], ...], float]:
+    """A fractional solution: how many sequences of each configuration ((length, copies), ...); it covers every length exactly.
+
+    rate: by how much being covered lowers a weight; lean: how much more a long piece weighs a token; near: which share of
+    the most worth is given up at first.
     """
-    left = counts.astype(np.int64).copy()
-    total, lengths = np.maximum(left, 1), np.arange(len(left))
-    volume = int((left * lengths).sum())
-    bulk = max(least, math.ceil(volume / capacity) // rounds)
-    out: list[tuple[list[int], int]] = []
-    spare = np.floor(left * (1 - rest)).astype(np.int64)
+    size = np.arange(len(counts)) / capacity
+    start, enough = size * np.exp(lean * size), 0.01 * float((counts * size).sum())
+    left = counts.astype(np.float64)
+    out: dict[tuple[tuple[int, int], ...], float] = {}
     while True:
-        weights = lengths / capacity * np.exp(-rate * (1 - left / total))
-        config = knapsack(weights, spare // least, capacity)
-        used = np.bincount(config, minlength=len(left))
-        held = np.flatnonzero(used)
-        if not len(held) or sum(config) < 0.999 * capacity:  # no full sequence is left to buy in bulk
-            break
-        times = int(min(bulk, (spare[held] // used[held]).min()))
-        spare -= used * times
-        left -= used * times
-        out.append((config, times))
+        value = np.where(left > 1e-9, start * np.exp(rate * (left / np.maximum(counts, 1) - 1)), 0.0)
+        if not value.any():
+            return out
+        _, configs, worth, most = priced(value, capacity)
+        rest, bought = left.tolist(), 0.0
+        for i in np.flatnonzero(worth >= (1 - near) * most).tolist():
+            times = min(rest[n] / k for n, k in configs[i].items())
+            if times > 1e-9:
+                for n, k in configs[i].items():
+                    rest[n] -= k * times
+                key = tuple(sorted(configs[i].items()))
+                out[key] = out.get(key, 0.0) + times
+                bought += times
+        left = np.array(rest)
+        if bought < enough:
+            near = min(1.0, 2 * near)
+
+
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> float:
+    """Fewer sequences than that cannot do: the better of two dual solutions, the volume and the pieces over half a sequence."""
+    size = np.arange(len(counts)) / capacity
+    priced_volume = np.where(counts > 0, size, 0.0)
+    most = knapsack(priced_volume, capacity)[0][-1]
+    return max(float((counts * size).sum()) / most if most else 0.0, float(counts[capacity // 2 + 1 :].sum()))
+
+
+def rounded(plan: dict[tuple[tuple[int, int], ...], float], counts: np.ndarray) -> tuple[list[tuple[list[int], int]], np.ndarray]:
+    """Whole sequences of a fractional solution, and how many pieces of each length they leave."""
+    left, out = counts.astype(np.int64).tolist(), []
+
+    def take(config: tuple[tuple[int, int], ...], most: int) -> None:
+        times = min([most, *(left[n] // k for n, k in config)])
+        if times:
+            for n, k in config:
+                left[n] -= k * times
+            out.append(([n for n, k in config for _ in range(k)], times))
+
+    for config, times in plan.items():
+        take(config, int(times + 1e-6))
+    for config, times in sorted(plan.items(), key=lambda x: -(x[1] % 1)):
+        take(config, 1)
+    return out, np.array(left, dtype=np.int64)
+
+
+def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Configurations and how often each is used; together they hold every length exactly as often as counts says."""
+    out, left = rounded(program(counts, capacity), counts)
     return out + best_fit(left, capacity)
 
 
@@ -164,7 +205,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces: a written table (it is read three times) with a column length from 1 to capacity, and any others. To the driver
     go at most ``capacity`` counts. A length that many pieces have is numbered in groups of bounded share, so no task gets
     all of it; what is broadcast has at most a few thousand rows (groups) and a few ten thousand (ranges of the plan), both
-    bounded by capacity and the number of rounds, not by the rows. Repeated rows are packed once each.
+    bounded by capacity and the number of rounds, not by the rows. Repeated rows are packed once each: groups go by a row's
+    place in its file, not by what is in it.
     """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -173,11 +215,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = plan_rows(counts, capacity)
     share = max(256, -(-int(counts.sum()) // 8192))
     groups = F.array(*(F.lit(max(1, -(-int(n) // share))) for n in counts))
-    named = [c for c in pieces.columns if c != "length"]
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(*named), groups[F.col("length").cast("int")]).cast("int"))
+    dealt = pieces.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_at"))
+    dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("_f", "_at"), groups[F.col("length").cast("int")]).cast("int"))
     ahead = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "_g").count().select("length", "_g", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("length", "_g").orderBy(*named)
+    inside = Window.partitionBy("length", "_g").orderBy("_f", "_at")
     ranked = dealt.withColumn("_r", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["length", "_g"])
     ranked = ranked.withColumn("_r", F.col("_r") + F.col("_ahead"))
     ranges = spark.createDataFrame(plan, "length long, begin long, end long, base long, each long, at long")
