@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries compared at once.
+QUERIES = 2048
+
+
 def finite(vector: Column) -> Column:
     """Neither null nor holding a null or non-finite component."""
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -30,38 +34,69 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return out
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, highest first, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-        return near[np.lexsort((ids[near], -scores[near]))][:k]
-    return np.lexsort((ids, -scores))[:k]
+class TopK:
+    """The k best candidates of each of some queries: highest score first, ties to smaller ids."""
+
+    def __init__(self, query_ids: np.ndarray, k: int, kind: type) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.nothing = -(1 << 62) if kind is np.int64 else -np.inf
+        self.scores = np.full((len(query_ids), k), self.nothing, dtype=kind)
+        self.ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+
+    @property
+    def floor(self) -> np.ndarray:
+        """What a candidate of each query has to reach."""
+        return self.scores[:, -1]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates, each for the query in that row; a query's own id is left out."""
+        ok = (self.query_ids[rows] != ids) & (scores >= self.floor[rows])
+        rows, ids, scores = rows[ok], ids[ok], scores[ok]
+        if not len(rows):
+            return
+        hit, place = np.unique(rows, return_inverse=True)
+        place = np.concatenate([np.repeat(np.arange(len(hit)), self.k), place])
+        ids, scores = np.concatenate([self.ids[hit].ravel(), ids]), np.concatenate([self.scores[hit].ravel(), scores])
+        order = np.lexsort((ids, -scores, place))
+        size = np.bincount(place)
+        best = order[((np.cumsum(size) - size)[:, None] + np.arange(self.k)).ravel()]
+        self.ids[hit], self.scores[hit] = ids[best].reshape(-1, self.k), scores[best].reshape(-1, self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = (self.ids != np.iinfo(np.int64).max).ravel()
+        return np.repeat(self.query_ids, self.k)[told], self.ids.ravel()[told], self.scores.ravel()[told]
 
 
 def search_in_blocks(rows: DataFrame, is_query: Column, search: Callable, k: int, score: str, shard_rows: int, block_rows: int) -> DataFrame:
-    """For each query row its k best candidates among all other rows: query_id, rank, vec_id, score.
+    """For each query its k best candidates among all other rows: query_id, rank, vec_id, score.
 
-    rows: vec_id, v. Candidates are dealt to shards and queries to blocks, both by hash; a task sees one shard and one block,
-    so its memory is bounded, and it returns k candidates a query. search(query ids, queries, ids, vectors) yields
-    (query_id, ids, scores) and leaves out candidates with the query's own vec_id. Repeated rows are candidates each.
+    rows: vec_id, v, file, at (see common.placed). Candidates are dealt to shards by where they lie, so that repeated rows spread,
+    and queries to blocks by hash; a task sees one shard and one block, so its memory is bounded, and it returns k candidates a
+    query. prepared = search(ids, vectors) indexes a shard, and prepared(query ids, queries) gives a TopK. Candidates with the
+    query's own vec_id are left out. Repeated rows are candidates each; rows that share a vec_id ask once, with the smallest
+    of their vectors.
     """
     told = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = max(1, -(-told["n"] // shard_rows)), max(1, -(-told["q"] // block_rows))
     kind = dict(rows.dtypes)["v"]
     element = np.int64 if "bigint" in kind else np.float64
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("file", "at"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(blocks)).cast("int")
     candidates = rows.select("vec_id", "v", F.lit(False).alias("asks"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = rows.where(is_query).select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = queries.select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
 
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
         ids = table.column("vec_id").to_numpy()
         vectors = matrix(table.column("v"), element)
-        found = [(np.full(len(got), q), got, said) for q, got, said in search(ids[asks], vectors[asks], ids[~asks], vectors[~asks])]
-        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2].astype(element), pa.from_numpy_dtype(element))], names=["query_id", "vec_id", "score"])
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, element))]
+        if not asks.all():
+            prepared = search(ids[~asks], vectors[~asks])
+            for at in range(0, int(asks.sum()), QUERIES):
+                parts.append(prepared(ids[asks][at : at + QUERIES], vectors[asks][at : at + QUERIES]).rows())
+        query_ids, found, scores = map(np.concatenate, zip(*parts))
+        return pa.table([pa.array(query_ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores.astype(element), pa.from_numpy_dtype(element))], names=["query_id", "vec_id", "score"])
 
     near = candidates.unionByName(queries).groupBy("shard", "block").applyInArrow(run, f"query_id long, vec_id long, score {score}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
