@@ -26,8 +26,10 @@ SMALL_SLICE = 4 << 20
 CUT = 0.3
 #: Steps of a histogram of logits within one unit of their inverse hyperbolic sine, which bounds the bins and clips nothing.
 STEPS = 128
-#: With fewer labelled rows all are fitted and calibrated on; otherwise a fifth is kept from fitting.
-FEW = 200
+#: What a fitted row counts for where a cut is placed, against a row that was kept from fitting: it scores too well.
+FITTED = 0.05
+#: A language's cut is drawn to the general one as if so many rows of each label spoke for that.
+POOL = 10.0
 #: Frequent words by which a language is guessed.
 FREQUENT = {
     "en": "the and of to in is that it was for on are with as at be this have from or had by not but what all were when we there can an your which their if will each how them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may long little very after words called just where most know".split(),
@@ -41,7 +43,8 @@ _EDGES = ".,;:!?\"'()[]{}<>*_~#…«»“”‘’"
 
 @dataclass
 class Settings:
-    """positives, negatives and max_chars bound the sample that is fitted: so many rows of a label at most, of so many characters."""
+    """positives, negatives and max_chars bound the sample that is fitted: so many rows of a label at most, of so many characters. enough: training
+    ends when a row's mean loss is below that."""
 
     buckets: int = 1 << 15
     width: int = 16
@@ -53,6 +56,7 @@ class Settings:
     positives: int = 1500
     negatives: int = 2500
     max_chars: int = 1 << 16
+    enough: float = 0.02
 
 
 @dataclass
@@ -193,15 +197,16 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
         seen[rows] += grad * grad
         value[rows] -= s.rate * grad / np.sqrt(seen[rows])
 
-    def spread(name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        """One step for all rows, a row that comes up several times with the sum of its gradients."""
-        rows, place = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(rows), s.width), np.float32)
-        np.add.at(total, place, grads)
-        step(name, rows, total)
+    def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows, one that comes up several times with the sum of its gradients."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        return rows[first], np.add.reduceat(grads[order], first, axis=0)
 
     for _ in range(epochs):
         rng.shuffle(fit)
+        loss = 0.0
         for k in range(0, len(fit), s.batch):
             docs = fit[k : k + s.batch]
             mine = np.concatenate([codes[offsets[d] : offsets[d + 1]] for d in docs])
@@ -215,10 +220,11 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
             hidden = np.maximum(pooled, 0)
             logit = hidden @ model.out + model.base
             err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[docs]).astype(np.float32) / len(docs)
+            loss += float(np.logaddexp(0, np.where(labels[docs] == 1, -logit, logit)).sum())
             back = err[:, None] * model.out * (pooled > 0)
             padded = np.full(len(told) + max(WIDTHS), len(which))
             padded[np.arange(len(inverse)) + np.repeat(np.arange(len(size)) * (max(WIDTHS) - 1), size)] = inverse
-            conv_grad, emb_grad = np.zeros_like(model.conv), np.zeros((len(which) + 1, s.width), np.float32)
+            conv_grad, hits, grads = np.zeros_like(model.conv), [], []
             ext = np.concatenate([emb, np.zeros((1, s.width), np.float32)])
             for i, w in enumerate(WIDTHS):
                 g, b = back[:, i * f : (i + 1) * f], best[:, i * f : (i + 1) * f]
@@ -226,16 +232,22 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
                     at_ = tap_at[(w, j)] * f
                     hit = padded[b + j]
                     conv_grad[:, at_ : at_ + f] += np.einsum("df,dfk->kf", g, ext[hit])
-                    np.add.at(emb_grad, hit.ravel(), (g[:, :, None] * model.conv[:, at_ : at_ + f].T[None]).reshape(-1, s.width))
+                    some = (hit < len(which)) & (g != 0)
+                    hits.append(hit[some])
+                    grads.append(g[some][:, None] * model.conv[:, at_ : at_ + f].T[np.nonzero(some)[1]])
             step("conv", slice(None), conv_grad)
             step("out", slice(None), hidden.T @ err)
             step("bias", slice(None), back.sum(axis=0))
             base_sum += float(err.sum()) ** 2
             model.base -= s.rate * float(err.sum()) / base_sum**0.5
-            hit = np.flatnonzero(np.abs(emb_grad[:-1]).sum(axis=1))
-            spread("word", words.row[which[hit]], emb_grad[hit] * np.float32(0.3))
-            many = words.at[which[hit] + 1] - words.at[which[hit]]
-            spread("gram", words.grams[gather(words.at[which[hit]], many)], np.repeat(emb_grad[hit] / np.sqrt(np.maximum(many, 1))[:, None], many, axis=0))
+            hit, grad = np.concatenate(hits), np.concatenate(grads)
+            if len(hit):
+                hit, grad = summed(hit, grad)
+                step("word", *summed(words.row[which[hit]], grad * np.float32(0.3)))
+                many = words.at[which[hit] + 1] - words.at[which[hit]]
+                step("gram", *summed(words.grams[gather(words.at[which[hit]], many)], np.repeat(grad / np.sqrt(np.maximum(many, 1))[:, None], many, axis=0)))
+        if loss < s.enough * len(fit):  # nothing is left to learn from these rows
+            break
     return model
 
 
@@ -254,7 +266,9 @@ def _threshold(seen: np.ndarray, whole: np.ndarray, cuts: np.ndarray) -> float:
 def calibrate(model: Model, told: DataFrame, known: DataFrame, fitted: DataFrame) -> None:
     """Set the thresholds from all known rows of told (doc_id, logit, tongue), counted in Spark by language, label and bin.
 
-    Rows that were fitted score too well to place a cut, so the others stand for them: weighed up to the rows of their label.
+    Rows that were fitted score too well to place a cut and count for FITTED of a row; the rows are weighed up to those of
+    their label. A language's cut is the mean of its own and the general one, weighed by its rows of the rarer label against
+    POOL, so that few rows move it little and none not at all.
     """
     if not model.out.any():  # nothing was learnt
         return
@@ -264,14 +278,14 @@ def calibrate(model: Model, told: DataFrame, known: DataFrame, fitted: DataFrame
     bins, place = np.unique(found[:, 3], return_inverse=True)
     counts = np.zeros((2, len(LANGUAGES), 2, len(bins)))
     counts[found[:, 0], found[:, 1], found[:, 2], place] = found[:, 4]
-    whole, cuts = counts.sum(axis=0), np.sinh(bins / STEPS)
-    if not whole.sum(axis=(0, 2)).all():
+    whole, seen, cuts = counts.sum(axis=0), counts[0] + FITTED * counts[1], np.sinh(bins / STEPS)
+    if not whole.sum(axis=(0, 2)).all():  # one label only: there is no cut between them
         return
-    seen = counts[0] if counts[0].sum(axis=(0, 2)).all() else whole
-    model.thresholds[:] = _threshold(seen.sum(axis=0), whole.sum(axis=(0, 2)), cuts)
+    general = _threshold(seen.sum(axis=0), whole.sum(axis=(0, 2)), cuts)
     for t in range(len(LANGUAGES)):
-        if (seen[t].sum(axis=1) >= 20).all():
-            model.thresholds[t] = _threshold(seen[t], whole[t].sum(axis=1), cuts)
+        weight = seen[t].sum(axis=1).min()
+        own = _threshold(seen[t], whole[t].sum(axis=1), cuts) if weight else general
+        model.thresholds[t] = (weight * own + POOL * general) / (weight + POOL)
 
 
 def held_out(doc_id) -> F.Column:
@@ -287,12 +301,13 @@ def labelled(labels: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[list, list[str], np.ndarray]:
     """doc_id, text and label of the rows to fit, a bounded sample, the same for the same tables, brought to the driver.
 
-    Per label the rows of lowest hash outside the fifth that is kept from fitting.
+    Per label the documents of lowest hash outside the fifth that is kept from fitting, one row each: of rows that share a
+    doc_id the smallest text is taken.
     """
-    free = known if known.count() < FEW else known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)) != 0)
+    free = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)) != 0)
     parts = [free.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n) for y, n in ((1, settings.positives), (0, settings.negatives))]
     rows = docs.where(F.length("text") <= settings.max_chars).select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    found = sorted((r["doc_id"], r["label"], r["text"]) for r in rows.collect())
+    found = sorted(tuple(r) for r in rows.groupBy("doc_id", "label").agg(F.min("text")).collect())
     return [d for d, _, _ in found], [t for _, _, t in found], np.array([y for _, y, _ in found], dtype=np.int64)
 
 
@@ -357,7 +372,13 @@ def _judged(docs: DataFrame, labels: DataFrame, settings: Settings | None, colum
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Fit on the sample, calibrate on all labelled rows and score all documents: doc_id, held_out, score, predicted, language."""
+    """Fit on the sample, calibrate on all labelled rows and score all documents: doc_id, held_out, score, predicted, language.
+
+    docs: doc_id, text; labels: doc_id, toxic (others than 0 and 1 and null ids are ignored; of several the toxic one counts).
+    Every row gets a score; a null or empty text that of no evidence; a null doc_id is not held out; rows that share a doc_id
+    are scored each by their own text; other columns are ignored; without labels of both kinds all scores are low (or, with
+    toxic ones only, high); an empty table gives an empty result.
+    """
     return _scored(*_judged(docs, labels, settings, ["doc_id"]))
 
 
