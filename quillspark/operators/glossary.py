@@ -100,9 +100,25 @@ def prompt_line() -> Column:
     return F.concat(said, F.coalesce(F.concat(F.lit("（"), note, F.lit("）")), F.lit("")))
 
 
-def prompt_lines(glossary: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+#: What stands around the terms in a prompt.
+STRICT = (
+    "【强制术语约束 — 最高优先级】\n下文术语表是本文已锁定的标准译法，你必须严格沿用，逐字使用【】内的中文，"
+    "不得换用近义词、不得直译、不得省略。若你的默认翻译与下表冲突，必须以本表为准。\n",
+    "\n【强制术语约束结束】",
+)
+
+
+def prompt_lines(glossary: DataFrame, keys: tuple[str, ...] = ("doc_id",), strict: bool = False) -> DataFrame:
+    """Per key the terms as lines of a prompt, in order; strict: with an order to use them around."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", prompt_line().alias("line"))))
-    return glossary.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("prompt"))
+    lines = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
+    return glossary.groupBy(*keys).agg((F.concat(F.lit(STRICT[0]), lines, F.lit(STRICT[1])) if strict else lines).alias("prompt"))
+
+
+def known_terms(terms: DataFrame, glossary: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """terms (keys, en) with zh of the glossary by normalised key, null where it has none."""
+    told = glossary.select(*keys, F.col("en_key").alias("_key"), "zh")
+    return terms.withColumn("_key", term_key(F.col("en"))).join(told, [*keys, "_key"], "left").drop("_key")
 
 
 def glossary_json(glossary: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -125,10 +141,10 @@ def needs_repair(translations: DataFrame, glossary: DataFrame, mode: str = "inte
         wrong = wrong | F.col("translation").contains(phrase)
     plain = said.select("doc_id", "block_idx", F.when(residue(F.col("translation")), "residue").when(awkward(F.col("translation")), "awkward").when(wrong, "variant").alias("rule")).where("rule is not null")
 
-    def word(text: str) -> str:
-        return f"{text} rlike concat('(?i)(?<![\\\\p{{L}}\\\\p{{N}}_])', '\\\\Q', en_key, '\\\\E', '(?![\\\\p{{L}}\\\\p{{N}}_])')"
+    def word(text: str) -> str:  # plain containment first: a pattern is made and run for few pairs only
+        return f"(contains(lower({text}), lower(en_key)) and {text} rlike concat('(?i)(?<![\\\\p{{L}}\\\\p{{N}}_])', '\\\\Q', en_key, '\\\\E', '(?![\\\\p{{L}}\\\\p{{N}}_])'))"
 
     keep = f"zh = '{KEEP}' and " + (f"{word('text')} and not {word('translation')}" if mode == "intended" else word("translation"))
-    unused = f"zh <> '{KEEP}' and zh <> '' and {word('translation')} and not contains(translation, zh)"
+    unused = f"zh <> '{KEEP}' and zh <> '' and not contains(translation, zh) and {word('translation')}"
     by_term = said.join(glossary.select("doc_id", "en_key", "zh"), "doc_id").where(f"({keep}) or ({unused})").select("doc_id", "block_idx", F.lit("term").alias("rule"))
     return plain.unionByName(by_term).groupBy("doc_id", "block_idx").agg(F.min("rule").alias("rule"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import model_key, price
@@ -23,16 +25,23 @@ def usage_report(totals: DataFrame) -> DataFrame:
 
 
 def price_lookup(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each model's price: by equal name, else by equal key, else by the first of which one name begins the other.
+    """Each model's price: by equal name, else by equal key, else by the first of which one key begins the other.
 
-    prices is a small fixed table (a provider's price list) and is broadcast.
+    All three are equi-joins: keys that begin one another meet at the shorter, for which every beginning of the longer is
+    made. What a model finds is ranked by kind and order.
     """
-    p = F.broadcast(prices.select("ord", F.col("model").alias("priced"), model_key(F.col("model")).alias("pkey"), "cache_hit_price", "cache_miss_price", "output_price"))
+    beginnings = lambda key: F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.substring(key, F.lit(1), n)))
+    p = prices.select("ord", F.col("model").alias("priced"), model_key(F.col("model")).alias("pkey"), "cache_hit_price", "cache_miss_price", "output_price")
     m = models.select("model").distinct().withColumn("mkey", model_key(F.col("model")))
-    both = m.join(p, F.expr("model = priced or mkey = pkey or startswith(mkey, pkey) or startswith(pkey, mkey)"))
-    rank = F.expr("case when model = priced then 0 when mkey = pkey then 1 else 2 end")
-    first = Window.partitionBy("model").orderBy(rank, "ord")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("model", "priced", "cache_hit_price", "cache_miss_price", "output_price")
+    kinds = (
+        m.withColumn("met", F.col("model")).join(p.withColumn("met", F.col("priced")), "met").withColumn("kind", F.lit(0)),
+        m.withColumn("met", F.col("mkey")).join(p.withColumn("met", F.col("pkey")), "met").withColumn("kind", F.lit(1)),
+        m.where("mkey <> ''").withColumn("met", beginnings(F.col("mkey"))).join(p.withColumn("met", F.col("pkey")), "met").withColumn("kind", F.lit(2)),
+        m.withColumn("met", F.col("mkey")).join(p.where("pkey <> ''").withColumn("met", beginnings(F.col("pkey"))), "met").withColumn("kind", F.lit(2)),
+    )
+    both = reduce(DataFrame.unionByName, kinds)
+    first = F.min_by(F.struct("priced", "cache_hit_price", "cache_miss_price", "output_price"), F.struct("kind", "ord"))
+    return both.groupBy("model").agg(first.alias("x")).select("model", "x.*")
 
 
 def estimate_cost(totals: DataFrame, prices: DataFrame) -> DataFrame:
@@ -42,9 +51,10 @@ def estimate_cost(totals: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def fresh_prices(cache: DataFrame, now: int, ttl: int = 24 * 3600) -> DataFrame:
-    """Cached prices that are not older than ttl; if none is, whatever there is."""
-    marked = cache.withColumn("fresh", F.lit(now) - F.col("fetched_at") <= ttl)
-    return marked.withColumn("_any", F.max("fresh").over(Window.partitionBy(F.lit(1)))).where("fresh or not _any").drop("_any")
+    """Cached prices that are not older than ttl; if none is, whatever there is. One aggregate says which."""
+    fresh = F.lit(now) - F.col("fetched_at") <= ttl
+    any_fresh = cache.agg(F.coalesce(F.bool_or(fresh), F.lit(False)).alias("_any"))
+    return cache.join(F.broadcast(any_fresh), fresh | ~F.col("_any")).drop("_any")
 
 
 def price_table(rows: DataFrame) -> DataFrame:

@@ -8,9 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labels that make a first row a header.
-HEADER_WORDS = r"(?i)^(datasets?|methods?|symbol|description|type|category|task|setting|models?|configuration|component|step|hyper-?parameter|layer|threat model|defense strategy|attack type|target(ed)?( (llm|model))?|defense|attack)$"
-METRIC = r"^\d[\d.,()+\-*\s]*$|\(\+\d"
-_SHORT = r"^[A-Z]{2,5}$"
+HEADER_LABELS = (
+    "Dataset", "Method", "Symbol", "Description", "Type", "Category", "Task", "Setting", "Model", "Configuration", "Component", "Step",
+    r"Hyper-?parameter", "Layer", "Methods?", "Models?", "Datasets?", r"Threat\s*Model", r"Defense\s*Strategy", r"Attack\s*Type",
+    r"Target(?:ed)?\s*(?:LLM|Model)?", "Defense", "Attack", "Hyperparameter",
+)
+#: What a cell of measurements looks like, a short name in capitals, and such that are headers all the same.
+METRIC, SHORT, HEADER_SHORT = r"^\d[\d.,()+\-*\s]*$|\(\+\d", r"^[A-Z]{2,5}$", frozenset({"DATASET", "METHOD", "TABLE", "ABBR"})
+#: The longest text in which a label may stand among other words.
+LOOSE = 60
+_LABEL = re.compile("|".join(f"(?:{x})" for x in HEADER_LABELS), re.IGNORECASE)
+_WITHIN = re.compile(rf"\b(?:{_LABEL.pattern})\b", re.IGNORECASE)
 
 
 def fill_down(cells: DataFrame, column: str = "text", order: str = "r", *keys: str) -> DataFrame:
@@ -32,25 +40,29 @@ def trim_empty_columns(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.withColumn("_last", F.greatest(F.coalesce(last, F.lit(-1)), F.lit(1))).where("c <= _last").drop("_last")
 
 
+def is_label(text: str) -> bool:
+    """Whether a cell names a column: a label alone, bold or not, or a label in a short text."""
+    alone = text.strip().strip("*").strip()
+    return bool(_LABEL.fullmatch(alone)) or len(text.strip()) <= LOOSE and bool(_WITHIN.search(text))
+
+
+def _continues(row: list[dict], width: int) -> bool:
+    """Whether a row below a header can be one too, in a table of that width."""
+    enough = len(row) >= max(3, width // 2)
+    flat = sum(c["colspan"] for c in row) <= width + 1 and max((c["rowspan"] for c in row), default=1) <= 2
+    data = (c["text"] for c in row if re.search(METRIC, c["text"].strip()) or c["text"] not in HEADER_SHORT and re.match(SHORT, c["text"]))
+    return width >= 4 and enough and flat and next(data, None) is None
+
+
 def header_rows(rows: list[list[dict]]) -> int:
     """How many rows at the top are headers: rows are lists of cells with text, colspan, rowspan and is_header."""
-    if not rows:
-        return 0
-    marked = 0
-    while marked < len(rows) and rows[marked] and all(c.get("is_header") for c in rows[marked]):
-        marked += 1
-    if not marked and any(re.fullmatch(HEADER_WORDS, c["text"].strip()) for c in rows[0]):
-        marked = 1
-    if not marked:
-        return 0
-    most = max((sum(c["colspan"] for c in r) for r in rows[marked:]), default=sum(c["colspan"] for c in rows[0]))
-    while marked < len(rows):
-        row = rows[marked]
-        fits = most >= 4 and len(row) >= max(3, most // 2) and sum(c["colspan"] for c in row) <= most + 1 and all(c["rowspan"] <= 2 for c in row)
-        if not fits or any((re.search(_SHORT, c["text"]) and c["text"] not in ("TABLE", "ABBR")) or re.search(METRIC, c["text"].strip()) for c in row):
-            break
-        marked += 1
-    return marked
+    marked = [bool(r) and all(c.get("is_header") for c in r) for r in rows]
+    top = marked.index(False) if False in marked else len(rows)
+    if not top:
+        top = int(bool(rows) and any(is_label(c["text"]) for c in rows[0]))
+    below = rows[top:]
+    width = max((sum(c["colspan"] for c in r) for r in below), default=sum(c["colspan"] for c in rows[0]) if rows else 0)
+    return top + next((i for i, r in enumerate(below) if not _continues(r, width)), len(below)) if top else 0
 
 
 def expand_grid(rows: list[list[dict]]) -> list[list[str]]:
@@ -81,3 +93,20 @@ def to_markdown(header: list[str], body: list[list[str]]) -> str:
         header, body = header[:-1], [row[:-1] for row in body]
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(header), line(["---"] * len(header)), *map(line, body)])
+
+
+def column_weights(cells: DataFrame, *keys: str) -> DataFrame:
+    """Share of a page that each column (keys, c) of a table gets: little for columns that are formulas for four fifths or more."""
+    from quillspark.functions.text import is_pure_math
+
+    own = keys or ("table_id",)
+    weight = F.when(F.avg(is_pure_math(F.col("text")).cast("int")) >= 0.8, 1.2).otherwise(3.0)
+    per = cells.groupBy(*own, "c").agg(weight.alias("weight"))
+    return per.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy(*own)))
+
+
+def occupied(cells: DataFrame, *keys: str) -> DataFrame:
+    """Places (keys, r, c) that a cell above covers by its rowspan, in the column where that begins: an equi-join by column
+    made by exploding each span, so no rows are compared in pairs."""
+    own = keys or ("table_id",)
+    return cells.where("rowspan > 1").select(*own, F.explode(F.sequence(F.col("r") + 1, F.col("r") + F.col("rowspan") - 1)).alias("r"), "c").distinct()

@@ -1,8 +1,9 @@
 """Translation of units by a pluggable backend, with resume, repair and reassembly.
 
 A backend is opened once a partition and translates batches; nothing here needs a network. Formulas and references are
-protected before and restored after. Results are written under (doc_id, block_idx, version), so a retried task or a
-second run translates nothing twice that has been stored.
+protected before and restored after, with ids of their own in a unit, so that a reference which a reply puts into another
+block of the unit is restored there. ``store`` keeps results as Parquet by version, each run in a part of its own that the
+committer makes visible whole; ``stored`` reads what is there and ``resume`` leaves out what it holds.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.protect import protect_text, restore_text, sanitize_text
+from quillspark.functions.protect import protect_text, restore_text, sanitize_text, split_cells
+from quillspark.operators.glossary import needs_repair
 
 RESULT = "doc_id string, block_idx int, translation string, terms string, prompt_tokens long, completion_tokens long"
 SKIP = "⟦SKIP⟧"
@@ -82,6 +85,21 @@ def text_to_translate(kind: Column, text: Column, caption: Column) -> Column:
     return F.when(kind.isin("equation", "figure", "table", "listing"), F.coalesce(caption, F.lit(""))).otherwise(text)
 
 
+def _whole_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut anew, so that no unit lies in two: the last unit of each waits for the next."""
+    left = None
+    for batch in batches:
+        batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
+        last = batch.iloc[-1] if len(batch) else None
+        if last is not None:
+            open_ = (batch["doc_id"] == last["doc_id"]) & (batch["unit_id"] == last["unit_id"])
+            left = batch[open_]
+            if not open_.all():
+                yield batch[~open_]
+    if left is not None and len(left):
+        yield left
+
+
 def translate_units(units: DataFrame, glossary: DataFrame | None, backend: Callable[[], TranslatorBackend], tasks: int | None = None) -> DataFrame:
     """units (doc_id, unit_id, block_idx, text) to results (see RESULT); blank texts are dropped before any Python runs.
 
@@ -93,24 +111,28 @@ def translate_units(units: DataFrame, glossary: DataFrame | None, backend: Calla
         rows = rows.join(terms, "doc_id", "left")
     else:
         rows = rows.withColumn("terms", F.lit(None).cast("map<string,string>"))
-    if tasks:
-        rows = rows.repartition(tasks, "doc_id")
+    dealt = rows.repartition(tasks, "doc_id", "unit_id") if tasks else rows.repartition("doc_id", "unit_id")
+    rows = dealt.sortWithinPartitions("doc_id", "unit_id", "block_idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()
         model.open()
         try:
-            for batch in batches:
+            for batch in _whole_units(batches):
                 out = []
-                for _, unit in batch.groupby(["doc_id", "unit_id"], sort=False):
-                    held = [protect_text(t) for t in unit["text"]]
+                for _, unit in batch.groupby(["doc_id", "unit_id"], sort=False, dropna=False):
+                    held, every = [], []
+                    for t in unit["text"]:
+                        held.append(protect_text(t, len(every)))
+                        every += held[-1][1]
                     known = dict(unit["terms"].iloc[0] or {})
                     replies = model.translate([t for t, _ in held], known)
                     replies += [None] * (len(held) - len(replies))  # a short answer: ask for the rest one by one
                     for doc, idx, (sent, entries), reply in zip(unit["doc_id"], unit["block_idx"], held, replies):
                         reply = reply if reply is not None else model.translate([sent], known)[0]
                         said, found = parse_reply(reply)
-                        said = sanitize_text(restore_text(said, entries))
+                        salvaged = [e for e in every if e["is_ref"] and e not in entries]
+                        said = sanitize_text(restore_text(said, entries + salvaged))
                         out.append((doc, int(idx), said, json.dumps(found, ensure_ascii=False), len(sent) // 4 + 1, len(said) // 4 + 1))
                 yield pd.DataFrame(out, columns=["doc_id", "block_idx", "translation", "terms", "prompt_tokens", "completion_tokens"])
         finally:
@@ -140,6 +162,139 @@ def translate_cells(cells: DataFrame, backend: Callable[[], TranslatorBackend])
     return sent.unionByName(marked.where("not send").drop("send").withColumn("translation", F.col("text")))
 
 
+def table_cells(tables: DataFrame) -> DataFrame:
+    """Cells of Markdown tables (doc_id, block_idx, table_md): doc_id, block_idx, r, c, text; other lines are rows without cells."""
+    lines = tables.select("doc_id", "block_idx", F.posexplode(F.split("table_md", "\n")).alias("r", "line"))
+    cells = lines.withColumn("cells", split_cells("line"))
+    return cells.select("doc_id", "block_idx", "r", F.posexplode("cells").alias("c", "text"))
+
+
+def translate_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend]) -> DataFrame:
+    """tables (doc_id, block_idx, table_md) with table_zh: the same table with those cells translated that hold English.
+
+    Separator rows and lines that are no rows stay as they are, bars in cells are escaped again. Cells are sent from any
+    table; rows are put together again by one aggregate a table.
+    """
+    lines = tables.select("doc_id", "block_idx", F.posexplode(F.split("table_md", "\n")).alias("r", "line"))
+    cells = table_cells(tables)
+    separators = cells.groupBy("doc_id", "block_idx", "r").agg(is_separator_rows().alias("separator"))
+    sent = cells.join(separators.where("not separator").drop("separator"), ["doc_id", "block_idx", "r"])
+    told = translate_cells(sent, backend)
+    escaped = F.replace("translation", F.lit("|"), F.lit("\\|"))
+    ordered = F.array_sort(F.collect_list(F.struct("c", escaped.alias("t"))))
+    rows = told.groupBy("doc_id", "block_idx", "r").agg(F.concat(F.lit("| "), F.array_join(F.transform(ordered, lambda x: x["t"]), " | "), F.lit(" |")).alias("said"))
+    both = lines.join(rows, ["doc_id", "block_idx", "r"], "left").select("doc_id", "block_idx", "r", F.coalesce("said", "line").alias("line"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n")
+    return tables.join(both.groupBy("doc_id", "block_idx").agg(whole.alias("table_zh")), ["doc_id", "block_idx"], "left")
+
+
+def is_separator_rows() -> Column:
+    """Over the cells of a row: whether all are dashes."""
+    return F.bool_and(F.trim("text").rlike("^:?-{3,}:?$"))
+
+
+def table_counts(tables: DataFrame) -> DataFrame:
+    """Per document how many tables are HTML and how many Markdown, and how many cells of the latter would be sent."""
+    is_html = F.lower(F.ltrim("table_md")).startswith("<table")
+    kinds = tables.groupBy("doc_id").agg(F.count_if(is_html).alias("html_tables"), F.count_if(~is_html).alias("markdown_tables"))
+    sent = table_cells(tables.where(~is_html)).groupBy("doc_id").agg(F.count_if(X.is_cell_translatable(F.col("text"))).alias("cells"))
+    return kinds.join(sent, "doc_id", "left").withColumn("cells", F.coalesce("cells", F.lit(0).cast("long")))
+
+
+def structure_markdown(kind: Column, translation: Column, src: Column, local_src: Column, listing_md: Column, table_zh: Column) -> Column:
+    """Figures, listings and tables as Markdown, the caption below."""
+    caption, image = F.nullif(translation, F.lit("")), F.coalesce(F.nullif(local_src, F.lit("")), F.nullif(src, F.lit("")))
+    shown = F.concat(F.lit("![figure]("), image, F.lit(")\n\n> "))
+    figure = F.when(caption.isNotNull(), F.concat(F.coalesce(shown, F.lit("> ")), caption)).otherwise(F.coalesce(F.rtrim(shown), F.lit(">")))
+    below = lambda body, none: F.coalesce(F.nullif(F.concat_ws("\n\n", F.nullif(body, F.lit("")), F.concat(F.lit("> "), caption)), F.lit("")), F.lit(none))
+    return F.when(kind == "figure", figure).when(kind == "listing", below(listing_md, "(伪代码)")).when(kind == "table", below(table_zh, "(表格)"))
+
+
+#: Wording of prompts; another can be given.
+PROMPT = {
+    "intro": "You translate scientific papers from English into Chinese.",
+    "rules": ("1. Leave every placeholder in ⟦ ⟧ as it is.", "2. Translate all of the text and nothing else.", "3. Keep names of models, data sets and people in English."),
+    "summary": "{n}. What the paper is about: {summary}",
+    "glossary": "{n}. Terms:\n{glossary}",
+    "cell": "{n}. The text is a table cell; where nothing can be translated, answer {marker}.",
+    "single": 'Answer with JSON: {"translation": "...", "terms": [{"en": "...", "zh": "..."}]}',
+    "group": 'Answer with JSON: {"blocks": [{"id": 0, "translation": "..."}], "terms": [{"en": "...", "zh": "..."}]}',
+}
+
+
+def system_prompt(summary: Column, glossary: Column, group: bool = False, cell: bool = False, words: dict = PROMPT) -> Column:
+    """What a backend is told: intro, rules, and by need the summary, the terms and the rule for cells, numbered on; then the form."""
+    given = [F.when(F.coalesce(c, F.lit("")) != "", 1).otherwise(0) for c in (summary, glossary)]
+    first = len(words["rules"])
+
+    def rule(name: str, n: Column, **values: Column) -> Column:
+        out = F.replace(F.lit(words[name]), F.lit("{n}"), n.cast("string"))
+        for k, v in values.items():
+            out = F.replace(out, F.lit("{" + k + "}"), v)
+        return out
+
+    parts = [F.lit(words["intro"]), *map(F.lit, words["rules"]), F.lit("")]
+    parts.append(F.when(given[0] == 1, rule("summary", F.lit(first + 1), summary=summary)))
+    parts.append(F.when(given[1] == 1, rule("glossary", first + 1 + given[0], glossary=glossary)))
+    if cell:
+        parts.append(rule("cell", first + 1 + given[0] + given[1], marker=F.lit(SKIP)))
+    return F.concat_ws("\n\n", *parts, F.lit(words["group" if group else "single"]))
+
+
+def parse_group(raw: str, size: int) -> dict[int, str]:
+    """Translations of a group's reply by place; ids that are no place, or no numbers, are left out."""
+    for part in [raw, *re.findall(r"\{.*\}", raw or "", re.DOTALL)]:
+        try:
+            blocks = json.loads(part).get("blocks")
+        except (TypeError, ValueError, AttributeError):
+            continue
+        if isinstance(blocks, list):
+            told = ((b.get("id"), b.get("translation")) for b in blocks if isinstance(b, dict))
+            return {i: str(t or "") for i, t in told if isinstance(i, int) and not isinstance(i, bool) and 0 <= i < size}
+    return {}
+
+
+def store(results: DataFrame, path: str, version: int) -> None:
+    """Add results under a version; what fails half-way is not seen."""
+    results.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, version: int, policy: str = "auto") -> DataFrame:
+    """Results of that version, one a block (the longest translation of several); none where nothing is there, where files
+    cannot be read, or where the policy is "never"."""
+    none = spark.createDataFrame([], RESULT + ", version int")
+    if policy == "never":
+        return none
+    try:
+        found = spark.read.option("ignoreCorruptFiles", "true").schema(RESULT + ", version int").parquet(path).where(F.col("version") == version)
+    except AnalysisException:  # no store yet
+        return none
+    order = F.struct(F.length(F.coalesce("translation", F.lit(""))), "translation")
+    rest = [c for c in found.columns if c not in ("doc_id", "block_idx")]
+    return found.groupBy("doc_id", "block_idx").agg(F.max_by(F.struct(*rest), order).alias("x")).select("doc_id", "block_idx", "x.*").select(*found.columns)
+
+
+def translate_stored(units: DataFrame, glossary: DataFrame | None, backend: Callable[[], TranslatorBackend], path: str, version: int, policy: str = "auto") -> DataFrame:
+    """All results of the units: what is stored, and the rest translated, stored and read back. With the policy "never" all
+    are translated again, under a version of their own: give a new one."""
+    spark, keyed = units.sparkSession, units.withColumn("doc_id", F.col("doc_id").cast("string"))
+    store(translate_units(resume(keyed, stored(spark, path, version, policy), version), glossary, backend), path, version)
+    return stored(spark, path, version).join(keyed.select("doc_id", "block_idx").distinct(), ["doc_id", "block_idx"], "left_semi")
+
+
+def repaired(results: DataFrame, units: DataFrame, glossary: DataFrame, backend: Callable[[], TranslatorBackend], mode: str = "intended") -> DataFrame:
+    """Results with those translated again, one by one, that break a rule of needs_repair; what still breaks one stays as it was."""
+    keyed = units.withColumn("doc_id", F.col("doc_id").cast("string"))
+    told = results.join(keyed.select("doc_id", "block_idx", "text"), ["doc_id", "block_idx"])
+    terms = glossary.withColumn("doc_id", F.col("doc_id").cast("string"))
+    wrong = needs_repair(told, terms, mode).select("doc_id", "block_idx")
+    alone = keyed.join(wrong, ["doc_id", "block_idx"], "left_semi").withColumn("unit_id", F.col("block_idx"))
+    again = translate_units(alone, glossary, backend)
+    said = again.join(keyed.select("doc_id", "block_idx", "text"), ["doc_id", "block_idx"])
+    still = needs_repair(said, terms, mode).select("doc_id", "block_idx")
+    return merged(results, again.join(still, ["doc_id", "block_idx"], "left_anti"))
+
+
 def resume(units: DataFrame, stored: DataFrame, version: int) -> DataFrame:
     """Blocks without a stored result of this version."""
     return units.join(stored.where(F.col("version") == version).select("doc_id", "block_idx"), ["doc_id", "block_idx"], "left_anti")

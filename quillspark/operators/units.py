@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import strip
 
 TEXT_KINDS = ("paragraph", "list_item", "text_box")
-_STATE = "struct<unit:int,kind:string,total:int,units:array<int>>"
 
 
 def pack_units(blocks: DataFrame, least: int = 1000, most: int = 1500, compat: bool = True) -> DataFrame:
     """blocks (doc_id, block_idx, kind, text) with unit_id: neighbouring blocks of one text kind share a unit of least to most
-    characters; other kinds stand alone. A native fold over a document's blocks in order: each step depends on the one before.
+    characters; other kinds stand alone. Each step depends on the one before, so documents are sorted in their partitions and
+    folded batch by batch in one pass: nothing of a document is gathered, and the state is a few numbers.
 
     compat: a block that opens a unit by overflow stays alone in it. least <= 0: every block is a unit.
     """
     if least <= 0:
         return blocks.withColumn("unit_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx")) - 1)
     size = F.length(strip(F.coalesce("text", F.lit(""))))
-    ordered = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_idx", "kind", size.alias("n")))).alias("b"))
-    none = F.lit(None).cast("string")
-
-    def step(s, x):
-        text = x["kind"].isin(*TEXT_KINDS)
-        over = F.lit(most > 0) & (s["total"] + x["n"] > most)
-        joins = text & s["kind"].isNotNull() & (s["kind"] == x["kind"]) & ~over
-        overflow = text & s["kind"].isNotNull() & (s["kind"] == x["kind"]) & over
-        total = F.when(joins, s["total"] + x["n"]).otherwise(x["n"])
-        full = F.lit(most > 0) & (total >= most)
-        ripe = joins & (total >= least) & (F.lit(most <= 0) | (total + x["n"] >= most))
-        closes = ~text | full | ripe | (overflow & F.lit(compat))
-        unit = F.when(joins, s["unit"]).otherwise(s["unit"] + 1)
-        return F.struct(unit.cast("int").alias("unit"), F.when(closes, none).otherwise(x["kind"]).alias("kind"), total.cast("int").alias("total"), F.concat(s["units"], F.array(unit.cast("int"))).alias("units"))
-
-    start = F.struct(F.lit(-1).cast("int").alias("unit"), none.alias("kind"), F.lit(0).cast("int").alias("total"), F.array().cast("array<int>").alias("units"))
-    units = F.aggregate("b", start, step, lambda s: s["units"])
-    placed = ordered.select("doc_id", F.explode(F.arrays_zip(F.col("b.block_idx").alias("block_idx"), units.alias("unit_id"))).alias("x"))
-    return blocks.join(placed.select("doc_id", "x.block_idx", "x.unit_id"), ["doc_id", "block_idx"])
+    ordered = blocks.select(F.struct(*(F.col(f"`{c}`") for c in blocks.columns)).alias("row"), F.col("doc_id").alias("d"), F.col("block_idx").alias("i"), F.col("kind").alias("k"), size.alias("n"))
+    ordered = ordered.repartition("d").sortWithinPartitions("d", "i")
+
+    def run(batches):
+        doc, begun = None, False
+        unit, kind, total = -1, None, 0
+        for batch in batches:
+            out = []
+            for d, k, n in zip(*(batch.column(c).to_pylist() for c in ("d", "k", "n"))):
+                if not begun or d != doc:
+                    doc, begun, unit, kind, total = d, True, -1, None, 0
+                text = k in TEXT_KINDS
+                same = text and kind == k
+                over = most > 0 and total + n > most
+                joins = same and not over
+                total = total + n if joins else n
+                unit += not joins
+                full = 0 < most <= total
+                ripe = joins and total >= least and (most <= 0 or total + n >= most)
+                kind = None if not text or full or ripe or same and over and compat else k
+                out.append(unit)
+            yield pa.record_batch([batch.column("row"), pa.array(out, pa.int32())], names=["row", "unit_id"])
+
+    schema = T.StructType([ordered.schema["row"], T.StructField("unit_id", T.IntegerType())])
+    placed = ordered.mapInArrow(run, schema)
+    return placed.select(*(F.col(f"row.`{c}`").alias(c) for c in blocks.columns), "unit_id")
 
 
 def pending_units(units: DataFrame, done: DataFrame) -> DataFrame:
