@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +23,23 @@ BLOCKS = "doc_id string, block_idx int, kind string, level int, text string, raw
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+#: Elements that stand in lines of their own, those whose text is not shown, and containers that get a number.
+BLOCK_TAGS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul document".split())
+HIDDEN_TAGS = frozenset("script style head title template".split())
+NUMBERED = frozenset("p h1 h2 h3 h4 h5 h6 li table figure blockquote".split())
+#: What a start tag closes, and where the search for it ends.
+ENDS_P = BLOCK_TAGS - frozenset("td th tr tbody thead tfoot body html".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
+BARRIERS = {"li": frozenset("ul ol".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "p": frozenset("td th table foreignobject object button caption li".split())}
+
+
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent", "classes")
+    __slots__ = ("tag", "attrs", "children", "parent", "classes", "holds_block", "number")
 
     def __init__(self, tag: str, attrs: dict, parent: Element | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.classes = frozenset((attrs.get("class") or "").split())
+        self.holds_block, self.number = False, ""
 
     def walk(self) -> Iterator[Element]:
         todo = [self]
@@ -37,43 +48,85 @@ class Element:
             yield node
             todo += [c for c in reversed(node.children) if isinstance(c, Element)]
 
-    def all(self, *classes: str, tag: str | None = None) -> list[Element]:
-        return [n for n in self.walk() if n is not self and (tag is None or n.tag == tag) and (not classes or not n.classes.isdisjoint(classes))]
+    def all(self, *classes: str, tag: str | None = None) -> Iterator[Element]:
+        return (n for n in self.walk() if n is not self and (tag is None or n.tag == tag) and (not classes or not n.classes.isdisjoint(classes)))
 
     def first(self, *classes: str, tag: str | None = None) -> Element | None:
-        return next(iter(self.all(*classes, tag=tag)), None)
+        return next(self.all(*classes, tag=tag), None)
 
     def direct(self) -> list[Element]:
         return [c for c in self.children if isinstance(c, Element)]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return folded(self)
+
+
+def folded(node: Element | str, text: Callable[[str], str] = str, begin: Callable[[Element], str | None] = lambda n: None, end: Callable[[Element, str], str] = lambda n, inner: inner) -> str:
+    """A string made bottom-up without recursion, however deep the tree: of a text, of an element that begin answers for at
+    once, and else of an element and what its children have given, joined."""
+    if isinstance(node, str):
+        return text(node)
+    frames: list[tuple[Element, Iterator, list[str]]] = [(node, iter(node.children), [])]
+    while True:
+        top, children, parts = frames[-1]
+        for c in children:
+            told = text(c) if isinstance(c, str) else begin(c)
+            if told is None:
+                frames.append((c, iter(c.children), []))
+                break
+            parts.append(told)
+        else:
+            frames.pop()
+            if not frames:
+                return "".join(parts)
+            frames[-1][2].append(end(top, "".join(parts)))
 
 
 class _Builder(HTMLParser):
-    """Elements close only where the page says so; an end tag without a start is ignored."""
+    """Paragraphs, list items and cells end where HTML says; other elements where the page says; a stray end tag is ignored."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.top = Element("document", {}, None)
+        self.open: dict[str, int] = {}
+
+    def shut(self, names: tuple[str, ...], barriers: frozenset[str] = frozenset()) -> None:
+        """Close up to the nearest of these that no barrier hides."""
+        node = self.top
+        if any(self.open.get(n) for n in names):
+            while node is not self.root and node.tag not in names and node.tag not in barriers:
+                node = node.parent
+            if node.tag in names:
+                while self.top is not node.parent:
+                    self.open[self.top.tag] -= 1
+                    self.top = self.top.parent
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_P:
+            self.shut(("p",), BARRIERS["p"])
+        if tag in CLOSES:
+            self.shut(CLOSES[tag], BARRIERS.get(tag, frozenset(["table"])))
         node = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.top)
         self.top.children.append(node)
+        if tag in BLOCK_TAGS:
+            up = self.top
+            while up is not None and not up.holds_block:
+                up.holds_block, up = True, up.parent
         if tag not in VOID:
             self.top = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
+            self.open[tag] -= 1
             self.top = self.top.parent
 
     def handle_endtag(self, tag):
-        node = self.top
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.top = node.parent
+        self.shut((tag,))
+
+    def finish(self) -> None:
+        super().close()
 
     def handle_data(self, data):
         if self.top.tag not in ("script", "style"):
@@ -81,9 +134,18 @@ class _Builder(HTMLParser):
 
 
 def tree(html: str) -> Element:
+    """The page as a tree; outermost paragraphs, headings, list items, tables, figures and quotes are numbered zh-1, zh-2, ...
+    in page order, and all that is inside one has its number."""
     builder = _Builder()
     builder.feed(html or "")
-    builder.close()
+    builder.finish()
+    n = 0
+    for node in builder.root.walk():
+        if node.parent is not None and node.parent.number:
+            node.number = node.parent.number
+        elif node.tag in NUMBERED:
+            n += 1
+            node.number = f"zh-{n}"
     return builder.root
 
 
@@ -104,38 +166,54 @@ def bibliography(root: Element) -> dict[str, str]:
     return out
 
 
+def _footnote(node: Element) -> str:
+    mark = node.first("ltx_note_mark")
+    return f"[{mark.text().strip()}]" if mark else ""
+
+
 def plain_text(node: Element | str, wrap: bool = False) -> str:
     """Text with formulas as TeX, in dollars if wrapped."""
-    if isinstance(node, str):
-        return node
-    if node.tag == "math":
-        tex = tex_of(node)
-        return f"${tex}$" if wrap and tex else tex
-    if "ltx_role_footnote" in node.classes:
-        mark = node.first("ltx_note_mark")
-        return f"[{mark.text().strip()}]" if mark else ""
-    inner = "".join(plain_text(c, wrap) for c in node.children)
-    if node.tag in ("sub", "sup"):
-        sign = "_" if node.tag == "sub" else "^"
-        return f"${sign}{{{inner}}}$" if wrap else f"{sign}{{{inner}}}"
-    return inner
-
-
-def rich_text(node: Element, bib: dict[str, str], engine: str = "bing", mode: str = "short") -> str:
-    """Markdown of an inline fragment."""
+
+    def begin(n: Element) -> str | None:
+        if n.tag == "math":
+            tex = tex_of(n)
+            return f"${tex}$" if wrap and tex else tex
+        return _footnote(n) if "ltx_role_footnote" in n.classes else None
+
+    def end(n: Element, inner: str) -> str:
+        if n.tag in ("sub", "sup"):
+            sign = "_" if n.tag == "sub" else "^"
+            return f"${sign}{{{inner}}}$" if wrap else f"{sign}{{{inner}}}"
+        return inner
+
+    return folded(node, begin=begin, end=end)
+
+
+#: The last steps of rich text, in this order: (pattern, replacement).
+RICH_STEPS = (
+    (re.compile(r"[ \t]+\n"), "\n"), (re.compile(r"\n{2,}"), "\n"), (re.compile(r" +"), " "),
+    (re.compile(r"\*\*([A-Za-z0-9_]{1,3})\*\*\$([\\_{}^\{][^$\n]+?)\$"), r"**$\1\2$**"),
+)
+#: The steps after the second of these that the literal reading has; they also put spaces inside formulas.
+LITERAL_STEPS = ((re.compile(r"\s*\$(\s|\$)"), r" $\1"), (re.compile(r"(\$|\s)\$\s*"), r"\1$ "))
+#: Commands that only displayed formulas have.
+DISPLAYED = re.compile(r"\\(?:begin|aligned|sum|int|frac|prod|lim|displaystyle|choose|binom|cases|matrix)")
+
+
+def rich_text(node: Element, bib: dict[str, str], engine: str = "bing", mode: str = "short", literal: bool = False) -> str:
+    """Markdown of an inline fragment; literal: with the spacing of formulas as it was coded, not as it was meant."""
     from urllib.parse import quote
 
-    def walk(n: Element | str) -> str:
-        if isinstance(n, str):
-            return re.sub(r"\s+", " ", n)
+    def begin(n: Element) -> str | None:
         if "ltx_role_footnote" in n.classes:
-            mark = n.first("ltx_note_mark")
-            return f"[{mark.text().strip()}]" if mark else ""
+            return _footnote(n)
         if n.tag == "math":
             tex = tex_of(n)
-            shown = n.attrs.get("display") == "block" and not (len(tex) <= 25 and not re.search(r"\\(?:begin|aligned|sum|int|frac|prod|lim|displaystyle|choose|binom|cases|matrix)", tex))
+            shown = n.attrs.get("display") == "block" and not (len(tex) <= 25 and not DISPLAYED.search(tex))
             return (f"$${tex}$$" if shown else f"${tex}$") if tex else ""
-        inner = "".join(map(walk, n.children))
+        return "\n" if n.tag == "br" else None
+
+    def end(n: Element, inner: str) -> str:
         href = n.attrs.get("href", "")
         if n.tag == "a" and href.startswith("#bib"):
             title = re.sub(r",\s*\d{4}[a-z]?\s*$", "", n.attrs.get("title") or bib.get(href, ""))
@@ -144,8 +222,6 @@ def rich_text(node: Element, bib: dict[str, str], engine: str = "bing", mode: st
             return f'[{name}]({page} "{title}")' if title else f"[{name}]({page})"
         if n.tag == "a" and href:
             return f"[{inner.strip()}]({href})"
-        if n.tag == "br":
-            return "\n"
         if n.tag in ("sub", "sup"):
             return f"${'_' if n.tag == 'sub' else '^'}{{{inner.strip()}}}$"
         if inner.strip() and (n.tag in ("b", "strong") or "ltx_font_bold" in n.classes):
@@ -154,9 +230,9 @@ def rich_text(node: Element, bib: dict[str, str], engine: str = "bing", mode: st
             return f"*{inner.strip()}*"
         return f"\n{inner}\n" if n.tag in ("p", "div", "li", "tr") else inner
 
-    out = "".join(map(walk, node.children))
-    for pattern, by in ((r"[ \t]+\n", "\n"), (r"\n{2,}", "\n"), (r" +", " "), (r"\*\*([A-Za-z0-9_]{1,3})\*\*\$([\\_{}^\{][^$\n]+?)\$", r"**$\1\2$**")):
-        out = re.sub(pattern, by, out)
+    out = folded(node, lambda t: re.sub(r"\s+", " ", t), begin, end)
+    for pattern, by in (*RICH_STEPS[:2], *(LITERAL_STEPS if literal else ()), *RICH_STEPS[2:]):
+        out = pattern.sub(by, out)
     return out.strip()
 
 
@@ -171,8 +247,8 @@ class _Walk:
         self.base, self.bib, self.rows = base, bibliography(root), []
 
     def add(self, kind: str, text: str, raw: str, level: int = 0, node: Element | None = None, **meta: str) -> None:
-        if node is not None and node.attrs.get("id"):
-            meta.setdefault("html_id", node.attrs["id"])
+        if node is not None and (node.number or node.attrs.get("id")):
+            meta.setdefault("html_id", node.number or node.attrs["id"])
         self.rows.append({"kind": kind, "level": level, "text": text, "raw": raw, **meta})
 
     def said(self, node: Element) -> str:
@@ -213,12 +289,18 @@ class _Walk:
             elif "ltx_subsubsection" in c.classes:
                 self.section(c, 4, "ltx_title_subsubsection")
             else:
-                self.part(c, 0)
+                self.parts(c)
 
-    def part(self, c: Element, depth: int) -> None:
+    def parts(self, c: Element) -> None:
+        """What an element holds, in order and at any depth."""
+        todo = [(c, 0)]
+        while todo:
+            node, depth = todo.pop()
+            todo += [(x, depth + 1) for x in reversed(self.part(node, depth))]
+
+    def part(self, c: Element, depth: int) -> list[Element]:
+        """Blocks of one element, or what is to be looked at in its place."""
         k = c.classes
-        if depth > 8:
-            return
         if "ltx_equation" in k or "ltx_equationgroup" in k:
             if depth or "ltx_equation" in k:
                 self.equation(c)
@@ -242,16 +324,14 @@ class _Walk:
         elif "ltx_p" in k or c.tag == "p":
             box = c.first("ltx_inline-block")
             if box:
-                self.part(box, depth + 1)
-            else:
-                self.prose(c)
+                return [box]
+            self.prose(c)
         elif k & {"ltx_para", "ltx_logical-block", "ltx_paragraph"} or c.tag in ("div", "section") and depth:
             for h in c.direct():
                 if "ltx_title_paragraph" in h.classes:
                     self.add("heading", self.said(h), rich_text(h, self.bib), 4, h)
-            for x in c.direct():
-                if "ltx_title_paragraph" not in x.classes:
-                    self.part(x, depth + 1)
+            return [x for x in c.direct() if "ltx_title_paragraph" not in x.classes]
+        return []
 
     def equation(self, c: Element) -> None:
         if "ltx_equationgroup" in c.classes:
@@ -308,45 +388,143 @@ class _Walk:
         self.add("table", f"{text}\n{table}", f"{table}\n> {raw}" if raw else table, node=c, table_md=table, caption=text)
 
     def cell(self, d: Element) -> str:
-        lines = (x.strip() for x in rich_text(d, self.bib).replace("\u00a0", " ").split("\n"))
-        return re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", "<br>".join(filter(None, lines)).replace("|", "\\|"))
+        lines = (x.strip().replace("\u00a0", " ") for x in rich_text(d, self.bib).split("\n"))
+        text = "<br>".join(filter(None, lines)).replace("|", "\\|")
+        for pattern, by in CELL_STEPS:
+            text = pattern.sub(by, text)
+        return text
+
+
+#: The last steps of a cell's text, in this order: (pattern, replacement).
+CELL_STEPS = (
+    (re.compile(r"\$([^$\n|]+?)\$\*\*"), r"$ \1$ **"), (re.compile(r"\*\*\$([^$\n|]+?)\$"), r"** $ \1$"),
+    (re.compile(r"[ \t]{2,}"), " "), (re.compile(r"\*\*([^*\n|]+?)\*\*"), r"<strong>\1</strong>"),
+)
 
 
 def _span(d: Element, name: str) -> int:
     return int(d.attrs[name]) if d.attrs.get(name, "").strip().isdigit() else 1
 
 
-def _outer(n: Element | str) -> str:
-    if isinstance(n, str):
-        return n.replace("&", "&amp;").replace("<", "&lt;")
-    attrs = "".join(f' {k}="{v}"' for k, v in n.attrs.items())
-    return f"<{n.tag}{attrs}>" + ("" if n.tag in VOID else "".join(map(_outer, n.children)) + f"</{n.tag}>")
+def _outer(node: Element | str) -> str:
+    """The element as HTML."""
+    escaped = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+
+    def end(n: Element, inner: str) -> str:
+        attrs = "".join(f' {k}="{escaped(v).replace(chr(34), "&quot;")}"' for k, v in n.attrs.items())
+        return f"<{n.tag}{attrs}>" + ("" if n.tag in VOID else f"{inner}</{n.tag}>")
+
+    return escaped(node) if isinstance(node, str) else end(node, folded(node, escaped, end=end))
+
+
+def _everything(walk: _Walk, root: Element) -> None:
+    """Every text of a page once, in order: what stands in a line between two blocks is one block, of the kind of what holds it."""
+
+    def flush(holder: Element, line: list) -> None:
+        if line:
+            part = Element("span", {}, None)
+            part.children, part.number = list(line), holder.number
+            said = walk.said(part)
+            if said and holder.tag in HEADINGS:
+                walk.add("heading", said, rich_text(part, {}), int(holder.tag[1]), part)
+            elif said:
+                item = holder.tag == "li"
+                walk.add("list_item" if item else "paragraph", said, ("- " if item else "") + rich_text(part, {}), node=part)
+            line.clear()
+
+    todo: list[tuple[Element, Iterator, list]] = [(root, iter(root.children), [])]
+    while todo:
+        holder, children, line = todo[-1]
+        for c in children:
+            if isinstance(c, str) or c.tag not in BLOCK_TAGS and not c.holds_block:
+                if isinstance(c, str) or c.tag not in HIDDEN_TAGS:
+                    line.append(c)
+            elif c.tag not in HIDDEN_TAGS:
+                flush(holder, line)
+                todo.append((c if c.tag in BLOCK_TAGS else _as(holder, c), iter(c.children), []))
+                break
+        else:
+            flush(holder, line)
+            todo.pop()
+
+
+def _as(holder: Element, inner: Element) -> Element:
+    """An element in a line that holds blocks counts as what it stands in."""
+    out = Element(holder.tag, {}, None)
+    out.number = inner.number or holder.number
+    return out
+
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def blocks_of(html: str, base: str = "") -> list[dict]:
-    """Typed blocks of a paper; of any other page its headings, paragraphs and list items."""
+    """Typed blocks of a paper; of any other page its headings, list items and all other text as paragraphs."""
     root = tree(html)
     walk = _Walk(root, base)
     walk.document(root)
     if not walk.rows:
-        for n in root.walk():
-            if n.tag in ("h1", "h2", "h3", "h4"):
-                walk.add("heading", walk.said(n), rich_text(n, {}), int(n.tag[1]), n)
-            elif n.tag in ("p", "li") and not any(c.tag in ("p", "li") for c in n.walk() if c is not n):
-                walk.prose(n, "paragraph" if n.tag == "p" else "list_item", "" if n.tag == "p" else "- ")
+        _everything(walk, root)
     return walk.rows
 
 
+def written_back(html: str, told: dict[str, str]) -> str:
+    """The page with translations in place of what they translate, by number; colours and other marks stay where their
+    elements are: the first text of an element takes the translation, and its other texts go. Regions that are no part of
+    the paper are left out."""
+    root = tree(html)
+    for node in root.walk():
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag != "nav" and c.classes.isdisjoint(SKIPPED)]
+        if node.number and node.number in told and (node.parent is None or node.parent.number != node.number) and node.tag not in ("table", "figure"):
+            left = told[node.number]
+            for inner in node.walk():
+                for i, c in enumerate(inner.children):
+                    if isinstance(c, str) and c.strip():
+                        inner.children[i], left = left, ""
+    return "".join(map(_outer, root.children))
+
+
+#: Classes of regions that are not written back.
+SKIPPED = frozenset("ltx_page_navbar ltx_bibliography ltx_page_footer ltx_appendix ltx_ERROR ltx_page_logo".split())
+
+
 def _rows(pages: DataFrame, make: Callable[[str], list[dict]], schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                columns: dict[str, list] = {n: [] for n in names}
+                for doc, html in zip(*(batch.slice(a, 256).column(c).to_pylist() for c in ("doc_id", "html"))):
+                    for row in make(html) if html else []:
+                        for n in names:
+                            columns[n].append(doc if n == "doc_id" else row.get(n))
+                yield pa.record_batch([pa.array(columns[n], fields.field(n).type) for n in names], schema=fields)
+
+    return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html").mapInArrow(run, schema)
+
+
+def write_back(pages: DataFrame, translations: DataFrame) -> DataFrame:
+    """doc_id, html with translations (doc_id, html_id, translation) put in; a page's own translations come as one map."""
+    entries = F.map_from_entries(F.collect_list(F.struct("html_id", "translation")))
+    own = translations.where("html_id is not null and translation is not null").dropDuplicates(["doc_id", "html_id"])
+    own = own.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(entries.alias("told"))
+    both = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html").join(own, "doc_id", "left")
 
     def run(batches):
         for batch in batches:
-            for doc, html in zip(batch["doc_id"], batch["html"]):
-                found = make(html) if html else []
-                yield pd.DataFrame([{"doc_id": doc, **r} for r in found], columns=names, dtype=object)
+            html = [h if h is None else written_back(h, dict(t or [])) for h, t in zip(batch.column("html").to_pylist(), batch.column("told").to_pylist())]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(html, pa.string())], names=["doc_id", "html"])
+
+    return both.mapInArrow(run, "doc_id string, html string")
+
 
-    return pages.select("doc_id", "html").mapInPandas(run, schema)
+def with_local_images(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """blocks with local_src from files (doc_id, src, local): where an image has been stored, else where it is."""
+    told = files.select("doc_id", "src", F.col("local").alias("_local"))
+    return blocks.join(told, ["doc_id", "src"], "left").withColumn("local_src", F.coalesce("_local", "src")).select(*blocks.columns)
 
 
 def parse_blocks(pages: DataFrame, base: str = "") -> DataFrame:
@@ -375,7 +553,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
     """Rows of the first table of each page: r, cells (their texts, every piece of text trimmed)."""
 
     def words(node: Element) -> str:
-        return "".join(c.strip() if isinstance(c, str) else words(c) for c in node.children)
+        return folded(node, str.strip)
 
     def make(html: str) -> list[dict]:
         table = tree(html).first(tag="table")

@@ -127,3 +127,143 @@ def test_price_table_errors(spark):
         price_table(rows(head, hit)).collect()
     got = price_table(rows(head, [*hit, "2元"], ["输入（缓存未命中）", "3元", "4元"], ["百万tokens输出", "5元", "-", "6元"])).orderBy("ord").collect()
     assert [tuple(r)[2:] for r in got] == [("a", 1.0, 3.0, 5.0), ("b", 2.0, 4.0, 6.0)]
+
+
+@pytest.mark.parametrize(
+    "made, said",
+    [
+        (lambda: X.strip_markdown(F.lit("*a* **b** `` *")), "a b `` *"),
+        (lambda: X.colour(F.lit("#ff800080")), [255, 128, 0]),
+        (lambda: X.tex_to_unicode(F.lit("\\mathcal{L}_{max} \\leq \\mathbf{x}^{2} \\foo")), "ℒmax <= X2"),
+        (lambda: X.tex_to_unicode(F.lit("\\foo")), "\\foo"),
+        (lambda: X.is_pure_math(F.lit("**$x_1$**")), True),
+        (lambda: X.is_pure_math(F.lit("$x$ and $y$")), False),
+        (lambda: X.content_hash(F.lit("a")), "0cc175b9c0f1"),
+        (lambda: X.block_markdown(F.lit("title"), F.lit(1), F.lit("T"), F.lit(""), F.lit("题目⟦NEWPAR⟧。")), "# 题目\n"),
+        (lambda: X.block_markdown(F.lit("paragraph"), F.lit(0), F.lit("t"), F.lit(""), F.lit("一⟦NEWPAR⟧ [newpar]二")), "一\n\n二\n"),
+        (lambda: X.block_markdown(F.lit("heading"), F.lit(2), F.lit("Introduction"), F.lit(""), F.lit("x")), "## 引言\n"),
+        (lambda: X.block_markdown(F.lit("text_box"), F.lit(0), F.lit("t"), F.lit(""), F.lit("a\n\nb")), "> a\n> \n> b\n"),
+        (lambda: P.space_protected(F.lit("使用A[一a](b二c)`一a`$一a$x一")), "使用 A[一a](b二c)`一a`$一a$x 一"),
+        (lambda: P.space_protected(F.lit("")), ""),
+    ],
+)
+def test_more_columns(spark, made, said):
+    assert one(spark, made()) == said
+
+
+def test_sanitizing_leaves_formulas():
+    assert P.sanitize_text("a \\thicksim $\\uparrow$ {}_{a} \\downarrow \\textsc{X}") == "a \\sim $\\uparrow$ $_{a}$ $\\downarrow$ \\text{X}"
+    held, entries = P.protect_text("$\\textsc{a}$ [1]", 5)
+    assert held == "⟦MATH_5⟧ ⟦REF_X6⟧" and P.restore_text(held, entries) == "$\\text{a}$ [1]"
+
+
+@pytest.mark.parametrize(
+    "page, said",
+    [
+        ("<p>one<p>two<p>three", ["one", "two", "three"]),
+        ("<p>" + "<b>" * 3000 + "x", ["x"]),
+        ("<div>" * 3000 + "deep", ["deep"]),
+        ("<h1>T</h1>x<b>y</b><div>z</div>w<script>no</script>", ["T", "xy", "z", "w"]),
+        ("<ul><li>a<li>b<ul><li>c</ul>d</ul><table><tr><td>e<td>f</table>", ["a", "b", "c", "d", "e", "f"]),
+        ("", []),
+    ],
+)
+def test_pages_keep_every_text_once(page, said):
+    assert [b["text"] for b in H.blocks_of(page)] == said
+
+
+def test_deep_papers():
+    page = '<article><section class="ltx_section"><h2 class="ltx_title_section">A</h2>' + "<div class=ltx_para>" * 40 + '<p class="ltx_p">deep</p>'
+    assert [b["text"] for b in H.blocks_of(page)] == ["A", "deep"]
+
+
+def test_bibliography_images_and_write_back(spark):
+    page = """<article><h1>T</h1><p>One <span style="color:red">two</span></p><nav>x</nav><figure><img src="a.png"></figure><ul><li class="ltx_bibitem" id="bib.b1">
+    <span class="ltx_bibblock">A. 2020</span><span class="ltx_bibblock">Title.</span></li></ul></article>"""
+    data = spark.createDataFrame([("d", page), ("e", None), ("f", "")], "doc_id string, html string")
+    assert [tuple(r) for r in H.parse_bibliography(data).collect()] == [("d", "#bib.b1", "Title")]
+    assert [(r["src"], r["name"]) for r in H.images(data).collect()] == [("a.png", "a.png")]
+    blocks = H.parse_blocks(data)
+    ids = {r["text"]: r["html_id"] for r in blocks.collect()}
+    assert ids["T"] == "zh-1" and ids["One two"] == "zh-2"
+    files = spark.createDataFrame([("d", "a.png", "images/a.png")], "doc_id string, src string, local string")
+    shown = blocks.withColumn("src", F.lit("a.png"))
+    assert {r["local_src"] for r in H.with_local_images(shown, files).collect()} == {"images/a.png"}
+    told = spark.createDataFrame([("d", "zh-1", "题"), ("d", "zh-2", "一二")], "doc_id string, html_id string, translation string")
+    made = {r["doc_id"]: r["html"] for r in H.write_back(data, told).collect()}
+    assert "<h1>题</h1>" in made["d"] and '<p>一二<span style="color:red"></span></p>' in made["d"] and "<nav>" not in made["d"] and made["e"] is None
+
+
+def test_header_rows_of_tables():
+    row = lambda *texts, **more: [{"text": t, "colspan": 1, "rowspan": 1, "is_header": False, **more} for t in texts]
+    assert tables.header_rows([row("**Method**", "x"), row("1", "2")]) == 1
+    assert tables.header_rows([row("Our Model size", "x")]) == 1 and tables.header_rows([row("a model " * 10, "x")]) == 0
+    assert tables.header_rows([row("Task", "a", "b", "c"), row("left", "right", "up", "down"), row("1.0", "b", "c", "d")]) == 2
+    assert tables.header_rows([row("a", is_header=True), row("ACC", "b", "c", "d")]) == 1 and tables.header_rows([]) == 0
+
+
+def test_tables(spark):
+    from quillspark.operators import translate as T
+
+    table = "| Method | History probe |\n| --- | --- |\n| $x$ | a probe \\| more |\nno row"
+    data = spark.createDataFrame([("d", 3, table), ("d", 4, "<table><tr></table>")], "doc_id string, block_idx int, table_md string")
+
+    class Backend(T.IdentityBackend):
+        def translate(self, texts, glossary, cell=False):
+            return super().translate([t.replace("probe", "探针") for t in texts], glossary, cell)
+
+    got = {r["block_idx"]: r["table_zh"] for r in T.translate_tables(data, Backend).collect()}
+    assert got[3] == "| Method | History 探针 |\n| --- | --- |\n| $x$ | a 探针 \\| more |\nno row" and got[4] == "<table><tr></table>"
+    assert tuple(T.table_counts(data).first()) == ("d", 1, 1, 2)
+    cells = spark.createDataFrame([("t", 0, 0, "$x$", 3), ("t", 1, 0, "$y$", 1), ("t", 0, 1, "word", 1)], "table_id string, r int, c int, text string, rowspan int")
+    assert {r["c"]: (r["weight"], round(r["share"], 3)) for r in tables.column_weights(cells).collect()} == {0: (1.2, 0.286), 1: (3.0, 0.714)}
+    assert sorted(map(tuple, tables.occupied(cells).collect())) == [("t", 1, 0), ("t", 2, 0)]
+
+
+def test_prompts_groups_and_store(spark, tmp_path):
+    from quillspark.operators import translate as T
+
+    told = one(spark, T.system_prompt(F.lit("about x"), F.lit(""), cell=True))
+    assert "4. What the paper is about: about x" in told and "5. The text is a table cell" in told and "Terms" not in told
+    assert T.parse_group('ok {"blocks": [{"id": 0, "translation": "a"}, {"id": 7, "translation": "b"}, {"id": "1"}]}', 2) == {0: "a"} and T.parse_group("plain", 2) == {}
+
+    class Moves(T.IdentityBackend):  # puts the first block's reference into the second
+        def translate(self, texts, glossary, cell=False):
+            return super().translate([texts[0].split("⟦REF")[0], *(t + " ⟦REF_X0⟧" for t in texts[1:])], glossary, cell)
+
+    units = spark.createDataFrame([("d", 0, 0, "see [1]"), ("d", 0, 1, "more")], "doc_id string, unit_id int, block_idx int, text string")
+    assert {r["block_idx"]: r["translation"] for r in T.translate_units(units, None, Moves).collect()} == {0: "see ", 1: "more [1]"}
+    path = str(tmp_path / "store")
+    first = T.translate_stored(units.where("block_idx = 0"), None, T.IdentityBackend, path, 1)
+    assert first.count() == 1
+
+    class Fails(T.IdentityBackend):
+        def translate(self, texts, glossary, cell=False):
+            assert "see" not in texts[0]
+            return super().translate(texts, glossary, cell)
+
+    again = T.translate_stored(units, None, Fails, path, 1)
+    assert {r["block_idx"]: r["translation"] for r in again.collect()} == {0: "see [1]", 1: "more"}
+    assert T.stored(spark, path, 2).count() == 0 and T.stored(spark, path, 1, "never").count() == 0
+    terms = spark.createDataFrame([("d", "more", "更多")], "doc_id string, en_key string, zh string")
+    mended = T.repaired(again, units, terms, T.DictionaryBackend)
+    assert {r["block_idx"]: r["translation"] for r in mended.collect()} == {0: "see [1]", 1: "更多"}
+
+
+def test_settings(tmp_path, monkeypatch):
+    from quillspark.settings import resolve
+
+    (tmp_path / "env").write_text("# x\nQUILL_THREADS=3\nQUILL_USE_SUMMARY='off'\nQUILL_MODEL=a\n")
+    monkeypatch.setenv("QUILL_MODEL", "b")
+    told = resolve(str(tmp_path / "env"), threads=5)
+    assert (told.threads, told.model, told.use_summary, told.retries) == (5, "b", False, 3)
+
+
+def test_prices_by_equi_joins(spark):
+    from quillspark.operators import pricing
+
+    prices = spark.createDataFrame([(0, "alpha", 1.0, 1.0, 1.0), (1, "alpha-pro-20250101", 2.0, 2.0, 2.0), (2, "beta-large", 3.0, 3.0, 3.0)], "ord int, model string, cache_hit_price double, cache_miss_price double, output_price double")
+    models = spark.createDataFrame([("alpha",), ("Alpha-Pro",), ("alpha-mini",), ("beta",), ("gamma",)], "model string")
+    assert {r["model"]: r["priced"] for r in pricing.price_lookup(models, prices).collect()} == {"alpha": "alpha", "Alpha-Pro": "alpha-pro-20250101", "alpha-mini": "alpha", "beta": "beta-large"}
+    cache = spark.createDataFrame([("a", 100), ("b", 10)], "model string, fetched_at int")
+    assert pricing.fresh_prices(cache, 150, 60).count() == 1 and pricing.fresh_prices(cache, 1000, 60).count() == 2
