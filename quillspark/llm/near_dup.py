@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_array, even_keys, looked_up, placed, release, slices, texts_of, written
@@ -25,7 +25,9 @@ CHUNKS = SYMBOLS // CHUNK
 #: The largest signature distance at which every pair is found.
 BOUND = 2 * CHUNKS - 1
 #: Documents in a block of a tile.
-BLOCK = 384
+BLOCK = 192
+#: Groups of hubs in which tiles are numbered.
+GROUPS = 256
 #: Members of a hub in a group that is compared with it, and rows of many small hubs in a group.
 PART, FEW = 128, 96
 _SETS = "doc_id long, file long, at long, n_shingles long, fp1 long, fp2 long, signature binary"
@@ -126,14 +128,14 @@ def _grouped(texts: DataFrame, rows: DataFrame, number: F.Column, small: F.Colum
     """The links that compare finds in groups of rows (node, hub, ...), each with the node's text.
 
     A group is all rows with equal own columns, or, where small holds, those of a number of hubs, about FEW rows. Groups are
-    dealt to partitions by number (from the hash of the hub on), so those of one large hub lie evenly.
+    dealt to partitions by number, in turn.
     """
     spark = rows.sparkSession
     keys, buckets = even_keys(spark), max(1, rows.where(small).count() // FEW)
     bucket = F.pmod(F.xxhash64("hub", F.lit(5)), F.lit(buckets))
     told = F.when(small, F.struct(F.lit(-1).cast("long").alias("g"), bucket.alias("h"), F.lit("").alias("o")))
     told = told.otherwise(F.struct(F.lit(0).cast("long").alias("g"), F.col("hub").alias("h"), F.concat_ws(",", *own).alias("o")))
-    turn = F.when(small, bucket).otherwise(F.xxhash64("hub") % F.lit(1 << 40) + number)
+    turn = F.when(small, bucket).otherwise(number)
     key = F.element_at(F.array(*map(F.lit, keys)), (F.pmod(turn, F.lit(len(keys))) + 1).cast("int"))
     dealt = rows.withColumn("grp", told).withColumn("key", key)
     held = texts.join(dealt.hint("merge"), "node").repartition(len(keys), "key")
@@ -148,7 +150,20 @@ def confirm(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     parts = F.ceil(F.col("n") / PART).cast("int")
     dealt = pairs.select("a", "hub", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     rows = dealt.select(F.col("a").alias("node"), "hub", "parts", "part").unionByName(dealt.select(F.col("hub").alias("node"), "hub", "parts", "part").distinct())
-    return _grouped(texts, written(rows, "dealt"), F.col("part"), F.col("parts") == 1, ["parts", "part"], _compare(k, percent))
+    return _grouped(texts, written(rows, "dealt"), F.xxhash64("hub") % F.lit(1 << 40) + F.col("part"), F.col("parts") == 1, ["parts", "part"], _compare(k, percent))
+
+
+def numbered(hubs: DataFrame, tiles: F.Column) -> DataFrame:
+    """hubs with start: how many tiles those before have, so that all are numbered without gaps.
+
+    hubs, one row each, are added up within GROUPS groups by hash; between these the driver adds up GROUPS sums.
+    """
+    told = hubs.withColumn("tiles", tiles.cast("long")).withColumn("g", F.pmod(F.xxhash64("hub", F.lit(9)), F.lit(GROUPS)).cast("int"))
+    sums = dict(tuple(r) for r in told.groupBy("g").agg(F.sum("tiles")).collect())
+    ahead = np.concatenate([[0], np.cumsum([sums.get(g, 0) for g in range(GROUPS)])]).tolist()
+    before = Window.partitionBy("g").orderBy("hub").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.array(*map(F.lit, ahead)), F.col("g") + 1)
+    return told.withColumn("start", base + F.coalesce(F.sum("tiles").over(before), F.lit(0))).drop("g", "tiles")
 
 
 def _compare_tiles(k: int, percent: int):
@@ -195,13 +210,14 @@ def compare_strangers(texts: DataFrame, pairs: DataFrame, found: DataFrame, k: i
     many = told.groupBy("hub").agg(F.count(F.when(F.col("out"), 1)).alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0 and n > 1")
     blocks = lambda n: F.ceil(n / block).cast("int")
     many = written(many.select("hub", "n", blocks(F.col("n_out")).alias("outs"), blocks(F.col("n") - F.col("n_out")).alias("ins")), "strange")
+    many = written(numbered(many, F.when(F.col("n") > FEW, F.expr("outs * (outs + ins) - outs * (outs - 1) div 2")).otherwise(0)), "numbered")
     rows = looked_up(told, many, "hub").where("outs is not null")
     rows = rows.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("a"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("a"), F.col("ins"))).cast("int"))
     # a tile is (x, y): x an out block, y the same, a later out block or an in block
     last = F.when(F.col("out"), F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
     rows = rows.withColumn("z", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumn("x", F.least("own", "z")).withColumn("y", F.greatest("own", "z")).withColumn("first", F.col("own") == F.col("x"))
-    number = F.expr("x * (outs + ins) - x * (x - 1) div 2 + y - x").cast("long").alias("number")
+    number = F.expr("start + x * (outs + ins) - x * (x - 1) div 2 + y - x").cast("long").alias("number")
     rows = written(rows.select(F.col("a").alias("node"), "component", "hub", "x", "y", "first", number, (F.col("n") <= FEW).alias("small")), "tiles")
     return _grouped(texts, rows, F.col("number"), F.col("small"), ["x", "y"], _compare_tiles(k, percent))
 
