@@ -127,18 +127,30 @@ def cell_translatable(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.is_cell_translatable(F.expr(_CELL)).alias("translatable"))
 
 
-@query("select doc_id, case doc_id % 4 when 0 then true when 1 then false when 2 then false else false end as heading from documents")
+_BARE = r"regexp_replace({}, '^[\s\x0b\p{{Z}}\x1c-\x1f\x85]+|[\s\x0b\p{{Z}}\x1c-\x1f\x85]+$', '', 'g')"
+_SAME = r"trim(regexp_replace(regexp_replace(lower({}), '^[\s\-.]+|[\s\-.]+$', '', 'g'), '[\s\-.]+', ' ', 'g'))"
+
+
+@query(_BLOCKS + f""", t as (select doc_id, block_idx, {_BARE.format("text")} as t, lang as o from blocks)
+select doc_id, block_idx, t <> '' and {_SAME.format("t")} <> {_SAME.format("o")} and length(t) <= 80
+  and len(regexp_extract_all(regexp_replace(t, '[0-9]\\.[0-9][0-9.]*', '', 'g'), '[。.!?！？；;…]')) <= 2 as heading from t""")
 def heading_plausible(spark, sf_dir):
-    said = F.expr("case doc_id % 4 when 0 then concat('方法 ', doc_id) when 1 then concat('method ', doc_id) when 2 then '我们认为这是一个很长的段落而不是标题内容' else repeat('句。', 5) end")
-    return table(spark, sf_dir, "documents").select("doc_id", X.is_plausible_heading(said, F.concat(F.lit("Method "), F.col("doc_id").cast("string"))).alias("heading"))
+    """Every line of every text as the translation of a short heading."""
+    return paragraphs(spark, sf_dir).select("doc_id", "block_idx", X.is_plausible_heading(F.col("text"), F.col("lang")).alias("heading"))
+
 
 
-@query("select doc_id, unnest([lang, source, cast(doc_id as varchar)]) as part, unnest([0, 1, 2]) as pos from documents")
+
+@query("""with p as (select doc_id, string_split(replace(text, '. ', chr(7)), chr(7)) as parts from documents)
+select doc_id, unnest(list_transform(parts, lambda x: regexp_replace(x, '^\\n+|\\n+$', '', 'g'))) as part, cast(unnest(range(len(parts))) as int) as pos from p""")
 def newpar_split(spark, sf_dir):
-    text = F.concat(F.col("lang"), F.lit("\n⟦NEWPAR⟧\n"), F.col("source"), F.lit("\n[ newpar ]"), F.col("doc_id").cast("string"))
+    """Every text, its sentences taken for paragraphs."""
+    text = F.regexp_replace("text", r"\. ", "\n⟦NEWPAR⟧\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.paragraph_parts(text)).alias("pos", "part"))
 
 
+
+
 @query("select doc_id, 'AB' || doc_id as en, 'Alpha Beta ' || lang as en_full from documents union all select doc_id, 'CD' || doc_id, 'Cee Dee ' || source from documents")
 def abbrev_defs(spark, sf_dir):
     text = F.expr("concat('We use AB', doc_id, ' = Alpha Beta ', lang, ', and CD', doc_id, ' (Cee Dee ', source, '); XY: X.')")
@@ -174,12 +186,21 @@ def _split(columns: str) -> list[str]:
     return [*out, part]
 
 
-@query("""select doc_id, 0 as block_idx, case doc_id % 6 when 0 then 'residue' when 1 then 'awkward' when 2 then 'variant' else 'term' end as rule from documents where doc_id % 6 <= 4""")
+_SAID = "case doc_id % 3 when 0 then text when 1 then replace(text, ' of ', ' 的 ') else replace(text, 'the', '那') end"
+_WORD = r"regexp_matches({}, '(^|[^\p{{L}}\p{{N}}_]){}([^\p{{L}}\p{{N}}_]|$)', 'i')"
+
+
+@query(f"""with d as (select doc_id, text, {_SAID} as said from documents)
+select doc_id, 0 as block_idx, 'term' as rule from d
+where {_BARE.format("said")} <> '' and ({_WORD.format("said", "the")} and not contains(said, '那') or {_WORD.format("text", "of")} and not {_WORD.format("said", "of")})""")
 def needs_repair(spark, sf_dir):
+    """Every text with a translation made from it: one term is used or not, another is to stay in English."""
     docs = table(spark, sf_dir, "documents")
-    said = docs.select("doc_id", F.lit(0).alias("block_idx"), F.lit("a probe and GPT model").alias("text"), F.expr("case doc_id % 6 when 0 then '⟦MATH_3⟧ 探针 GPT' when 1 then '锐利边界 探针 GPT' when 2 then '副产物 探针 GPT' when 3 then 'the probe GPT' when 4 then '探针 模型' else '探针 GPT' end").alias("translation"))
-    terms = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("probe").alias("en_key"), F.lit("探针").alias("zh")), F.struct(F.lit("gpt").alias("en_key"), F.lit(G.KEEP).alias("zh")))).alias("t")).select("doc_id", "t.*")
-    return G.needs_repair(said, terms)
+    said = docs.select("doc_id", F.lit(0).alias("block_idx"), "text", F.expr(_SAID).alias("translation"))
+    terms = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("the").alias("en_key"), F.lit("那").alias("zh")), F.struct(F.lit("of").alias("en_key"), F.lit(G.KEEP).alias("zh")))).alias("t")).select("doc_id", "t.*")
+    return G.needs_repair(said, terms.distinct())
+
+
 
 
 @query("select doc_id, case doc_id % 4 when 0 then '引言' when 1 then '相关工作' when 2 then '结论' end as title from documents")
@@ -276,10 +297,16 @@ def retry_backoff(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.retry_delay(F.col("p_size") % 9).alias("delay"), X.may_retry(F.col("p_size") + 400).alias("again"))
 
 
-@query("select doc_id, text from documents")
+_FORMULAS = "replace(replace(text, '$', ''), ', ', ' $x_1$ [3], ')"
+
+
+@query(f"select doc_id, {_FORMULAS} as text, cast(length(replace(text, '$', '')) - length(replace(replace(text, '$', ''), ', ', '')) as int) as n from documents where text is not null")
 def protect_restore_roundtrip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", P.protect("text").alias("p"))
-    return docs.select("doc_id", P.restore("p.text", "p.entries").alias("text"))
+    """Every text, without its dollars, with a formula and a reference before each comma: how many are protected, and the text restored."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.protect(F.expr(_FORMULAS)).alias("p"))
+    return docs.select("doc_id", P.restore("p.text", "p.entries").alias("text"), F.size("p.entries").alias("n"))
+
+
 
 
 @query("select doc_id, 'A ⟦MATH_0⟧ b ⟦REF_X1⟧ ⟦REF_X2⟧' as text, cast(3 as bigint) as n from documents")
@@ -302,9 +329,85 @@ def _conversation_units(spark, sf_dir) -> DataFrame:
     return _turns(spark, sf_dir).select("doc_id", F.expr("block_idx div 2").alias("unit_id"), "block_idx", "text")
 
 
-@query("""select cast(conv_id as varchar) as doc_id, cast(turn as int) as block_idx, text as translation from conversations where trim(text) <> ''""")
+class Marked(translate.IdentityBackend):
+    """Answers with each e as a 3; deterministic, and few answers are what was asked."""
+
+    def translate(self, texts, glossary, cell=False):
+        return super().translate([t.replace("e", "3") for t in texts], glossary, cell)
+
+
+@query("""select cast(conv_id as varchar) as doc_id, cast(turn as int) as block_idx, replace(text, 'e', '3') as translation from conversations where trim(text) <> ''""")
 def translate_units(spark, sf_dir):
-    return translate.translate_units(_conversation_units(spark, sf_dir), None, translate.IdentityBackend).select("doc_id", "block_idx", "translation")
+    return translate.translate_units(_conversation_units(spark, sf_dir), None, Marked).select("doc_id", "block_idx", "translation")
+
+
+@query("""select cast(p_partkey as varchar) as doc_id, 0 as block_idx,
+  '| M3thod nam3 | Score |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace('the ' || p_type || ' rate', 'e', '3') || ' | ' || p_size || ' |' as table_zh from part""")
+def translate_tables(spark, sf_dir):
+    """A table of each part: cells that hold English are translated, others stay."""
+    made = F.expr("concat('| Method name | Score |\\n| --- | --- |\\n| the ', p_type, ' rate | ', p_size, ' |')")
+    tables_ = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), made.alias("table_md"))
+    return translate.translate_tables(tables_, Marked).select("doc_id", "block_idx", "table_zh")
+
+
+@query("select cast(p_partkey as varchar) as doc_id, cast(p_partkey % 2 as bigint) as html_tables, cast(1 - p_partkey % 2 as bigint) as markdown_tables, cast(case when p_partkey % 2 = 0 then 1 else 0 end as bigint) as cells from part")
+def table_counts(spark, sf_dir):
+    made = F.expr("case p_partkey % 2 when 1 then '<table><tr></tr></table>' else concat('| the ', p_type, ' rate | ', p_size, ' |') end")
+    return translate.table_counts(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), made.alias("table_md")))
+
+
+@query("select p_partkey, 'ℒ' || p_size || ' <= ' || p_brand || ' ∞' as shown from part")
+def tex_as_unicode(spark, sf_dir):
+    tex = F.expr(r"concat('\\mathcal{L}_{', p_size, '} \\leq ', p_brand, ' \\infty')")
+    return table(spark, sf_dir, "part").select("p_partkey", X.tex_to_unicode(tex).alias("shown"))
+
+
+@query("select p_partkey as table_id, cast(r as int) as r, p_size % 3 as c from part, unnest(range(1, 1 + p_size % 4)) as t(r)")
+def occupied_cells(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").selectExpr("p_partkey as table_id", "0 as r", "p_size % 3 as c", "1 + p_size % 4 as rowspan")
+    return tables.occupied(cells)
+
+
+@query("select p_size as table_id, cast(c as int) as c, case when c = 1 then 1.2 else 3.0 end as weight, case when c = 1 then round(1.2 / 4.2, 9) else round(3.0 / 4.2, 9) end as share from (select distinct p_size from part), unnest([0, 1]) as t(c)")
+def column_widths(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").select(F.col("p_size").alias("table_id"), F.posexplode(F.array("p_type", F.concat(F.lit("$x_{"), "p_partkey", F.lit("}$")))).alias("c", "text"))
+    return tables.column_weights(cells).select("table_id", "c", "weight", F.round("share", 9).alias("share"))
+
+
+@query("""select doc_id, 'You translate scientific papers from English into Chinese.' || chr(10) || chr(10) || '1. Leave every placeholder in ⟦ ⟧ as it is.' || chr(10) || chr(10)
+ || '2. Translate all of the text and nothing else.' || chr(10) || chr(10) || '3. Keep names of models, data sets and people in English.' || chr(10) || chr(10) || '' || chr(10) || chr(10)
+ || case when source <> '' then '4. What the paper is about: ' || source || chr(10) || chr(10) else '' end || case when doc_id % 2 = 0 then case when source <> '' then '5' else '4' end || '. Terms:' || chr(10) || lang || chr(10) || chr(10) else '' end
+ || 'Answer with JSON: {"translation": "...", "terms": [{"en": "...", "zh": "..."}]}' as prompt from documents""")
+def system_prompts(spark, sf_dir):
+    made = translate.system_prompt(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("prompt"))
+
+
+@query("""select conv_id as doc_id, turn as ord, text as en, case when turn % 3 = 0 then '译' || turn end as zh from conversations""")
+def known_terms(spark, sf_dir):
+    """Every text looked up, as a term, in a glossary of each third."""
+    said = table(spark, sf_dir, "conversations").selectExpr("conv_id as doc_id", "turn as ord", "concat(turn, text) as en", "text")
+    glossary = said.where("ord % 3 = 0").select("doc_id", X.term_key(F.col("en")).alias("en_key"), F.concat(F.lit("译"), "ord").alias("zh"))
+    return G.known_terms(said, glossary).select("doc_id", "ord", F.col("text").alias("en"), "zh")
+
+
+_PAPER = "concat('<article><h1 class=\"ltx_title_document\">Part ', p_partkey, '</h1><section class=\"ltx_section\"><h2 class=\"ltx_title_section\">', p_type, '</h2><div class=\"ltx_para\"><p class=\"ltx_p\">Of <b>', p_brand, '</b>.</p><table class=\"ltx_equation\"><tr><td><math><annotation encoding=\"application/x-tex\">x_{', p_size, '}</annotation></math></td></tr></table></div><figure class=\"ltx_figure\"><img src=\"/img/', p_partkey, '.png\"></figure></section></article><ul><li class=\"ltx_bibitem\" id=\"bib.b', p_partkey, '\"><span class=\"ltx_bibblock\">A. 2020</span><span class=\"ltx_bibblock\">On ', p_brand, '.</span></li></ul>')"
+
+
+def _papers(spark, sf_dir) -> DataFrame:
+    """A paper of each part, with what pages of the tables lack."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_PAPER).alias("html"))
+
+
+@query("""select cast(p_partkey as varchar) as doc_id, cast(i as int) as block_idx, kind, text, raw, html_id from part, unnest([
+  {'i': 0, 'kind': 'title', 'text': 'Part ' || p_partkey, 'raw': 'Part ' || p_partkey, 'html_id': 'zh-1'}, {'i': 1, 'kind': 'heading', 'text': p_type, 'raw': p_type, 'html_id': 'zh-2'},
+  {'i': 2, 'kind': 'paragraph', 'text': 'Of ' || p_brand || '.', 'raw': 'Of **' || p_brand || '**.', 'html_id': 'zh-3'},
+  {'i': 3, 'kind': 'equation', 'text': 'x_{' || p_size || '}', 'raw': '$$' || chr(10) || 'x_{' || p_size || '}' || chr(10) || '$$' || chr(10), 'html_id': 'zh-4'},
+  {'i': 4, 'kind': 'figure', 'text': '', 'raw': '![](https://arxiv.org/img/' || p_partkey || '.png)', 'html_id': 'zh-5'}]) as t(x), lateral (select x.*)""")
+def paper_blocks(spark, sf_dir):
+    return H.parse_blocks(_papers(spark, sf_dir)).select("doc_id", "block_idx", "kind", "text", "raw", "html_id")
+
+
 
 
 @query("select conv_id as doc_id, turn as block_idx from conversations where length(text) % 3 = 0")
