@@ -391,12 +391,12 @@ def known_terms(spark, sf_dir):
     return G.known_terms(said, glossary).select("doc_id", "ord", F.col("text").alias("en"), "zh")
 
 
-_PAPER = "concat('<article><h1 class=\"ltx_title_document\">Part ', p_partkey, '</h1><section class=\"ltx_section\"><h2 class=\"ltx_title_section\">', p_type, '</h2><div class=\"ltx_para\"><p class=\"ltx_p\">Of <b>', p_brand, '</b>.</p><table class=\"ltx_equation\"><tr><td><math><annotation encoding=\"application/x-tex\">x_{', p_size, '}</annotation></math></td></tr></table></div><figure class=\"ltx_figure\"><img src=\"/img/', p_partkey, '.png\"></figure></section></article><ul><li class=\"ltx_bibitem\" id=\"bib.b', p_partkey, '\"><span class=\"ltx_bibblock\">A. 2020</span><span class=\"ltx_bibblock\">On ', p_brand, '.</span></li></ul>')"
+_PAPER_HTML = "concat('<article><h1 class=\"ltx_title_document\">Part ', p_partkey, '</h1><section class=\"ltx_section\"><h2 class=\"ltx_title_section\">', p_type, '</h2><div class=\"ltx_para\"><p class=\"ltx_p\">Of <b>', p_brand, '</b>.</p><table class=\"ltx_equation\"><tr><td><math><annotation encoding=\"application/x-tex\">x_{', p_size, '}</annotation></math></td></tr></table></div><figure class=\"ltx_figure\"><img src=\"/img/', p_partkey, '.png\"></figure></section></article><ul><li class=\"ltx_bibitem\" id=\"bib.b', p_partkey, '\"><span class=\"ltx_bibblock\">A. 2020</span><span class=\"ltx_bibblock\">On ', p_brand, '.</span></li></ul>')"
 
 
 def _papers(spark, sf_dir) -> DataFrame:
     """A paper of each part, with what pages of the tables lack."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_PAPER).alias("html"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_PAPER_HTML).alias("html"))
 
 
 @query("""select cast(p_partkey as varchar) as doc_id, cast(i as int) as block_idx, kind, text, raw, html_id from part, unnest([
@@ -425,6 +425,16 @@ def page_markdown(spark, sf_dir):
     return translate.render_markdown(blocks, translate.translate_units(units_, None, translate.IdentityBackend))
 
 
+@query("""select cast(p_partkey as varchar) as doc_id, 0 as ord, '/img/' || p_partkey || '.png' as src, 'https://arxiv.org/img/' || p_partkey || '.png' as url, p_partkey || '.png' as name from part""")
+def paper_images(spark, sf_dir):
+    return H.images(_papers(spark, sf_dir))
+
+
+@query("select cast(p_partkey as varchar) as doc_id, '#bib.b' || p_partkey as anchor, 'On ' || p_brand as title from part")
+def paper_bibliography(spark, sf_dir):
+    return H.parse_bibliography(_papers(spark, sf_dir))
+
+
 @query()
 def page_images(spark, sf_dir):
     return H.images(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "html"))
