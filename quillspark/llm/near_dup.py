@@ -150,7 +150,7 @@ def confirm(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     parts = F.ceil(F.col("n") / PART).cast("int")
     dealt = pairs.select("a", "hub", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     rows = dealt.select(F.col("a").alias("node"), "hub", "parts", "part").unionByName(dealt.select(F.col("hub").alias("node"), "hub", "parts", "part").distinct())
-    return _grouped(texts, written(rows, "dealt"), F.xxhash64("hub") % F.lit(1 << 40) + F.col("part"), F.col("parts") == 1, ["parts", "part"], _compare(k, percent))
+    return _grouped(texts, written(rows, "dealt"), F.xxhash64("hub", "parts") % F.lit(1 << 40) + F.col("part"), F.col("parts") == 1, ["parts", "part"], _compare(k, percent))
 
 
 def numbered(hubs: DataFrame, tiles: F.Column) -> DataFrame:
