@@ -27,12 +27,14 @@ SKIP = "⟦SKIP⟧"
 
 
 class TranslatorBackend(Protocol):
-    """open once a partition; translate gets protected texts with the document's glossary and gives replies."""
+    """open once a partition; translate gets protected texts with the document's glossary and gives replies, summarise a reply or nothing."""
 
     def open(self) -> None: ...
 
     def translate(self, texts: list[str], glossary: dict[str, str], cell: bool = False) -> list[str]: ...
 
+    def summarise(self, title: str, abstract: str) -> str: ...
+
     def close(self) -> None: ...
 
 
@@ -45,6 +47,9 @@ class IdentityBackend:
     def translate(self, texts: list[str], glossary: dict[str, str], cell: bool = False) -> list[str]:
         return [json.dumps({"translation": t, "terms": []}, ensure_ascii=False) for t in texts]
 
+    def summarise(self, title: str, abstract: str) -> str:
+        return ""
+
     def close(self) -> None:
         pass
 
@@ -63,7 +68,7 @@ class DictionaryBackend(IdentityBackend):
 
 
 def parse_reply(raw: str) -> tuple[str, list[dict]]:
-    """Translation and terms of a reply: JSON, JSON inside other text, or plain text."""
+    """Translation and terms of a reply: JSON, JSON inside other text, or plain text; terms that are no objects are left out."""
     for part in [raw, *re.findall(r"\{(?:[^{}]|\{[^{}]*\})*\}", raw or "", re.DOTALL)]:
         try:
             told = json.loads(part)
@@ -71,7 +76,7 @@ def parse_reply(raw: str) -> tuple[str, list[dict]]:
             continue
         if isinstance(told, dict) and "translation" in told:
             terms = told.get("terms")
-            return str(told["translation"] or ""), terms if isinstance(terms, list) else []
+            return str(told["translation"] or ""), [t for t in terms if isinstance(t, dict)] if isinstance(terms, list) else []
     return raw or "", []
 
 

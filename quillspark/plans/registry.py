@@ -5,6 +5,7 @@ Tables hold no papers, so inputs for many operators are built from columns, by o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import protect as P
 from quillspark.functions import text as X
 from quillspark.operators import glossary as G
-from quillspark.operators import pricing, tables, translate, units
+from quillspark.operators import html_tables, paper, pricing, tables, translate, units
 from quillspark.sources import html as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,6 +351,69 @@ def translate_tables(spark, sf_dir):
     return translate.translate_tables(tables_, Marked).select("doc_id", "block_idx", "table_zh")
 
 
+@query("""select cast(p_partkey as varchar) as doc_id, 0 as block_idx, '<table class="a"><tr><th>M3thod &amp; nam3</th><td>th3 ' || replace(p_type, 'e', '3') || ' rat3</td><td><b>' || p_size || '</b></td></tr></table>' as table_zh from part""")
+def translate_html_tables(spark, sf_dir):
+    """An HTML table of each part: cells that hold English lose their inner markup, others stay."""
+    made = F.expr("concat('<table class=\"a\"><tr><th>Method &amp; name</th><td><b>the</b> ', p_type, ' <i>rate</i></td><td><b>', p_size, '</b></td></tr></table>')")
+    tables_ = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), made.alias("table_md"))
+    return html_tables.translate_all_tables(tables_, Marked).select("doc_id", "block_idx", "table_zh")
+
+
+class Summarises(translate.IdentityBackend):
+    """Answers for titles of an even number of characters, and fails for the others."""
+
+    def summarise(self, title, abstract):
+        if len(title) % 2:
+            raise ValueError(title)
+        return json.dumps({"summary": f" S: {title} "}, ensure_ascii=False)
+
+
+_STRIPPED = r"regexp_replace({}, '^[\s\p{{Z}}\x1c-\x1f\x85]+|[\s\p{{Z}}\x1c-\x1f\x85]+$', '', 'g')"
+
+
+@query(f"""with t as (select conv_id, turn, text, row_number() over (partition by conv_id, turn = 0 order by turn) as n from conversations where text <> ''),
+p as (select conv_id, {_STRIPPED.format("coalesce(max(text) filter (where turn = 0), '')")} as title,
+  {_STRIPPED.format("coalesce(string_agg(text, chr(10) order by turn) filter (where turn > 0 and n <= 3), '')")} as abstract from t group by 1)
+select conv_id as doc_id, case when length(title) % 2 = 0 and (title <> '' or abstract <> '') then trim('S: ' || title)
+  when title <> '' and abstract <> '' then '本文标题：《' || title || '》。摘要要点：' || case when length(abstract) > 600 then substr(abstract, 1, 600) || '…' else abstract end || '。请据此判断本文的核心任务/方法/立场（如提出新方法、理论分析或实证研究），并始终与摘要立场保持一致。'
+  when title <> '' then '本文标题：《' || title || '》。翻译时保持全文立场与标题一致。' else '翻译时保持全文立场一致，不得引入与上下文相悖的幻觉内容。' end as summary from p""")
+def paper_summaries(spark, sf_dir):
+    """Conversations as papers: the first turn is the title, the others are paragraphs."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_idx"), F.when(F.col("turn") == 0, "title").otherwise("paragraph").alias("kind"), F.lit(None).cast("string").alias("section"), "text")
+    return paper.summaries(turns, Summarises)
+
+
+class Teaches(translate.IdentityBackend):
+    """Says how many terms it was told, and teaches the first word of what it gets."""
+
+    def translate(self, texts, glossary, cell=False):
+        return [json.dumps({"translation": f"{len(glossary)}: {t}", "terms": [{"en": t.split()[0], "zh": f"词{len(glossary)}"}]}, ensure_ascii=False) for t in texts]
+
+
+_CAPTIONS = "select cast(s_suppkey as varchar) as doc_id, i as block_idx, case i when 0 then 'SNR = noise of ' || s_name when 1 then 'plain text' when 2 then 'see LLM: large model' else 'SNR again' end as text"
+
+
+def _prewarmed(spark, sf_dir) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), "s_name", F.explode(F.array(*map(F.lit, range(4)))).alias("block_idx"))
+    said = F.expr("case block_idx when 0 then concat('SNR = noise of ', s_name) when 1 then 'plain text' when 2 then 'see LLM: large model' else 'SNR again' end")
+    figure = F.col("block_idx") % 3 == 0
+    blocks = suppliers.select("doc_id", "block_idx", F.when(figure, "figure").otherwise("paragraph").alias("kind"), F.when(~figure, said).alias("text"), F.when(figure, said).alias("caption"))
+    terms = suppliers.where("block_idx = 0 and cast(doc_id as int) % 2 = 0").select("doc_id", F.lit("probe").alias("en_key"), F.lit("探针").alias("zh"))
+    return paper.prewarm(blocks, terms, Teaches)
+
+
+@query(f"""with c as ({_CAPTIONS}, s_suppkey % 2 = 0 as told from supplier, (values (0), (2), (3)) as t(i))
+select doc_id, block_idx, (case when block_idx = 3 then 2 when block_idx = 2 then 1 else 0 end + told::int) || ': ' || text as translation from c""")
+def prewarm(spark, sf_dir):
+    """Four blocks a supplier, of which three define abbreviations: each is told what those before have taught."""
+    return _prewarmed(spark, sf_dir).select("doc_id", "block_idx", "translation")
+
+
+@query("""select cast(s_suppkey as varchar) as doc_id, k as en_key, '词' || (d + case when s_suppkey % 2 = 0 then 1 else 0 end) as zh from supplier, (values ('snr', 2), ('see', 1)) as t(k, d)""")
+def learned_terms(spark, sf_dir):
+    return paper.learned_terms(_prewarmed(spark, sf_dir)).select("doc_id", "en_key", "zh")
+
+
 @query("select cast(p_partkey as varchar) as doc_id, cast(p_partkey % 2 as bigint) as html_tables, cast(1 - p_partkey % 2 as bigint) as markdown_tables, cast(case when p_partkey % 2 = 0 then 1 else 0 end as bigint) as cells from part")
 def table_counts(spark, sf_dir):
     made = F.expr("case p_partkey % 2 when 1 then '<table><tr></tr></table>' else concat('| the ', p_type, ' rate | ', p_size, ' |') end")

@@ -1,5 +1,7 @@
 """Functions and operators on small cases, and every registered query against its SQL."""
 
+import json
+
 import duckdb
 import pytest
 from hypothesis import given
@@ -267,3 +269,39 @@ def test_prices_by_equi_joins(spark):
     assert {r["model"]: r["priced"] for r in pricing.price_lookup(models, prices).collect()} == {"alpha": "alpha", "Alpha-Pro": "alpha-pro-20250101", "alpha-mini": "alpha", "beta": "beta-large"}
     cache = spark.createDataFrame([("a", 100), ("b", 10)], "model string, fetched_at int")
     assert pricing.fresh_prices(cache, 150, 60).count() == 1 and pricing.fresh_prices(cache, 1000, 60).count() == 2
+
+
+def test_html_tables_summaries_and_prewarming(spark):
+    from quillspark.operators import html_tables as HT
+    from quillspark.operators import paper
+    from quillspark.operators import translate as T
+
+    class Backend(T.DictionaryBackend):
+        def translate(self, texts, glossary, cell=False):
+            self.told = dict(glossary)
+            said = [t.replace("History probe", "历史 <探针>") for t in texts]
+            terms = [{"en": "LLM", "zh": "大模型"}, {"en": "LLM", "zh": "<KEEP>"}, {"en": "", "zh": "x"}, "odd"]
+            return [json.dumps({"translation": f"{len(glossary)} {s}" if not cell else s, "terms": terms}, ensure_ascii=False) for s in said]
+
+        def summarise(self, title, abstract):
+            if title == "bad":
+                raise ValueError
+            return f"about {title}" if title else ""
+
+    held = "<table><thead><tr><th>Method<td id='a'><b>History</b>\n probe</td></tr></thead><!-- <td> --><tr><td>12 < 3</td><td></td></tr></table>"
+    data = spark.createDataFrame([("d", 1, held), ("d", 2, None), ("d", 3, "| History probe |")], "doc_id string, block_idx int, table_md string")
+    got = {r["block_idx"]: r["table_zh"] for r in HT.translate_all_tables(data, Backend).collect()}
+    assert got == {1: held.replace("<b>History</b>\n probe", "历史 &lt;探针&gt;"), 2: None, 3: "| 历史 <探针> |"}
+    assert HT.translate_all_tables(data.limit(0), Backend).count() == 0
+
+    blocks = [("a", 0, "title", None, "T {abstract}"), ("a", 1, "paragraph", None, "x" * 700), ("b", 0, "title", None, "bad"), ("c", 0, "paragraph", "abstract", "only"), ("e", 0, "figure", None, None)]
+    blocks = spark.createDataFrame(blocks, "doc_id string, block_idx int, kind string, section string, text string")
+    said = {r["doc_id"]: r["summary"] for r in paper.summaries(blocks, Backend, 10).collect()}
+    assert said["a"] == "about T {abstract}" and said["b"].startswith("本文标题：《bad》。翻译") and said["c"] == said["e"] == paper.ANCHORS["none"]
+    fallback = {r["doc_id"]: r["summary"] for r in paper.summaries(blocks, T.IdentityBackend).collect()}
+    assert fallback["a"].startswith("本文标题：《T {abstract}》。摘要要点：" + "x" * 600 + "…。")
+
+    rows = [("a", 0, "figure", None, "LLM = large model"), ("a", 1, "paragraph", "none here", None), ("a", 2, "paragraph", "SNR: noise ratio", None), ("a", 3, "table", None, " "), ("b", 0, "listing", None, "code")]
+    made = paper.prewarm(spark.createDataFrame(rows, "doc_id string, block_idx int, kind string, text string, caption string"), spark.createDataFrame([("a", "probe", "探针")], "doc_id string, en_key string, zh string"), Backend)
+    assert {(r["doc_id"], r["block_idx"]): r["translation"] for r in made.collect()} == {("a", 0): "1 LLM = large model", ("a", 2): "2 SNR: noise ratio", ("b", 0): "0 code"}
+    assert {(r["doc_id"], r["en_key"], r["zh"]) for r in paper.learned_terms(made).collect()} == {("a", "llm", "大模型"), ("b", "llm", "大模型")}
