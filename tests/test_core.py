@@ -131,6 +131,28 @@ def test_price_table_errors(spark):
     assert [tuple(r)[2:] for r in got] == [("a", 1.0, 3.0, 5.0), ("b", 2.0, 4.0, 6.0)]
 
 
+def test_price_pages_of_long_versions(spark, tmp_path):
+    """A version of four digits or more is no date: two models that differ in it alone are two."""
+    import duckdb
+
+    from quillspark.operators.pricing import price_table
+    from quillspark.plans import registry
+
+    keys = [0, 7, 999, 1000, 1001, 60_000, 20_250_730, 1_234_567_890]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    said = con.execute(registry.ORACLES["price_pages"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["price_pages"](spark, str(tmp_path)).collect())) == sorted(said) and len(said) == 13
+
+    cells = [["模型版本", "M-V1000", "m-v1001-0731"], ["输入（缓存命中）", "1元", "2元"], ["输入（缓存未命中）", "3元", "4元"], ["百万tokens输出", "5元", "6元"]]
+    rows = spark.createDataFrame([("d", i, c) for i, c in enumerate(cells)], "doc_id string, r int, cells array<string>")
+    assert sorted(tuple(r)[2:] for r in price_table(rows).collect()) == [("m-v1000", 1.0, 3.0, 5.0), ("m-v1001", 2.0, 4.0, 6.0)]
+    names = [("chat20250731", "chat"), ("m-240731", "m"), ("gptv2024", "gptv"), ("v60000", "v60000"), ("m-v4-0731", "m-v4")]
+    got = spark.createDataFrame(names, "name string, key string").select(X.model_key(F.col("name")), "key").collect()
+    assert [a for a, _ in got] == [b for _, b in got]
+
+
 @pytest.mark.parametrize(
     "made, said",
     [
