@@ -167,13 +167,19 @@ def numbered(hubs: DataFrame, tiles: F.Column) -> DataFrame:
 
 
 def _compare_tiles(k: int, percent: int):
+    """Links between components, one for each two that a link within the group's tiles joins and that no other has joined there.
+
+    A group gives less links than it has components, however many texts of these are similar; those that are left out join
+    what is joined, and texts of components that have been joined are not compared any more.
+    """
+
     def run(table: pa.Table) -> pa.Table:
         release()
         sets = shingle_sets(texts_of(table), k)
         marks = signatures(sets).reshape(len(sets), CHUNKS, CHUNK)
         nodes, labels = table.column("node").to_numpy(), table.column("component").to_numpy()
         first = table.column("first").combine_chunks().to_numpy(zero_copy_only=False)
-        size = np.array([len(s) for s in sets])
+        size, joined = np.array([len(s) for s in sets]), labels.copy()
         tiles: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("hub", "x", "y")))):
             tiles.setdefault(key, []).append(i)
@@ -182,14 +188,17 @@ def _compare_tiles(k: int, percent: int):
             at = np.array(at_)
             left, right = (at, at) if x == y else (at[first[at]], at[~first[at]])
             for i in left.tolist():
-                other = right[(labels[right] != labels[i]) & (nodes[right] > nodes[i] if x == y else True)]
+                other = right[(joined[right] != joined[i]) & (nodes[right] > nodes[i] if x == y else True)]
                 other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
                 if len(other):  # in some chunk at most one symbol differs: they share an entry
                     other = other[((marks[other] == marks[i]).sum(axis=2) >= CHUNK - 1).any(axis=1)]
                 for j in other.tolist():
+                    if joined[j] == joined[i]:
+                        continue
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (size[i] + size[j] - both):
-                        found.add((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+                        found.add((max(labels[i], labels[j]), min(labels[i], labels[j])))
+                        joined[joined == joined[j]] = joined[i]
         a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -197,7 +206,8 @@ def _compare_tiles(k: int, percent: int):
 
 
 def compare_strangers(texts: DataFrame, pairs: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Links among the members of a hub's entries that are in other components than the hub, and of these to the rest.
+    """Components that are joined by links among the members of a hub's entries that are in other components than the hub, and of
+    these to the rest: pairs of component numbers, as many as join them (see _compare_tiles).
 
     The first kind ("out") and the second ("in") are cut into blocks of ``block`` texts; a tile has one block of the first
     kind and another of either, so a task sees two blocks at most, and members of the hub's own component, which may be very
@@ -260,9 +270,10 @@ def _classes(rows: DataFrame, shingle: int, percent: int, block: int) -> tuple[D
     links = written(confirm(texts, pairs, shingle, percent), "confirmed")
     found = components(links)
     late = written(compare_strangers(texts, pairs, found, shingle, percent, block), "late")
-    if not late.isEmpty():
-        found = components(links.unionByName(late))
     told = written(nodes.select("node", "fp1", "fp2", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "told")
+    if not late.isEmpty():  # a graph of components, not of nodes
+        wider = components(late).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        told = written(looked_up(told, wider, "component").select("node", "fp1", "fp2", "rep", F.coalesce("wider", "component").alias("component")), "told")
     first = written(told.groupBy("component").agg(F.min("rep").alias("first")), "first")
     return sets, written(looked_up(told, first, "component").select("fp1", "fp2", "first"), "classes")
 

@@ -266,6 +266,25 @@ def test_near_duplicates_in_many_tiles(spark, monkeypatch):
     assert collections.Counter(map(tuple, near_dup.near_duplicates(data, 2, block=7).collect())) == judged(told, 2)
 
 
+def test_tiles_give_less_links_than_components():
+    """Texts of a few components that are all similar: a link each joins these, not one for every two texts."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words, f"x{i}"]) for i in range(60)] + [f"a lone text {i}" for i in range(4)]
+    labels = [i % 5 for i in range(60)] + list(range(60, 64))
+
+    def compared(texts, labels, x, y, first):
+        n = len(texts)
+        columns = {"node": range(n), "hub": [0] * n, "x": x, "y": y, "first": first, "component": labels, "text": texts}
+        return near_dup._compare_tiles(2, 80)(pa.table({c: list(v) for c, v in columns.items()}))
+
+    got = compared(texts, labels, [0] * 64, [0] * 64, [True] * 64).to_pydict()
+    assert len(got["a"]) == 4 and set(got["a"]) | set(got["b"]) == set(range(5)) and all(a > b for a, b in zip(got["a"], got["b"]))
+    got = compared(texts, labels, [0] * 64, [1] * 64, [i < 30 for i in range(64)]).to_pydict()
+    assert len(got["a"]) == 4 and set(got["a"]) | set(got["b"]) == set(range(5))
+
+
 def test_frequent_keys_go_by_broadcast(spark, monkeypatch):
     from quillspark.llm import common
 
