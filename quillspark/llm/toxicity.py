@@ -9,6 +9,7 @@ alone; a score of CUT means the threshold of the text's language.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_array, gather, slices, split_words, texts_of, with_text, written
+from .common import as_array, gather, release, slices, split_words, texts_of, with_text, written
 
 WIDTHS = (1, 2, 3)
 #: Bytes of text scored at once: a distinct word has a row of filter responses.
@@ -298,8 +299,8 @@ def labelled(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[list, list[str], np.ndarray]:
-    """doc_id, text and label of the rows to fit, a bounded sample, the same for the same tables, brought to the driver.
+def sampled(docs: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, label and text of the rows to fit, a bounded sample, the same for the same tables.
 
     Per label the documents of lowest hash outside the fifth that is kept from fitting, one row each: of rows that share a
     doc_id the smallest text is taken.
@@ -307,10 +308,33 @@ def labelled_sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tu
     free = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)) != 0)
     parts = [free.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n) for y, n in ((1, settings.positives), (0, settings.negatives))]
     rows = docs.where(F.length("text") <= settings.max_chars).select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    found = sorted(tuple(r) for r in rows.groupBy("doc_id", "label").agg(F.min("text")).collect())
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, settings: Settings) -> tuple[list, list[str], np.ndarray]:
+    """What sampled gives, in the driver and in order."""
+    return _columns(tuple(r) for r in sampled(docs, known, settings).collect())
+
+
+def _columns(rows) -> tuple[list, list[str], np.ndarray]:
+    found = sorted(rows)
     return [d for d, _, _ in found], [t for _, _, t in found], np.array([y for _, y, _ in found], dtype=np.int64)
 
 
+def fitted_model(sample: DataFrame, settings: Settings) -> Model:
+    """The model of the rows of a sample, fitted in one task of an executor: the driver gets neither the texts nor what training takes."""
+
+    def run(batches):
+        _, texts, truth = _columns(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))))
+        model = pickle.dumps(train(texts, truth, settings))
+        del texts
+        release()
+        yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
+
+    made = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0, dtype=np.int64), settings)  # no task without rows
+
+
 def with_logits(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """Those columns with the logit and language code of every whole text, and whether it has no words; no shuffle.
 
@@ -363,11 +387,10 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
 def _judged(docs: DataFrame, labels: DataFrame, settings: Settings | None, columns: list[str]) -> tuple[DataFrame, Model]:
     """Logits of all rows, written once, and the model with thresholds from those of all labelled rows."""
     settings, known = settings or Settings(), labelled(labels)
-    ids, texts, truth = labelled_sample(docs, known, settings)
-    model = train(texts, truth, settings)
+    sample = written(sampled(docs, known, settings), "sample")
+    model = fitted_model(sample, settings)
     told = written(with_logits(docs, model, columns), "logits")
-    fitted = docs.sparkSession.createDataFrame([(d,) for d in sorted(set(ids))], StructType([docs.schema["doc_id"]]))
-    calibrate(model, told.select("row.doc_id", "logit", "tongue"), known, fitted)
+    calibrate(model, told.select("row.doc_id", "logit", "tongue"), known, sample.select("doc_id"))
     return told, model
 
 

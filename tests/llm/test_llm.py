@@ -118,6 +118,26 @@ def test_sample_is_bounded_in_rows(spark):
     assert len(ids) == len(set(ids)) == len(texts) <= 8 and truth.sum() <= 3 and all(t == f"text {d} 0" for d, t in zip(ids, texts))
 
 
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    """The model is fitted in an executor, and is the one that the same rows give in the driver."""
+    import os
+
+    driver, train = os.getpid(), toxicity.train
+
+    def elsewhere(texts, labels, settings=None):
+        assert os.getpid() != driver, "trained in the driver"
+        return train(texts, labels, settings)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    data = spark.createDataFrame([(i, f"word{i} {'foul' if i % 2 else 'fair'} thing") for i in range(200)], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    settings = toxicity.Settings(examples=2000)
+    assert {r["predicted"] for r in toxicity.classify(data, marks, settings).collect()} == {0, 1}
+    _, texts, truth = toxicity.labelled_sample(data, toxicity.labelled(marks), settings)
+    there, here = toxicity.fitted_model(toxicity.sampled(data, toxicity.labelled(marks), settings), settings), train(texts, truth, settings)
+    assert all(np.allclose(getattr(there, k), getattr(here, k)) for k in ("word", "gram", "conv", "bias", "out", "base"))
+
+
 def test_thresholds_weigh_the_rows_they_stand_for():
     cuts, seen = np.array([-1.0, 0.0, 1.0]), np.array([[8.0, 2.0, 0.0], [0.0, 4.0, 6.0]])
     assert toxicity._threshold(seen, np.array([10.0, 10.0]), cuts) == 0.0
