@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import new_path, read
+from .hard_negatives import ORACLE as HARD_NEGATIVES_SQL
 from .maxscore import ORACLE as MAX_SCORE_SQL
 from .near_dup import ORACLE as NEAR_DUP_SQL
 from .substrings import ORACLE as SUBSTRING_SQL
@@ -74,5 +76,13 @@ def op10_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup, op8_max_score, op9_html_extraction, op10_vantage_point)}
-ORACLES = {"op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op7_near_dedup": NEAR_DUP_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives
+
+    rows = read(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup, op8_max_score, op9_html_extraction, op10_vantage_point, op11_hard_negatives)}
+ORACLES = {"op11_hard_negatives": HARD_NEGATIVES_SQL, "op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op7_near_dedup": NEAR_DUP_SQL}
