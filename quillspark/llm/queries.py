@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, read
+from .conversations import ORACLE as CONVERSATIONS_SQL
 from .hard_negatives import ORACLE as HARD_NEGATIVES_SQL
 from .maxscore import ORACLE as MAX_SCORE_SQL
 from .near_dup import ORACLE as NEAR_DUP_SQL
@@ -84,5 +85,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup, op8_max_score, op9_html_extraction, op10_vantage_point, op11_hard_negatives)}
-ORACLES = {"op11_hard_negatives": HARD_NEGATIVES_SQL, "op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op7_near_dedup": NEAR_DUP_SQL}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_digests
+
+    return repair_digests(read(spark, sf_dir, "conversations"))
+
+
+#: Rules of the registered query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge_urls
+
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_simple8b_files, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_substring_dedup, op7_near_dedup, op8_max_score, op9_html_extraction, op10_vantage_point, op11_hard_negatives, op12_conversation_repair, op13_url_filters)}
+ORACLES = {"op12_conversation_repair": CONVERSATIONS_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op8_max_score": MAX_SCORE_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op7_near_dedup": NEAR_DUP_SQL}
