@@ -131,20 +131,31 @@ def needs_repair(translations: DataFrame, glossary: DataFrame, mode: str = "inte
     """Translations (doc_id, block_idx, text, translation) that should be made again, with the rule that says so.
 
     mode "intended": a term to be kept in English is in the text but not in the translation; "as_coded": it is in the
-    translation. The glossary is joined by doc_id, so only a document's own terms are tried.
+    translation. Another term is in the translation while its Chinese is not. A document's own terms are sought, all of them in
+    one pass over each text (see automaton); a key that the glossary holds twice counts with both of its translations.
     """
-    from quillspark.functions.text import WRONG_VARIANTS, awkward, residue
+    from quillspark.functions.text import WRONG_VARIANTS, awkward, has_text, residue
+    from quillspark.operators.automaton import Automaton, by_glossary
 
-    said = translations.where(strip(F.col("translation")) != "")
+    if mode not in ("intended", "as_coded"):
+        raise ValueError(mode)
+    said = translations.where(has_text(F.col("translation")))
     wrong = F.lit(False)
     for phrase in WRONG_VARIANTS:
         wrong = wrong | F.col("translation").contains(phrase)
     plain = said.select("doc_id", "block_idx", F.when(residue(F.col("translation")), "residue").when(awkward(F.col("translation")), "awkward").when(wrong, "variant").alias("rule")).where("rule is not null")
 
-    def word(text: str) -> str:  # plain containment first: a pattern is made and run for few pairs only
-        return f"(contains(lower({text}), lower(en_key)) and {text} rlike concat('(?i)(?<![\\\\p{{L}}\\\\p{{N}}_])', '\\\\Q', en_key, '\\\\E', '(?![\\\\p{{L}}\\\\p{{N}}_])'))"
-
-    keep = f"zh = '{KEEP}' and " + (f"{word('text')} and not {word('translation')}" if mode == "intended" else word("translation"))
-    unused = f"zh <> '{KEEP}' and zh <> '' and not contains(translation, zh) and {word('translation')}"
-    by_term = said.join(glossary.select("doc_id", "en_key", "zh"), "doc_id").where(f"({keep}) or ({unused})").select("doc_id", "block_idx", F.lit("term").alias("rule"))
+    def broken(automaton: Automaton, terms: list[tuple], values: list[str | None]) -> bool:
+        text, translation = values
+        used = set()
+        for i in automaton.found(translation):
+            used.add(i)
+            zh = terms[i][1]
+            if zh == KEEP and mode == "as_coded" or zh not in (KEEP, "", None) and zh not in translation:
+                return True
+        if mode == "as_coded" or all(zh != KEEP for _, zh in terms):
+            return False
+        return any(terms[i][1] == KEEP and i not in used for i in automaton.found(text))
+
+    by_term = by_glossary(said, glossary, broken, ["text", "translation"], ["en_key", "zh"]).select("doc_id", "block_idx", F.lit("term").alias("rule"))
     return plain.unionByName(by_term).groupBy("doc_id", "block_idx").agg(F.min("rule").alias("rule"))

@@ -6,6 +6,7 @@ Tables hold no papers, so inputs for many operators are built from columns, by o
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from quillspark.functions import protect as P
 from quillspark.functions import text as X
 from quillspark.operators import glossary as G
 from quillspark.operators import html_tables, paper, pricing, tables, translate, units
+from quillspark.operators.store import ResultStore
+from quillspark.settings import Settings, shared_folder
+from quillspark.sources import fetch, files
 from quillspark.sources import html as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +206,27 @@ def needs_repair(spark, sf_dir):
     return G.needs_repair(said, terms.distinct())
 
 
+_TERMS = "case length(en_key) % 3 when 0 then '<KEEP>' when 1 then '那' else '的' end"
+_RESAID = "case doc_id % 5 when 0 then text when 1 then replace(text, 'the', '那') when 2 then concat(text, case block_idx % 4 when 0 then ' 锐利边界' when 1 then ' @@MATH' when 2 then ' 副产物' else ' 的' end) when 3 then replace(text, 'e', 'E') else concat('那的', text) end"
+
+
+@query(_BLOCKS + f""", said as (select doc_id, block_idx, text, {_RESAID} as said from blocks),
+src as (select distinct doc_id, block_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as w from said where {_BARE.format("said")} <> ''),
+tgt as (select distinct doc_id, block_idx, said, unnest(regexp_extract_all(lower(said), '[\\p{{L}}\\p{{N}}_]+')) as w from said where {_BARE.format("said")} <> ''),
+g as (select doc_id, en_key, {_TERMS} as zh from (select distinct doc_id, w as en_key from src where length(w) >= 7)),
+found as (
+  select doc_id, block_idx, 'term' as rule from src join g using (doc_id) where w = en_key and zh = '<KEEP>' and not exists (select 1 from tgt t where t.doc_id = src.doc_id and t.block_idx = src.block_idx and t.w = src.w)
+  union all select doc_id, block_idx, 'term' from tgt join g using (doc_id) where w = en_key and zh <> '<KEEP>' and not contains(said, zh)
+  union all select doc_id, block_idx, case when contains(said, '@@MATH') then 'residue' when contains(said, '锐利边界') then 'awkward' else 'variant' end from said where contains(said, '@@MATH') or contains(said, '锐利边界') or contains(said, '副产物')
+) select doc_id, block_idx, min(rule) as rule from found group by 1, 2""")
+def needs_repair_by_glossary(spark, sf_dir):
+    """Every line of every text against a glossary of all longer words of its document; all rules fire."""
+    said = paragraphs(spark, sf_dir).select("doc_id", "block_idx", "text", F.expr(_RESAID).alias("translation"))
+    words = said.where(X.strip(F.col("translation")) != "").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("en_key"))
+    terms = words.where(F.length("en_key") >= 7).distinct().withColumn("zh", F.expr(_TERMS))
+    return G.needs_repair(said, terms)
+
+
 
 
 @query("select doc_id, case doc_id % 4 when 0 then '引言' when 1 then '相关工作' when 2 then '结论' end as title from documents")
@@ -626,3 +651,77 @@ def price_pages(spark, sf_dir):
       '<tr><td>百万tokens输入（缓存未命中）</td><td>', s_suppkey, '元</td>', if(s_suppkey % 2 = 0, concat('<td>', s_suppkey + 1, '元</td>'), ''), '</tr>',
       '<tr><td>百万tokens输出</td><td>8元</td>', if(s_suppkey % 2 = 0, '<td>8元</td>', ''), '</tr></table>')""")
     return pricing.price_table(H.table_rows(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), html.alias("html"))))
+
+
+class RuleTransport:
+    """Answers by the length of a URL: some are not there, some fail at first, some never answer, some are always too busy."""
+
+    def __init__(self) -> None:
+        self.tried: dict[str, int] = {}
+
+    def get(self, url, timeout):
+        n = len(url)
+        self.tried[url] = self.tried.get(url, 0) + 1
+        if n % 7 == 0:
+            return 404, ()
+        if n % 7 == 1 and self.tried[url] <= n % 3:
+            return 503, ()
+        if n % 7 == 2:
+            raise OSError(url)
+        if n % 7 == 3:
+            return 429, ()
+        return 200, (part.encode() for part in ("body of ", url))
+
+
+_FETCHED = """with u as (select distinct url from pages where url is not null),
+t as (select url, length(url) % 7 as k, case length(url) % 7 when 0 then 1 when 1 then length(url) % 3 + 1 when 2 then 3 when 3 then 3 else 1 end as attempts from u)
+select url, k not in (0, 2, 3) as ok, case k when 0 then 404 when 2 then null when 3 then 429 else 200 end as status, cast(attempts as int) as attempts,
+cast(pow(2, attempts - 1) - 1 as double) as waited, case when k not in (0, 2, 3) then 'body of ' || url end as text from t"""
+
+
+def _fetched_text(rows: DataFrame) -> DataFrame:
+    return rows.select("url", "ok", "status", "attempts", "waited", F.decode("content", "UTF-8").alias("text"))
+
+
+@query(_FETCHED)
+def fetch_urls(spark, sf_dir):
+    """The URLs of all pages through a transport that fails by rule, with two attempts more."""
+    return _fetched_text(fetch.fetch(table(spark, sf_dir, "pages").select("url"), RuleTransport, Settings(retries=2), sleep=lambda seconds: None))
+
+
+@query(_FETCHED)
+def fetch_data_source(spark, sf_dir):
+    """The same as a data source: the list of URLs is written first, and each of its files is read by one task."""
+    urls = f"{shared_folder(spark)}/urls-{uuid.uuid4().hex}"
+    fetch.write_url_list(table(spark, sf_dir, "pages").select("url"), urls, files=8)
+    fetch.register(spark)
+    told = {"urls": urls, "transport": f"{__name__}:RuleTransport", "retries": "2", "waits": "no"}
+    return _fetched_text(spark.read.format("fetched").options(**told).load())
+
+
+_TITLE = "case page_id % 4 when 0 then concat('Part: ', page_id % 10) when 1 then '' when 2 then concat('a/b ', page_id) end"
+
+
+@query(f"""with t as (select page_id, html, replace(replace(coalesce(nullif(trim({_TITLE}), ''), cast(page_id as varchar)), ':', '：'), '/', '、') as stem from pages),
+c as (select *, count(*) over (partition by stem) as n from t)
+select stem || case when n > 1 then '  ' || substr(sha1(cast(page_id as varchar)), 1, 16) else '' end || '.html' as name, html from c""".replace("sha1(", "SHA1("))
+def files_by_title(spark, sf_dir):
+    """Every page as a file named by a title, written with a two-phase commit and read again; equal titles are told apart."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.expr(_TITLE).alias("title"))
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    files.write_files(files.file_names(pages, "title").select(F.concat("stem", F.lit(".html")).alias("name"), F.col("html").alias("content")), path)
+    return files.read_files(spark, path).select("name", F.decode("content", "UTF-8").alias("html"))
+
+
+@query("""select doc_id, cast(n as int) as block_idx, case when n % 3 = 0 then 'third of ' || n when n % 2 = 0 then 'second of ' || n else 'first of ' || n end as translation
+from (select doc_id, (length(text) + doc_id) % 12 as n from documents) where n % 3 <> 1""")
+def stored_results(spark, sf_dir):
+    """Results in three runs, each over a part of the documents, the first two compacted before the third: the latest of each counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("cast((length(text) + doc_id) % 12 as int)").alias("block_idx")).where("block_idx % 3 <> 1")
+    store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 1, "doc_id long, block_idx int, translation string")
+    said = lambda word: F.concat(F.lit(f"{word} of "), F.col("block_idx").cast("string"))
+    store.add(docs.withColumn("translation", said("first")))
+    store.add(docs.where("block_idx % 2 = 0").withColumn("translation", said("second")))
+    store.compact(files=2)
+    store.add(docs.where("block_idx % 3 = 0").withColumn("translation", said("third")))
+    return store.latest()
