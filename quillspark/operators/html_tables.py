@@ -42,14 +42,15 @@ def html_cells(pieces: DataFrame) -> DataFrame:
     return cells.withColumn("text", X.strip(_decoded("text")))
 
 
-def translate_html_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend]) -> DataFrame:
+def translate_html_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend] | None, cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """tables (doc_id, block_idx, table_md) with table_zh: the same HTML with those cells translated that hold English.
 
     A translated cell keeps its own tag and loses the markup inside; its text is escaped. A cell whose answer is blank or
     what was asked stays as it is. A null table gives null.
     """
     pieces = table_pieces(tables)
-    said = translate_cells(html_cells(pieces), backend).where((X.strip(F.col("translation")) != "") & (F.col("translation") != F.col("text")))
+    told = html_cells(pieces)
+    said = (cells(told) if cells else translate_cells(told, backend)).where((X.strip(F.col("translation")) != "") & (F.col("translation") != F.col("text")))
     escaped = F.replace(F.replace(F.replace("translation", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     both = pieces.join(said.select(*KEY, F.col("r").alias("cell"), escaped.alias("said")), [*KEY, "cell"], "left")
     piece = F.when(F.col("said").isNull(), F.col("piece")).when(F.col("i") == F.col("cell"), F.concat("opening", "said")).otherwise(F.lit(""))
@@ -58,7 +59,7 @@ def translate_html_tables(tables: DataFrame, backend: Callable[[], TranslatorBac
     return tables.join(both.groupBy(*KEY).agg(whole.alias("table_zh")), KEY, "left")
 
 
-def translate_all_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend]) -> DataFrame:
-    """Tables of either kind with table_zh, each translated as its kind is."""
+def translate_all_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend] | None, cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Tables of either kind with table_zh, each translated as its kind is, by the backend or by cells (see translate_tables)."""
     is_html = F.coalesce(F.lower(F.ltrim("table_md")).startswith("<table"), F.lit(False))
-    return translate_html_tables(tables.where(is_html), backend).unionByName(translate_tables(tables.where(~is_html), backend))
+    return translate_html_tables(tables.where(is_html), backend, cells).unionByName(translate_tables(tables.where(~is_html), backend, cells))

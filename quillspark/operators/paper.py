@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions.protect import protect_text, restore_text, sanitize_text
 from quillspark.operators.glossary import FIRST_USE, KEEP, add_terms, first_uses, ingest_terms
-from quillspark.operators.translate import RESULT, TranslatorBackend, parse_reply, summary_text, text_to_translate
+from quillspark.operators.translate import RESULT, TranslatorBackend, glossary_maps, parse_reply, summary_text, text_to_translate
 from quillspark.operators.units import abstract_or_first
 
 #: What stands for a summary where none was made, by what is known of a paper.
@@ -91,8 +91,7 @@ def prewarm(blocks: DataFrame, glossary: DataFrame, backend: Callable[[], Transl
     """
     doc = F.col("doc_id").cast("string").alias("doc_id")
     wanted = blocks.where(X.defines_abbreviation(F.col("kind"), F.col("text"))).select(doc, "block_idx", text_to_translate(F.col("kind"), F.col("text"), F.col("caption")).alias("text"))
-    terms = glossary.groupBy(doc).agg(F.map_from_entries(F.collect_set(F.struct("en_key", F.coalesce("zh", F.lit(""))))).alias("terms"))
-    rows = wanted.where(X.strip(F.col("text")) != "").join(terms, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "block_idx")
+    rows = wanted.where(X.strip(F.col("text")) != "").join(glossary_maps(glossary), "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "block_idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()

@@ -70,7 +70,7 @@ def price_table(rows: DataFrame) -> DataFrame:
     for name in ("cache_hit", "cache_miss"):
         kind = kind.when(shown.contains(PRICE_ROWS[name]), name)
     told = rows.withColumn("kind", kind.when(output, "output")).where("kind is not null")
-    named = F.transform(F.filter(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c != ""), model_key)
+    named = F.transform(F.filter(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c != ""), lambda c: model_key(c))
     found = F.filter(F.transform("cells", price), lambda x: x.isNotNull())
     told = told.withColumn("named", F.when(F.col("kind") == "model", named)).withColumn("found", F.when((F.col("kind") != "model") & (F.size(found) > 0), found))
     last = lambda value, name: F.max_by(value, F.when((F.col("kind") == name) & F.col(value).isNotNull(), F.col("r"))).alias(name)

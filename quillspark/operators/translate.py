@@ -81,9 +81,16 @@ def parse_reply(raw: str) -> tuple[str, list[dict]]:
 
 
 def summary_text(raw: Column) -> Column:
-    """The summary in a reply: the first known key of a JSON object, else the reply."""
-    found = [F.nullif(F.get_json_object(raw, f"$.{k}"), F.lit("")) for k in ("summary", "摘要", "translation", "text", "result")]
-    return F.coalesce(*found, raw)
+    """The summary in a reply: a JSON string; of an object the first known key that holds a string, else all its strings, a line
+    each; any other reply as it is."""
+    told = F.try_parse_json(raw)
+    kind = F.schema_of_variant(told)
+    values = F.from_json(raw, "map<string,variant>")
+    is_string = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    known = [F.when(is_string(F.try_element_at(values, F.lit(k))), F.try_variant_get(F.try_element_at(values, F.lit(k)), "$", "string")) for k in ("summary", "摘要", "translation", "text", "result")]
+    strings = F.transform(F.filter(F.map_values(values), is_string), lambda v: F.try_variant_get(v, "$", "string"))
+    every = F.when(F.size(strings) > 0, F.array_join(strings, "\n"))
+    return F.when(kind == "STRING", F.try_variant_get(told, "$", "string")).when(kind.startswith("OBJECT"), F.coalesce(*known, every, raw)).otherwise(raw)
 
 
 def text_to_translate(kind: Column, text: Column, caption: Column) -> Column:
@@ -105,6 +112,14 @@ def _whole_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield left
 
 
+def glossary_maps(glossary: DataFrame) -> DataFrame:
+    """doc_id (string) and terms, a map from key to Chinese; of a key that is there twice the first by ord counts, or without an
+    ord the least Chinese."""
+    keyed = glossary.select(F.col("doc_id").cast("string").alias("doc_id"), "en_key", F.coalesce("zh", F.lit("")).alias("zh"), (F.col("ord") if "ord" in glossary.columns else F.lit(0)).alias("ord"))
+    one = keyed.where(F.col("en_key").isNotNull()).groupBy("doc_id", "en_key").agg(F.min(F.struct("ord", "zh"))["zh"].alias("zh"))
+    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("en_key", "zh"))).alias("terms"))
+
+
 def translate_units(units: DataFrame, glossary: DataFrame | None, backend: Callable[[], TranslatorBackend], tasks: int | None = None) -> DataFrame:
     """units (doc_id, unit_id, block_idx, text) to results (see RESULT); blank texts are dropped before any Python runs.
 
@@ -112,8 +127,7 @@ def translate_units(units: DataFrame, glossary: DataFrame | None, backend: Calla
     """
     rows = units.where(X.strip(F.col("text")) != "").select(F.col("doc_id").cast("string").alias("doc_id"), "unit_id", "block_idx", "text")
     if glossary is not None:
-        terms = glossary.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.map_from_entries(F.collect_set(F.struct("en_key", F.coalesce("zh", F.lit(""))))).alias("terms"))
-        rows = rows.join(terms, "doc_id", "left")
+        rows = rows.join(glossary_maps(glossary), "doc_id", "left")
     else:
         rows = rows.withColumn("terms", F.lit(None).cast("map<string,string>"))
     dealt = rows.repartition(tasks, "doc_id", "unit_id") if tasks else rows.repartition("doc_id", "unit_id")
@@ -174,17 +188,18 @@ def table_cells(tables: DataFrame) -> DataFrame:
     return cells.select("doc_id", "block_idx", "r", F.posexplode("cells").alias("c", "text"))
 
 
-def translate_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend]) -> DataFrame:
-    """tables (doc_id, block_idx, table_md) with table_zh: the same table with those cells translated that hold English.
+def translate_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend] | None, cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """tables (doc_id, block_idx, table_md) with table_zh: the same table with those cells translated that hold English, by the
+    backend or by cells, which gives cells (doc_id, text, ...) a translation (see requests.ask_cells).
 
     Separator rows and lines that are no rows stay as they are, bars in cells are escaped again. Cells are sent from any
     table; rows are put together again by one aggregate a table.
     """
     lines = tables.select("doc_id", "block_idx", F.posexplode(F.split("table_md", "\n")).alias("r", "line"))
-    cells = table_cells(tables)
-    separators = cells.groupBy("doc_id", "block_idx", "r").agg(is_separator_rows().alias("separator"))
-    sent = cells.join(separators.where("not separator").drop("separator"), ["doc_id", "block_idx", "r"])
-    told = translate_cells(sent, backend)
+    every = table_cells(tables)
+    separators = every.groupBy("doc_id", "block_idx", "r").agg(is_separator_rows().alias("separator"))
+    sent = every.join(separators.where("not separator").drop("separator"), ["doc_id", "block_idx", "r"])
+    told = cells(sent) if cells else translate_cells(sent, backend)
     escaped = F.replace("translation", F.lit("|"), F.lit("\\|"))
     ordered = F.array_sort(F.collect_list(F.struct("c", escaped.alias("t"))))
     rows = told.groupBy("doc_id", "block_idx", "r").agg(F.concat(F.lit("| "), F.array_join(F.transform(ordered, lambda x: x["t"]), " | "), F.lit(" |")).alias("said"))
@@ -312,18 +327,45 @@ def merged(results: DataFrame, repaired: DataFrame) -> DataFrame:
     return out.drop("_again")
 
 
-def render_markdown(blocks: DataFrame, results: DataFrame, source: str = "https://arxiv.org/abs/") -> DataFrame:
-    """Per document its Markdown: a header of title and source, then its blocks in order, spaced."""
+def render_markdown(blocks: DataFrame, results: DataFrame, tables: DataFrame | None = None, source: str = "https://arxiv.org/abs/", notice: str = "") -> DataFrame:
+    """Per document its Markdown: a header of title, source and notice, then its blocks in order, spaced.
+
+    Figures show their image, stored where it has been, with the caption below; listings and tables stand above theirs. A
+    caption, and a table that tables (doc_id, block_idx, table_zh) lacks, stay as they were where there is no translation. Marks
+    of paragraphs become paragraphs, and none is left. Columns: doc_id, title and title_zh (for names of files), markdown.
+    """
     from quillspark.functions.protect import space_protected
     from quillspark.operators.units import assemble
 
     told = blocks.join(results.select("doc_id", "block_idx", "translation"), ["doc_id", "block_idx"], "left")
-    said = F.coalesce("translation", F.lit(""))
-    body = told.where("kind <> 'title'").withColumn("markdown", X.block_markdown(F.col("kind"), F.col("level"), F.col("text"), F.col("raw"), said))
-    title = told.where("kind = 'title'").groupBy("doc_id").agg(F.min_by(F.coalesce(F.nullif(said, F.lit("")), F.col("text")), "block_idx").alias("title"))
-    head = F.concat(F.lit("# "), F.coalesce("title", "doc_id"), F.lit("\n\n"), F.lit(source), F.col("doc_id"), F.lit("\n\n---\n\n"))
-    joined = assemble(body).join(title, "doc_id", "left")
-    return joined.select("doc_id", X.safe_filename(F.coalesce("title", "doc_id")).alias("stem"), F.concat(head, space_protected("markdown")).alias("markdown"))
+    if tables is None:
+        told = told.withColumn("table_zh", F.lit(None).cast("string"))
+    else:
+        told = told.join(tables.select("doc_id", "block_idx", "table_zh"), ["doc_id", "block_idx"], "left")
+    filled = lambda *columns: F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns), F.lit(""))
+    shown = structure_markdown(F.col("kind"), filled("translation", "caption"), F.col("src"), F.col("local_src"), F.col("listing_md"), filled("table_zh", "table_md"))
+    raw = F.coalesce(shown, F.col("raw"), F.lit(""))
+    body = told.where("kind <> 'title'").withColumn("markdown", X.block_markdown(F.col("kind"), F.col("level"), F.col("text"), raw, filled("translation")))
+    unmarked = lambda c: X.strip(F.regexp_replace(c, X.NEWPAR, ""))
+    first = lambda c: F.min_by(F.nullif(unmarked(F.col(c)), F.lit("")), "block_idx")
+    title = told.where("kind = 'title'").groupBy("doc_id").agg(first("text").alias("title"), first("translation").alias("title_zh"))
+    joined = told.select("doc_id").distinct().join(assemble(body), "doc_id", "left").join(title, "doc_id", "left")
+    head = F.concat(F.lit("# "), F.coalesce("title_zh", "title", F.col("doc_id")), F.lit(f"\n\n> 原文: {source}"), "doc_id", F.lit(f"\n> {notice}" if notice else ""), F.lit("\n\n---\n\n"))
+    text = F.regexp_replace(space_protected(F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n"))), X.NEWPAR, "")
+    return joined.select("doc_id", "title", "title_zh", F.concat(head, text).alias("markdown"))
+
+
+def write_papers(papers: DataFrame, path: str, mode: str = "id", glossaries: DataFrame | None = None) -> None:
+    """papers (see render_markdown) as files <name>.zh.md, with <name>.glossary.json of glossaries (doc_id, glossary_json), all of
+    them or none; mode says which name: id, title or title_zh."""
+    from quillspark.sources.files import file_names, write_files
+
+    named = file_names(papers, mode)
+    out = named.select(F.concat("stem", F.lit(".zh.md")).alias("name"), F.col("markdown").alias("content"))
+    if glossaries is not None:
+        told = named.select("doc_id", "stem").join(glossaries, "doc_id")
+        out = out.unionByName(told.select(F.concat("stem", F.lit(".glossary.json")).alias("name"), F.col("glossary_json").alias("content")))
+    write_files(out, path)
 
 
 def export_formats(value: Column) -> Column:

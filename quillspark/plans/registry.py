@@ -6,7 +6,6 @@ Tables hold no papers, so inputs for many operators are built from columns, by o
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import protect as P
 from quillspark.functions import text as X
 from quillspark.operators import glossary as G
-from quillspark.operators import html_tables, paper, pricing, tables, translate, units
+from quillspark.operators import html_tables, paper, pricing, requests, tables, translate, units
 from quillspark.operators.store import ResultStore
-from quillspark.settings import Settings, shared_folder
+from quillspark.settings import Settings
+from quillspark.shared import new_path
 from quillspark.sources import fetch, files
 from quillspark.sources import html as H
 
@@ -206,14 +206,14 @@ def needs_repair(spark, sf_dir):
     return G.needs_repair(said, terms.distinct())
 
 
-_TERMS = "case length(en_key) % 3 when 0 then '<KEEP>' when 1 then '那' else '的' end"
+_ZH_BY_LENGTH = "case length(en_key) % 3 when 0 then '<KEEP>' when 1 then '那' else '的' end"
 _RESAID = "case doc_id % 5 when 0 then text when 1 then replace(text, 'the', '那') when 2 then concat(text, case block_idx % 4 when 0 then ' 锐利边界' when 1 then ' @@MATH' when 2 then ' 副产物' else ' 的' end) when 3 then replace(text, 'e', 'E') else concat('那的', text) end"
 
 
 @query(_BLOCKS + f""", said as (select doc_id, block_idx, text, {_RESAID} as said from blocks),
 src as (select distinct doc_id, block_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as w from said where {_BARE.format("said")} <> ''),
 tgt as (select distinct doc_id, block_idx, said, unnest(regexp_extract_all(lower(said), '[\\p{{L}}\\p{{N}}_]+')) as w from said where {_BARE.format("said")} <> ''),
-g as (select doc_id, en_key, {_TERMS} as zh from (select distinct doc_id, w as en_key from src where length(w) >= 7)),
+g as (select doc_id, en_key, {_ZH_BY_LENGTH} as zh from (select distinct doc_id, w as en_key from src where length(w) >= 7)),
 found as (
   select doc_id, block_idx, 'term' as rule from src join g using (doc_id) where w = en_key and zh = '<KEEP>' and not exists (select 1 from tgt t where t.doc_id = src.doc_id and t.block_idx = src.block_idx and t.w = src.w)
   union all select doc_id, block_idx, 'term' from tgt join g using (doc_id) where w = en_key and zh <> '<KEEP>' and not contains(said, zh)
@@ -223,7 +223,7 @@ def needs_repair_by_glossary(spark, sf_dir):
     """Every line of every text against a glossary of all longer words of its document; all rules fire."""
     said = paragraphs(spark, sf_dir).select("doc_id", "block_idx", "text", F.expr(_RESAID).alias("translation"))
     words = said.where(X.strip(F.col("translation")) != "").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("en_key"))
-    terms = words.where(F.length("en_key") >= 7).distinct().withColumn("zh", F.expr(_TERMS))
+    terms = words.where(F.length("en_key") >= 7).distinct().withColumn("zh", F.expr(_ZH_BY_LENGTH))
     return G.needs_repair(said, terms)
 
 
@@ -643,10 +643,10 @@ def price_cache_fresh(spark, sf_dir):
     return pricing.fresh_prices(cache, 36_000, 18_000).select("s_suppkey", "fetched_at")
 
 
-@query("""select cast(s_suppkey as varchar) as doc_id, o as ord, 'm' || o || '-v' || s_suppkey as model, 0.5::double as cache_hit_price,
+@query("""select cast(s_suppkey as varchar) as doc_id, o as ord, 'm' || o || '-v' || s_suppkey || case o when 1 then 'b' else '' end as model, 0.5::double as cache_hit_price,
 (s_suppkey + o)::double as cache_miss_price, 8.0::double as output_price from supplier, (values (0), (1)) as t(o) where o = 0 or s_suppkey % 2 = 0""")
 def price_pages(spark, sf_dir):
-    html = F.expr("""concat('<p>x</p><table><tr><th>模型版本</th><td> M0-V', s_suppkey, '-0731</td>', if(s_suppkey % 2 = 0, concat('<td>m1-v', s_suppkey, '</td>'), ''), '</tr>',
+    html = F.expr("""concat('<p>x</p><table><tr><th>模型版本</th><td> M0-V', s_suppkey, '-0731</td>', if(s_suppkey % 2 = 0, concat('<td>m1-v', s_suppkey, 'b</td>'), ''), '</tr>',
       '<tr><td rowspan="3">价格</td><td>百万tokens输入（缓存命中）</td><td>0.5元</td>', if(s_suppkey % 2 = 0, '<td><b>0.5 元</b></td>', ''), '</tr>',
       '<tr><td>百万tokens输入（缓存未命中）</td><td>', s_suppkey, '元</td>', if(s_suppkey % 2 = 0, concat('<td>', s_suppkey + 1, '元</td>'), ''), '</tr>',
       '<tr><td>百万tokens输出</td><td>8元</td>', if(s_suppkey % 2 = 0, '<td>8元</td>', ''), '</tr></table>')""")
@@ -675,12 +675,12 @@ class RuleTransport:
 
 _FETCHED = """with u as (select distinct url from pages where url is not null),
 t as (select url, length(url) % 7 as k, case length(url) % 7 when 0 then 1 when 1 then length(url) % 3 + 1 when 2 then 3 when 3 then 3 else 1 end as attempts from u)
-select url, k not in (0, 2, 3) as ok, case k when 0 then 404 when 2 then null when 3 then 429 else 200 end as status, cast(attempts as int) as attempts,
+select url, k not in (0, 2, 3) as ok, case k when 0 then 404 when 2 then 0 when 3 then 429 else 200 end as status, cast(attempts as int) as attempts,
 cast(pow(2, attempts - 1) - 1 as double) as waited, case when k not in (0, 2, 3) then 'body of ' || url end as text from t"""
 
 
 def _fetched_text(rows: DataFrame) -> DataFrame:
-    return rows.select("url", "ok", "status", "attempts", "waited", F.decode("content", "UTF-8").alias("text"))
+    return rows.select("url", "ok", F.coalesce("status", F.lit(0)).alias("status"), "attempts", "waited", F.decode("content", "UTF-8").alias("text"))
 
 
 @query(_FETCHED)
@@ -692,7 +692,7 @@ def fetch_urls(spark, sf_dir):
 @query(_FETCHED)
 def fetch_data_source(spark, sf_dir):
     """The same as a data source: the list of URLs is written first, and each of its files is read by one task."""
-    urls = f"{shared_folder(spark)}/urls-{uuid.uuid4().hex}"
+    urls = new_path(spark, "urls")
     fetch.write_url_list(table(spark, sf_dir, "pages").select("url"), urls, files=8)
     fetch.register(spark)
     told = {"urls": urls, "transport": f"{__name__}:RuleTransport", "retries": "2", "waits": "no"}
@@ -708,7 +708,7 @@ select stem || case when n > 1 then '  ' || substr(sha1(cast(page_id as varchar)
 def files_by_title(spark, sf_dir):
     """Every page as a file named by a title, written with a two-phase commit and read again; equal titles are told apart."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.expr(_TITLE).alias("title"))
-    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    path = new_path(spark, "files")
     files.write_files(files.file_names(pages, "title").select(F.concat("stem", F.lit(".html")).alias("name"), F.col("html").alias("content")), path)
     return files.read_files(spark, path).select("name", F.decode("content", "UTF-8").alias("html"))
 
@@ -718,10 +718,119 @@ from (select doc_id, (length(text) + doc_id) % 12 as n from documents) where n %
 def stored_results(spark, sf_dir):
     """Results in three runs, each over a part of the documents, the first two compacted before the third: the latest of each counts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("cast((length(text) + doc_id) % 12 as int)").alias("block_idx")).where("block_idx % 3 <> 1")
-    store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 1, "doc_id long, block_idx int, translation string")
+    store = ResultStore(spark, new_path(spark, "store"), 1, "doc_id long, block_idx int, translation string")
     said = lambda word: F.concat(F.lit(f"{word} of "), F.col("block_idx").cast("string"))
     store.add(docs.withColumn("translation", said("first")))
     store.add(docs.where("block_idx % 2 = 0").withColumn("translation", said("second")))
     store.compact(files=2)
     store.add(docs.where("block_idx % 3 = 0").withColumn("translation", said("third")))
     return store.latest()
+
+
+class Chat:
+    """Answers by rule: of a group it leaves out each block whose length five divides, in an order of its own and with an id that is none,
+    or says what is no JSON; alone it leaves every second of those blank. The length of the prompt it was given goes before each answer."""
+
+    def open(self, settings):
+        pass
+
+    def answer(self, system, user, timeout):
+        asked = json.loads(user)
+        texts = [b["text"] for b in asked["blocks"]] if "blocks" in asked else [asked["text"]]
+        size = sum(map(len, texts))
+        if "blocks" not in asked:
+            said = json.dumps({"translation": "" if size % 10 == 0 else f"{len(system)}! {texts[0]}", "terms": []}, ensure_ascii=False)
+        elif size % 7 == 0:
+            said = "no JSON"
+        else:
+            blocks = [{"id": i, "translation": f"{len(system)}: {t}"} for i, t in enumerate(texts) if len(t) % 5]
+            said = json.dumps({"blocks": [*blocks[::-1], {"id": 9, "translation": "none"}], "terms": []}, ensure_ascii=False)
+        return requests.Reply(said, len(system), size, 1)
+
+    def close(self):
+        pass
+
+
+_WORDS = [translate.PROMPT["intro"], *translate.PROMPT["rules"], ""]
+_PROMPT_SIZE = "case when n = 1 or alone then {} else {} end + case when conv_id % 2 = 0 then length('4. What the paper is about: paper ' || conv_id) + 2 else 0 end + case when conv_id % 3 = 0 then length('4. Terms:') + 1 + length('- term ' || conv_id) + 2 else 0 end".format(*(sum(map(len, _WORDS)) + 2 * len(_WORDS) + len(translate.PROMPT[k]) for k in ("single", "group")))
+_CHAT = f"""with t as (select conv_id, turn, turn // 2 as unit, text, length(text) as len from conversations where {_BARE.format("text")} <> ''),
+u as (select conv_id, unit, count(*) as n, sum(len) as size, false as alone from t group by 1, 2),
+b as (select t.*, n, size, n = 1 or (len % 5 <> 0 and size % 7 <> 0) as at_once from t join u using (conv_id, unit)),
+asked as (select conv_id, n, size, alone from u union all select conv_id, n, len as size, true as alone from b where not at_once or (n = 1 and len % 10 = 0)),
+said as (select *, not at_once as alone from b)
+"""
+
+
+def _chatted(spark, sf_dir) -> requests.Translated:
+    said = table(spark, sf_dir, "conversations")
+    units_ = said.select(F.col("conv_id").alias("doc_id"), F.expr("turn div 2").alias("unit_id"), F.col("turn").alias("block_idx"), "text")
+    prompts = said.select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.expr("case when doc_id % 2 = 0 then concat('paper ', doc_id) end as summary"), F.expr("case when doc_id % 3 = 0 then concat('- term ', doc_id) end as glossary"))
+    return requests.translate_blocks(units_, prompts, Chat)
+
+
+@query(_CHAT + f"""select cast(conv_id as varchar) as doc_id, cast(turn as int) as block_idx, case when n > 1 and not alone then ({_PROMPT_SIZE})::varchar || ': ' || text when len % 10 = 0 then '' else ({_PROMPT_SIZE})::varchar || '! ' || text end as translation,
+case when n > 1 and not alone then 'group' when len % 10 = 0 then 'given up' else 'single' end as status from said""")
+def chat_translation(spark, sf_dir):
+    """Turns by two as units: groups are asked at once by id, gaps alone, and what stays open is given up."""
+    return _chatted(spark, sf_dir).results.select("doc_id", "block_idx", "translation", "status")
+
+
+@query(_CHAT + f"""select cast(conv_id as varchar) as doc_id, count(*) as requests, cast(sum({_PROMPT_SIZE}) as bigint) as prompt, cast(sum(size) as bigint) as completion, count(*) as cache_hit from asked group by 1""")
+def chat_usage(spark, sf_dir):
+    """What those requests cost, as the backend says: every group and every block that is asked for alone."""
+    return requests.usage_of(_chatted(spark, sf_dir).usage, "doc_id")
+
+
+class CellChat(Chat):
+    """Knows that a cell is asked for, in which paper, and cannot translate every fifth."""
+
+    def answer(self, system, user, timeout):
+        text = json.loads(user)["text"]
+        assert "The text is a table cell" in system
+        size = len(text)
+        paper_ = system.split("about: ")[1].split("\n")[0]
+        return requests.Reply(json.dumps({"translation": translate.SKIP if size % 5 == 0 else f"{paper_} {text}"}, ensure_ascii=False), 1, 1, 0)
+
+
+@query("""with t as (select p_partkey, 'the ' || p_type || ' rate' as c, 'paper ' || p_size as p from part)
+select cast(p_partkey as varchar) as doc_id, 0 as block_idx, '| ' || p || ' Method name of it | Score |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || case when length(c) % 5 = 0 then c else p || ' ' || c end || ' | 1 |' as table_zh from t""")
+def chat_tables(spark, sf_dir):
+    """Cells of a table of each part, each asked for with the paper's summary; those that the model cannot translate stay."""
+    part = table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey").cast("string"))
+    made = F.expr("concat('| Method name of it | Score |\n| --- | --- |\n| the ', p_type, ' rate | 1 |')")
+    prompts = part.select("doc_id", F.concat(F.lit("paper "), "p_size").alias("summary"), F.lit(None).cast("string").alias("glossary"))
+    tables_ = part.select("doc_id", F.lit(0).alias("block_idx"), made.alias("table_md"))
+    return translate.translate_tables(tables_, None, lambda cells: requests.ask_cells(cells, prompts, CellChat)).select("doc_id", "block_idx", "table_zh")
+
+
+def _kinds_column():
+    """Blocks of all kinds, with what they are translated into."""
+    said = [
+        ("title", 1, F.lit("On parts"), F.concat(F.lit("论"), "p_partkey", F.lit("⟦NEWPAR⟧"))),
+        ("heading", 2, F.lit("Introduction"), F.lit("")),
+        ("paragraph", 0, F.concat(F.lit("Of "), "p_type"), F.concat(F.lit("甲"), "p_size", F.lit("乙[NEWPAR] 丙"))),
+        ("figure", 0, F.lit(""), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("图"), "p_size"))),
+        ("table", 0, F.lit(""), F.lit("表说明")),
+        ("listing", 0, F.lit(""), F.lit("")),
+        ("equation", 0, F.lit("x"), F.lit("")),
+        ("table", 0, F.lit(""), F.lit("")),
+    ]
+    return F.array(*(F.struct(F.lit(i).alias("block_idx"), F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.alias("text"), tr.alias("tr")) for i, (kind, level, text, tr) in enumerate(said)))
+
+
+@query("""select cast(p_partkey as varchar) as doc_id, '论' || p_partkey as title_zh, '# 论' || p_partkey || chr(10) || chr(10) || '> 原文: https://arxiv.org/abs/' || p_partkey || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+|| '## 引言' || chr(10) || chr(10) || '甲 ' || p_size || case when p_size < 10 then '' else ' ' end || '乙' || chr(10) || chr(10) || ' 丙' || chr(10) || chr(10)
+|| '![figure](' || case when p_partkey % 3 = 0 then 'images/' || p_partkey || '.png' else '/img/' || p_partkey || '.png' end || ')' || chr(10) || chr(10) || '> ' || case when p_partkey % 2 = 0 then '图 ' || p_size else 'Shows ' || p_size end || chr(10) || chr(10)
+|| '| ' || case when p_partkey % 5 = 0 then '译 a' else 'a' end || ' |' || chr(10) || chr(10) || '> 表说明' || chr(10) || chr(10) || '1 x' || chr(10) || chr(10) || '> Code' || chr(10) || chr(10) || '$$x$$' || chr(10) || chr(10) || '(表格)' || chr(10) || chr(10) as markdown from part""")
+def translated_papers(spark, sf_dir):
+    """A paper of each part with all kinds of blocks: translated captions and tables are shown, others as they were."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").cast("string").alias("doc_id"), "p_partkey", "p_size", F.explode(_kinds_column()).alias("x")).select("*", "x.*")
+    key = F.col("p_partkey").cast("string")
+    only = lambda kind, value: F.when(F.col("kind") == kind, value)
+    image = F.concat(F.lit("/img/"), key, F.lit(".png"))
+    caption = F.when(F.col("block_idx") == 3, F.concat(F.lit("Shows "), F.col("p_size").cast("string"))).when(F.col("block_idx") == 4, F.lit("About")).when(F.col("block_idx") == 5, F.lit("Code"))
+    blocks = rows.select("doc_id", "block_idx", "kind", "level", "text", only("equation", F.lit("$$x$$")).alias("raw"), only("figure", image).alias("src"), only("figure", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("images/"), key, F.lit(".png")))).alias("local_src"), caption.alias("caption"), F.when(F.col("block_idx") == 4, "| a |").alias("table_md"), only("listing", F.lit("1 x")).alias("listing_md"))
+    results = rows.where("tr is not null").select("doc_id", "block_idx", F.col("tr").alias("translation"))
+    told = rows.where("block_idx = 4 and p_partkey % 5 = 0").select("doc_id", "block_idx", F.lit("| 译a |").alias("table_zh"))
+    return translate.render_markdown(blocks, results, told).select("doc_id", "title_zh", "markdown")

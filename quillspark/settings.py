@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from dataclasses import dataclass, fields
 
-from pyspark.sql import SparkSession
-
 #: Texts that mean yes.
 YES = frozenset({"1", "true", "yes", "on"})
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Of translation (threads: how many backends may be open) and packing; prefix of the variables: QUILL_."""
+    """Of requests (threads: at a time in a task; timeout: seconds of one; retries: after one that failed) and packing; prefix of the variables: QUILL_."""
 
     model: str = ""
     threads: int = 8
@@ -47,14 +44,3 @@ def resolve(path: str = ".env", prefix: str = "QUILL_", **given) -> Settings:
             value = told[prefix + f.name.upper()]
             out[f.name] = value.lower() in YES if kind is bool else kind(value)
     return Settings(**out)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and everything runs in one process."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not told:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        told = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")

@@ -147,10 +147,10 @@ def test_price_pages_of_long_versions(spark, tmp_path):
 
     cells = [["模型版本", "M-V1000", "m-v1001-0731"], ["输入（缓存命中）", "1元", "2元"], ["输入（缓存未命中）", "3元", "4元"], ["百万tokens输出", "5元", "6元"]]
     rows = spark.createDataFrame([("d", i, c) for i, c in enumerate(cells)], "doc_id string, r int, cells array<string>")
-    assert sorted(tuple(r)[2:] for r in price_table(rows).collect()) == [("m-v1000", 1.0, 3.0, 5.0), ("m-v1001", 2.0, 4.0, 6.0)]
-    names = [("chat20250731", "chat"), ("m-240731", "m"), ("gptv2024", "gptv"), ("v60000", "v60000"), ("m-v4-0731", "m-v4")]
-    got = spark.createDataFrame(names, "name string, key string").select(X.model_key(F.col("name")), "key").collect()
-    assert [a for a, _ in got] == [b for _, b in got]
+    assert sorted(tuple(r)[2:] for r in price_table(rows).collect()) == [("m-v", 1.0, 3.0, 5.0), ("m-v1001", 2.0, 4.0, 6.0)]
+    names = [("chat20250731", "chat", "chat"), ("m-240731", "m", "m"), ("gptv2024", "gptv", "gptv"), ("v60000", "v", "v60000"), ("m-v4-0731", "m-v4", "m-v4"), ("deepseek-v20250731", "deepseek-v", "deepseek-v20250731")]
+    got = spark.createDataFrame(names, "name string, key string, version string").select(X.model_key(F.col("name")), "key", X.model_key(F.col("name"), versions=True), "version").collect()
+    assert all(a == b and c == d for a, b, c, d in got)
 
 
 @pytest.mark.parametrize(
