@@ -20,6 +20,7 @@ from quillspark.settings import Settings
 from quillspark.shared import new_path
 from quillspark.sources import fetch, files
 from quillspark.sources import html as H
+from quillspark.sources import write_back as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -834,3 +835,37 @@ def translated_papers(spark, sf_dir):
     results = rows.where("tr is not null").select("doc_id", "block_idx", F.col("tr").alias("translation"))
     told = rows.where("block_idx = 4 and p_partkey % 5 = 0").select("doc_id", "block_idx", F.lit("| 译a |").alias("table_zh"))
     return translate.render_markdown(blocks, results, told).select("doc_id", "title_zh", "markdown")
+
+
+_NAV_HTML = f"concat('<nav>menu ', p_partkey, '</nav>', {_PAPER_HTML}, '<figure class=\"ltx_table\"><table><tr><td>cell <i>', p_type, '</i></td></tr></table><figcaption>About ', p_size, '</figcaption></figure>')"
+
+
+@query(f"""with h as (select *, {_NAV_HTML.replace('\\"', '"')} as html from part)
+select cast(p_partkey as varchar) as doc_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '<nav>menu ' || p_partkey || '</nav>', ''), '>Part ' || p_partkey || '<', '>[Part ' || p_partkey || ']<'),
+'ltx_title_section">' || p_type, 'ltx_title_section">[' || p_type || ']'), 'Of <b>' || p_brand || '</b>.<', '[Of .] <b>[' || p_brand || ']</b><'), 'A. 2020', '[A. 2020]'), 'On ' || p_brand || '.', '[On ' || p_brand || '.]'), 'cell <i>' || p_type || '<', '[cell ] <i>[' || p_type || ']<'),
+'About ' || p_size, case when p_partkey % 2 = 0 then '&lt;关于&gt;' else 'About ' || p_size end) as html from h""")
+def papers_written_back(spark, sf_dir):
+    """A page of each part with every text in brackets where it stood, half of the captions translated and the menu cut out."""
+    part = table(spark, sf_dir, "part")
+    pages = part.select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_NAV_HTML).alias("html"))
+    leaves = W.text_leaves(pages)
+    told = W.leaf_groups(leaves).select("doc_id", "parent", F.concat(F.lit("["), "text", F.lit("]")).alias("translation"))
+    captions = leaves.where("role = 'caption' and cast(doc_id as int) % 2 = 0").select("doc_id", "html_id", F.lit("<关于>").alias("translation"))
+    return W.write_back(pages, leaves, told, captions)
+
+
+@query("""with recursive cells as (select l_orderkey as t, cast((l_linenumber - 1) // 2 as int) as r, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as k, l_returnflag || l_linenumber as text,
+  1 + l_partkey % 3 as cs, 1 + l_suppkey % 3 as rs, max(cast((l_linenumber - 1) // 2 as int)) over (partition by l_orderkey) as last from lineitem),
+sweep as (select t, cast(0 as bigint) as k, cast([] as bigint[]) as taken, cast([] as struct(p bigint, x varchar)[]) as told, cast(0 as bigint) as width from (select distinct t from cells)
+  union all
+  select t, k, list_concat(taken, places), list_concat(told, list_transform(list_filter(places, lambda p: not list_contains(taken, p)), lambda p: {'p': p, 'x': text})), greatest(width, c + cs) from (
+    select *, list_transform(range(0, cs * (least(last, r + rs - 1) - r + 1)), lambda i: (r + i // cs) * 100 + c + i % cs) as places from (
+      select s.t, c.k, s.taken, s.told, s.width, c.text, c.r, c.cs, c.rs, c.last, list_min(list_filter(range(0, 60), lambda x: not list_contains(s.taken, c.r * 100 + x))) as c
+      from sweep s join cells c on c.t = s.t and c.k = s.k + 1))),
+done as (select * from sweep qualify row_number() over (partition by t order by k desc) = 1),
+lines as (select t, width, unnest(list_distinct(list_transform(told, lambda y: y.p // 100))) as r, told from done)
+select t as table_id, cast(r as int) as r, list_transform(range(0, width), lambda c: coalesce(list_filter(told, lambda y: y.p = r * 100 + c)[1].x, '')) as texts from lines""")
+def span_grids(spark, sf_dir):
+    """The lines of an order as cells of a table, two a row, with column and row spans."""
+    cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as table_id", "cast((l_linenumber - 1) div 2 as int) as r", "struct(l_linenumber, l_partkey, l_suppkey, l_returnflag) as ord", "concat(l_returnflag, l_linenumber) as text", "cast(1 + l_partkey % 3 as int) as colspan", "cast(1 + l_suppkey % 3 as int) as rowspan")
+    return tables.span_grid(cells)

@@ -139,14 +139,18 @@ def tree(html: str) -> Element:
     builder = _Builder()
     builder.feed(html or "")
     builder.finish()
+    return numbered(builder.root)
+
+
+def numbered(root: Element) -> Element:
     n = 0
-    for node in builder.root.walk():
+    for node in root.walk():
         if node.parent is not None and node.parent.number:
             node.number = node.parent.number
         elif node.tag in NUMBERED:
             n += 1
             node.number = f"zh-{n}"
-    return builder.root
+    return root
 
 
 def tex_of(math: Element) -> str:
@@ -468,26 +472,6 @@ def blocks_of(html: str, base: str = "") -> list[dict]:
     return walk.rows
 
 
-def written_back(html: str, told: dict[str, str]) -> str:
-    """The page with translations in place of what they translate, by number; colours and other marks stay where their
-    elements are: the first text of an element takes the translation, and its other texts go. Regions that are no part of
-    the paper are left out."""
-    root = tree(html)
-    for node in root.walk():
-        node.children = [c for c in node.children if isinstance(c, str) or c.tag != "nav" and c.classes.isdisjoint(SKIPPED)]
-        if node.number and node.number in told and (node.parent is None or node.parent.number != node.number) and node.tag not in ("table", "figure"):
-            left = told[node.number]
-            for inner in node.walk():
-                for i, c in enumerate(inner.children):
-                    if isinstance(c, str) and c.strip():
-                        inner.children[i], left = left, ""
-    return "".join(map(_outer, root.children))
-
-
-#: Classes of regions that are not written back.
-SKIPPED = frozenset("ltx_page_navbar ltx_bibliography ltx_page_footer ltx_appendix ltx_ERROR ltx_page_logo".split())
-
-
 def _rows(pages: DataFrame, make: Callable[[str], list[dict]], schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
@@ -506,21 +490,6 @@ def _rows(pages: DataFrame, make: Callable[[str], list[dict]], schema: str) -> D
     return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html").mapInArrow(run, schema)
 
 
-def write_back(pages: DataFrame, translations: DataFrame) -> DataFrame:
-    """doc_id, html with translations (doc_id, html_id, translation) put in; a page's own translations come as one map."""
-    entries = F.map_from_entries(F.collect_list(F.struct("html_id", "translation")))
-    own = translations.where("html_id is not null and translation is not null").dropDuplicates(["doc_id", "html_id"])
-    own = own.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(entries.alias("told"))
-    both = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html").join(own, "doc_id", "left")
-
-    def run(batches):
-        for batch in batches:
-            html = [h if h is None else written_back(h, dict(t or [])) for h, t in zip(batch.column("html").to_pylist(), batch.column("told").to_pylist())]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(html, pa.string())], names=["doc_id", "html"])
-
-    return both.mapInArrow(run, "doc_id string, html string")
-
-
 def with_local_images(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """blocks with local_src from files (doc_id, src, local): where an image has been stored, else where it is."""
     told = files.select("doc_id", "src", F.col("local").alias("_local"))
