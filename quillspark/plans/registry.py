@@ -20,7 +20,9 @@ from quillspark.settings import Settings
 from quillspark.shared import new_path
 from quillspark.sources import fetch, files
 from quillspark.sources import html as H
+from quillspark.sources import udtf
 from quillspark.sources import write_back as W
+from quillspark.streaming import glossary as SG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -869,3 +871,42 @@ def span_grids(spark, sf_dir):
     """The lines of an order as cells of a table, two a row, with column and row spans."""
     cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as table_id", "cast((l_linenumber - 1) div 2 as int) as r", "struct(l_linenumber, l_partkey, l_suppkey, l_returnflag) as ord", "concat(l_returnflag, l_linenumber) as text", "cast(1 + l_partkey % 3 as int) as colspan", "cast(1 + l_suppkey % 3 as int) as rowspan")
     return tables.span_grid(cells)
+
+
+@query(ORACLES["paper_blocks"])
+def blocks_by_sql(spark, sf_dir):
+    """The blocks of a paper of each part, by a table function in SQL."""
+    udtf.register(spark)
+    papers = _papers(spark, sf_dir)
+    return spark.sql("select doc_id, b.block_idx, b.kind, b.text, b.raw, b.html_id from {papers}, lateral parse_blocks(html) b", papers=papers)
+
+
+_SHAPES = """concat('<article><section class="ltx_section"><h2 class="ltx_title ltx_title_section">Data</h2><ul class="ltx_itemize"><li class="ltx_item"><p class="ltx_p">item ', p_partkey, '</p></li><li class="ltx_item"><div class="ltx_para"><p class="ltx_p">second</p></div></li></ul>',
+'<div class="ltx_para"><p class="ltx_p">See <em>', p_brand, '</em></p></div><section class="ltx_subsection"><h3 class="ltx_title_subsection">Sub</h3><div class="ltx_para"><p class="ltx_p">deep</p></div></section>',
+'<figure class="ltx_table"><table class="ltx_tabular"><tr><th>Method</th><th>Size</th></tr><tr><td>', p_type, '</td><td>', p_size, '</td></tr></table><figcaption class="ltx_caption">Table of ', p_size, '</figcaption></figure>',
+'<figure class="ltx_figure"><img src="/i/', p_partkey, '.png"><figcaption class="ltx_caption">Figure</figcaption></figure></section></article>')"""
+
+
+@query("""select cast(p_partkey as varchar) as doc_id, cast(i as int) as block_idx, kind, cast(level as int) as level, text, raw, caption, table_md from (select *, '| Method | Size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' | ' || p_size || ' |' as t from part), unnest([
+  {'i': 0, 'kind': 'heading', 'level': 2, 'text': 'Data', 'raw': 'Data', 'caption': null, 'table_md': null}, {'i': 1, 'kind': 'list_item', 'level': 0, 'text': 'item ' || p_partkey, 'raw': '- item ' || p_partkey, 'caption': null, 'table_md': null},
+  {'i': 2, 'kind': 'list_item', 'level': 0, 'text': 'second', 'raw': '- second', 'caption': null, 'table_md': null}, {'i': 3, 'kind': 'paragraph', 'level': 0, 'text': 'See ' || p_brand, 'raw': 'See *' || p_brand || '*', 'caption': null, 'table_md': null},
+  {'i': 4, 'kind': 'heading', 'level': 3, 'text': 'Sub', 'raw': 'Sub', 'caption': null, 'table_md': null}, {'i': 5, 'kind': 'paragraph', 'level': 0, 'text': 'deep', 'raw': 'deep', 'caption': null, 'table_md': null},
+  {'i': 6, 'kind': 'table', 'level': 0, 'text': 'Table of ' || p_size || chr(10) || t, 'raw': t || chr(10) || '> Table of ' || p_size, 'caption': 'Table of ' || p_size, 'table_md': t},
+  {'i': 7, 'kind': 'figure', 'level': 0, 'text': 'Figure', 'raw': '![](https://arxiv.org/i/' || p_partkey || '.png)' || chr(10) || '> Figure', 'caption': 'Figure', 'table_md': null}]) as u(x), lateral (select x.*)""")
+def blocks_of_all_shapes(spark, sf_dir):
+    """Lists, subsections, tables and figures with captions, by the table function."""
+    udtf.register(spark)
+    papers = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_SHAPES).alias("html"))
+    return spark.sql("select doc_id, b.block_idx, b.kind, b.level, b.text, b.raw, b.caption, b.table_md from {papers}, lateral parse_blocks(html) b", papers=papers)
+
+
+@query(ORACLES["glossary_ingest_last_wins"])
+def glossary_stream(spark, sf_dir):
+    """The terms of all events as a stream in two batches, of which the second holds half of the first again."""
+    events = table(spark, sf_dir, "events").selectExpr(*_split(_TERMS))
+    source, path = new_path(spark, "events"), new_path(spark, "terms")
+    for part in ("ord % 3 <> 0", "ord % 2 = 0 or ord % 3 = 0"):
+        events.where(part).coalesce(1).write.mode("append").parquet(source)
+    store = ResultStore(spark, path, 1, SG.TERMS, ("doc_id", "en_key"))
+    SG.store_terms(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), store, f"{path}/checkpoint").awaitTermination()
+    return store.latest().select(F.col("doc_id").cast(events.schema["doc_id"].dataType).alias("doc_id"), "en_key", "ord", "zh", "en_full", "note")
