@@ -69,8 +69,9 @@ def add_terms(glossary: DataFrame, more: DataFrame, keys: tuple[str, ...] = ("do
     return both.groupBy(*keys, "en_key").agg(F.min(order)["ord"].alias("ord"), pick("zh"), pick("en_full"), pick("note"), F.max("seen").alias("seen"))
 
 
-def abbreviations(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Abbreviations that texts define, with full names, first definition first: the columns of texts but the text, ord, en, en_full."""
+def abbreviations(texts: DataFrame, text: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Abbreviations that texts define, with full names, first definition first: the columns of texts but the text, ord, en, en_full.
+    Those that known (doc_id, en_key), a glossary, has already are left out."""
     rest = [c for c in texts.columns if c != text]
     found = []
     for p in (EQUALS, BRACKETS):
@@ -79,7 +80,11 @@ def abbreviations(texts: DataFrame, text: str = "text") -> DataFrame:
     rows = texts.select(*rest, F.posexplode(F.concat(*found)).alias("ord", "x")).select(*rest, "ord", "x.en", "x.en_full")
     rows = rows.where(F.length("en_full") > F.length("en"))
     first = Window.partitionBy(*rest, term_key(F.col("en"))).orderBy("ord")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    found = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    if known is None:
+        return found
+    had = known.select("doc_id", F.col("en_key").alias("_key")).distinct()
+    return found.withColumn("_key", term_key(F.col("en"))).join(had, ["doc_id", "_key"], "left_anti").drop("_key")
 
 
 def first_uses(texts: DataFrame, text: str = "translation") -> DataFrame:

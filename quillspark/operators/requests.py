@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 from quillspark.functions.protect import ENTRY, protect_text, restore, sanitize
+from quillspark.operators.glossary import SEEDS, ingest_terms, prompt_lines, seeds
 from quillspark.operators.pool import in_order
 from quillspark.operators.store import ResultStore
 from quillspark.operators.translate import PROMPT, SKIP, parse_group, parse_reply, system_prompt
+from quillspark.operators.units import seed_texts
 from quillspark.settings import Settings
 from quillspark.shared import written
 
@@ -232,6 +234,27 @@ def ask_cells(cells: DataFrame, prompts: DataFrame | None, backend: Callable[[],
     return both.withColumn("translation", F.coalesce("_said", "text")).drop("_send", "_doc", "_text", "_said")
 
 
+def seed_glossary(blocks: DataFrame, backend: Callable[[], ChatBackend], settings: Settings = Settings(), most: int = 4, words: dict = PROMPT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The glossary that every document of blocks (doc_id, block_idx, kind, text) starts with: doc_id, en_key, ord, zh, en_full, note, seen.
+
+    The fixed first terms, and what the model tells of the first texts of a document, which are asked for at once with these terms
+    as its glossary; by the rules of ingest_terms, the fixed terms first. A document without texts, or whose request fails, has
+    the fixed terms alone.
+    """
+    spark = blocks.sparkSession
+    docs = blocks.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    fixed = docs.crossJoin(F.broadcast(seeds(spark)))  # five rows a document
+    lines = prompt_lines(fixed).select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("prompt").alias("glossary"))
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda x: x["text"]), "\n\n")
+    texts = seed_texts(blocks, most).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(first.alias("text"))
+    units = texts.select("doc_id", F.lit(0).alias("unit_id"), F.lit(0).alias("block_idx"), "text")
+    told = translate_blocks(units, lines, backend, settings, rounds=0, words=words, sleep=sleep).results
+    terms = F.from_json("terms", "array<struct<en string, zh string, en_full string, note string>>")
+    learned = told.select("doc_id", F.posexplode(terms).alias("ord", "x")).select("doc_id", (F.col("ord") + len(SEEDS)).alias("ord"), "x.*")
+    known = fixed.select("doc_id", "ord", F.col("en_key").alias("en"), "zh", "en_full", "note")
+    return ingest_terms(known.unionByName(learned)).withColumn("seen", F.col("ord") >= len(SEEDS))
+
+
 def usage_of(usage: DataFrame, *keys: str) -> DataFrame:
     """Usage summed by keys: requests, prompt, completion, cache_hit."""
     return usage.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("requests", "prompt", "completion", "cache_hit")))

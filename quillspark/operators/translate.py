@@ -208,6 +208,14 @@ def translate_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend]
     return tables.join(both.groupBy("doc_id", "block_idx").agg(whole.alias("table_zh")), ["doc_id", "block_idx"], "left")
 
 
+def table_rows(tables: DataFrame) -> DataFrame:
+    """Rows of Markdown tables (doc_id, block_idx, table_md): doc_id, block_idx, r, cells; lines that are blank or separators, or hold
+    no cells, are none and have no number."""
+    lines = F.filter(F.split("table_md", "\n"), lambda x: X.has_text(x) & ~X.strip(x).rlike(r"^\|?[\s:\-|]*-[\s:\-|]*$"))
+    rows = tables.select("doc_id", "block_idx", F.posexplode(lines).alias("r", "line"))
+    return rows.select("doc_id", "block_idx", "r", split_cells("line").alias("cells")).where(F.size("cells") > 0)
+
+
 def is_separator_rows() -> Column:
     """Over the cells of a row: whether all are dashes."""
     return F.bool_and(F.trim("text").rlike("^:?-{3,}:?$"))

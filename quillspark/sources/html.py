@@ -532,6 +532,23 @@ def table_rows(pages: DataFrame) -> DataFrame:
     return _rows(pages, make, "doc_id string, r int, cells array<string>")
 
 
+def latest_versions(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Where to read each paper: paper (as asked for), url, base.
+
+    Of the links in pages (doc_id: a paper without its version, html: its abstract's page) to a version of that paper the one
+    with the highest number; without any, and for papers without a page, what was asked for.
+    """
+    from quillspark.functions.text import PAPERS, without_version
+
+    site = PAPERS.removesuffix("/html/")
+    number = F.regexp_extract("href", r"v(\d+)$", 1)
+    found = links(pages).where((number != "") & F.contains("href", F.concat(F.lit("/html/"), "doc_id", F.lit("v"))))
+    whole = F.when(F.col("href").startswith("/"), F.concat(F.lit(site), "href")).otherwise(F.col("href"))
+    best = found.groupBy("doc_id").agg(F.max_by(whole, F.struct(number.cast("long"), -F.col("ord"))).alias("_url"))
+    told = asked.select("paper").distinct().withColumn("doc_id", without_version(F.col("paper"))).join(best, "doc_id", "left")
+    return told.select("paper", F.coalesce("_url", F.concat(F.lit(PAPERS), "paper")).alias("url"), F.lit(PAPERS).alias("base"))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Links of each page in order, natively: ord, href."""
     found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))

@@ -218,3 +218,37 @@ def test_papers_as_files(spark, tmp_path):
     assert set(got) == {"题： 一.zh.md", "题： 一.glossary.json", "e.zh.md"}
     assert got["题： 一.zh.md"] == "# 题: 一\n\n> 原文: src/d\n> Made by machine.\n\n---\n\n![figure](s.png)\n\n> 图注\n\n| 甲 |\n\n> 表注\n\n"
     assert got["e.zh.md"] == "# e\n\n> 原文: src/e\n> Made by machine.\n\n---\n\nText\n\n" and json.loads(got["题： 一.glossary.json"]) == {"k": {"zh": "中", "en_full": None, "note": None, "seen": True}}
+
+
+def test_seed_glossary(spark):
+    class Seeds(Model):
+        def answer(self, system, user, timeout):
+            text = json.loads(user)["text"]
+            assert "- probe → 【探针】" in system and text == "T\n\none\n\ntwo\n\nthree"
+            return json.dumps({"translation": "x", "terms": [{"en": "Probe", "zh": "探头"}, {"en": "LLM", "zh": "<KEEP>", "note": "n"}, {"en": "", "zh": "y"}]}, ensure_ascii=False)
+
+    rows = [("d", i, k, t) for i, (k, t) in enumerate([("title", "T"), ("heading", "H"), ("paragraph", "one"), ("list_item", "two"), ("paragraph", " "), ("paragraph", "three"), ("paragraph", "four")])] + [("e", 0, "figure", "")]
+    got = {(r["doc_id"], r["en_key"]): (r["zh"], r["seen"], r["note"]) for r in requests.seed_glossary(spark.createDataFrame(rows, "doc_id string, block_idx int, kind string, text string"), Seeds).collect()}
+    assert got[("d", "probe")][0] == "探头" and got[("d", "llm")] == ("<KEEP>", True, "n") and got[("d", "split")][:2] == ("数据集划分", False)
+    assert len(got) == 2 * len(G.SEEDS) + 1 and got[("e", "probe")][0] == "探针"
+
+
+def test_known_abbreviations_are_left_out(spark):
+    texts = spark.createDataFrame([("d", "SNR = signal noise, LM (language model)."), ("e", "SNR = signal noise.")], "doc_id string, text string")
+    known = spark.createDataFrame([("d", "snr"), ("d", "snr"), ("f", "lm")], "doc_id string, en_key string")
+    assert sorted((r["doc_id"], r["en"]) for r in G.abbreviations(texts, known=known).collect()) == [("d", "LM"), ("e", "SNR")]
+
+
+def test_latest_versions(spark):
+    from quillspark.sources.html import latest_versions
+
+    page = '<a href="/html/2603.00001v2">x</a> <a href="https://arxiv.org/html/2603.00001v10">y</a> <a href="/html/2603.00001v3">z</a> <a href="/html/2603.00001">w</a> <a href="/html/2603.00009v99">other</a>'
+    pages = spark.createDataFrame([("2603.00001", page), ("2603.00002", None)], "doc_id string, html string")
+    asked = spark.createDataFrame([("2603.00001v1",), ("2603.00002v4",), ("2603.00003",)], "paper string")
+    got = {r["paper"]: r["url"] for r in latest_versions(pages, asked).collect()}
+    assert got == {"2603.00001v1": "https://arxiv.org/html/2603.00001v10", "2603.00002v4": "https://arxiv.org/html/2603.00002v4", "2603.00003": "https://arxiv.org/html/2603.00003"}
+
+
+def test_table_rows(spark):
+    tables = spark.createDataFrame([("d", 0, "| a | b\\|c |\n| --- | :-: |\n\n| - | x |\n| 1 | $|x|$ |\nno row")], "doc_id string, block_idx int, table_md string")
+    assert [(r["r"], r["cells"]) for r in T.table_rows(tables).collect()] == [(0, ["a", "b|c"]), (1, ["-", "x"]), (2, ["1", "$|x|$"])]
