@@ -6,14 +6,17 @@
    row multivariate hypergeometric. Consecutive runs of the permuted rows of a partition go to the shards.
 3. Rows are exchanged, and each shard orders what it got by a second random key: its slots.
 
-Rows see only DataFrame functions; the driver draws the matrix from the partitions' counts (at most BLOCKS of them).
-Step 1 is written to the shared folder, so a lost executor cannot change what the counts were taken from.
+Rows see only DataFrame functions; the driver draws the matrix row by row from the partitions' counts, which come one partition
+at a time, and passes it on in chunks, so that it holds one chunk however many partitions there are. Step 1 is written to the
+shared folder, so a lost executor cannot change what the counts were taken from.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable, Iterator
+from itertools import islice, tee
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -21,16 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: The most input partitions that the matrix distinguishes; it bounds the matrix and what is broadcast of it.
-BLOCKS = 8192
-#: The most groups in which slots are numbered.
-CELLS = 4096
+#: Rows of the matrix that the driver holds at once.
+CHUNK = 4096
+#: Rows of a shard that are sorted at once to number its slots.
+CELL_ROWS = 1 << 16
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """How many of the draws are good, at any size."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
+    """How many of the draws are good, at any size: by the inverse of the distribution, whose terms beyond twelve standard
+    deviations are too small for the numbers to tell from nothing."""
     mean = draws * good / (good + bad)
     sd = math.sqrt(mean * (bad / (good + bad)) * (good + bad - draws) / max(1, good + bad - 1))
     lo = max(0, draws - bad, int(mean - 12 * sd - 12))
@@ -41,22 +43,21 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     return lo + int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum()))
 
 
-def communication_matrix(sizes: list[int], shards: list[int], seed: int) -> np.ndarray:
-    """Counts by partition and shard; its rows sum to sizes and its columns to shards."""
+def communication_matrix(sizes: Iterable[int], shards: list[int], seed: int) -> Iterator[list[int]]:
+    """Counts by shard, partition after partition: each sums to the partition's size, and all of them to the shards'."""
     rng = np.random.default_rng(seed)
     room = list(shards)
-    out = np.zeros((len(sizes), len(shards)), dtype=np.int64)
-    for p, n in enumerate(sizes):
-        rest = sum(room)
+    for n in sizes:
+        row, rest = [0] * len(shards), sum(room)
         for s, r in enumerate(room):
             if not n:
                 break
             rest -= r
             got = hypergeometric(rng, r, rest, n) if rest else n
-            out[p, s] = got
+            row[s] = got
             room[s] -= got
             n -= got
-    return out
+        yield row
 
 
 def shard_sizes(total: int, shards: int) -> list[int]:
@@ -73,25 +74,28 @@ def uniform_shards(rows: DataFrame, shards: int, seed: int = 7, key: Column | No
     spark = rows.sparkSession
     row = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")))
     key = F.xxhash64(F.lit(seed), key if key is not None else row)
-    local = rows.select(row.alias("row"), key.alias("h")).coalesce(BLOCKS).sortWithinPartitions("h", *(["row"] if _orderable(rows) else []))
+    local = rows.select(row.alias("row"), key.alias("h")).sortWithinPartitions("h", *(["row"] if _orderable(rows) else []))
     at = F.monotonically_increasing_id()
     local = written(local.withColumn("at", at).select("row", "h", F.shiftright("at", 33).alias("p"), F.expr("at & 8589934591").alias("r")), "permuted")
-    counted = local.groupBy("p").count().orderBy("p").collect()
-    sizes = [r["count"] for r in counted]
-    total = sum(sizes)
-    matrix = communication_matrix(sizes, shard_sizes(total, shards), seed)
-    bounds = np.cumsum(matrix, axis=1)[:, :-1].tolist()
-    told = json.dumps([{"p": r["p"], "b": b} for r, b in zip(counted, bounds)])
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(told), "array<struct<p:bigint,b:array<bigint>>>")).alias("x")).select("x.p", "x.b")
-    cells = max(1, -(-total // (shards * max(1 << 16, -(-total // CELLS)))))
-    sent = local.join(F.broadcast(table), "p").select(
+    counted = written(local.groupBy("p").count(), "counts")
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    numbers, sizes = tee(counted.orderBy("p").toLocalIterator())
+    matrix = communication_matrix((r["count"] for r in sizes), shard_sizes(total, shards), seed)
+    rows_of = ((r["p"], np.cumsum(row)[:-1].tolist()) for r, row in zip(numbers, matrix))
+    table = spark.range(0).select(F.col("id").alias("p"), F.array("id").alias("b"))
+    while chunk := list(islice(rows_of, CHUNK)):
+        told = json.dumps([{"p": p, "b": b} for p, b in chunk])
+        part = spark.range(1).select(F.explode(F.from_json(F.lit(told), "array<struct<p:bigint,b:array<bigint>>>")).alias("x")).select("x.p", "x.b")
+        table = table.unionByName(written(part, "matrix"))
+    cells = max(1, -(-total // (shards * CELL_ROWS)))
+    sent = local.join(table, "p").select(
         "row", "p", "r", F.size(F.filter("b", lambda b: b <= F.col("r"))).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "p", "r").alias("h")
     )
     sent = sent.withColumn("cell", F.pmod("h", F.lit(cells)).cast("int"))
     ahead = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sent.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("shard", "cell").orderBy("h", "p", "r")
-    placed = sent.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["shard", "cell"])
+    placed = sent.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["shard", "cell"])
     return placed.select("row.*", F.col("shard").cast("int").alias("shard"), (F.col("rank") + F.col("ahead")).cast("long").alias("slot"))
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -153,12 +154,41 @@ def test_sharding(docs, empty, rows):
     assert set(by) == set(range(5)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sharding.shard_documents(empty).count() == 0
-    m = sharding.communication_matrix([10, 0, 7, 2 * 10**9], [10**9, 10**9, 17], 1)
+    m = np.array(list(sharding.communication_matrix([10, 0, 7, 2 * 10**9], [10**9, 10**9, 17], 1)))
     assert m.sum(axis=1).tolist() == [10, 0, 7, 2 * 10**9] and m.sum(axis=0).tolist() == [10**9, 10**9, 17] and (m >= 0).all()
     plan = sharding.uniform_shards(docs, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_sharding_law():
+    """Counts of single draws against the distribution, and of whole matrices against its mean and variance, by chi-square."""
+    rng, good, bad, n = np.random.default_rng(1), 9, 14, 8
+    weights = np.array([math.comb(good, k) * math.comb(bad, n - k) for k in range(n + 1)]) / math.comb(good + bad, n)
+    got = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(20000)], minlength=n + 1)
+    assert ((got - 20000 * weights) ** 2 / (20000 * weights)).sum() < 26.1  # 8 degrees of freedom, one in a thousand
+    draws = [sharding.hypergeometric(rng, 3 * 10**9, 10**9, 10**6) for _ in range(400)]
+    sd = math.sqrt(10**6 * 0.75 * 0.25)
+    assert abs(np.mean(draws) - 750_000) < 4 * sd / 20 and 0.8 < np.std(draws) / sd < 1.2
+    sizes, shards = [30, 50, 20], [40, 40, 20]
+    some = np.array([list(sharding.communication_matrix(sizes, shards, seed)) for seed in range(3000)])
+    mean = np.outer(sizes, shards) / 100
+    variance = mean * (1 - np.array(shards) / 100) * (100 - np.array(sizes)[:, None]) / 99
+    assert (np.abs(some.mean(axis=0) - mean) < 4.5 * np.sqrt(variance / 3000)).all() and (np.abs(some.var(axis=0) / variance - 1) < 0.15).all()
+
+
+def test_sharding_is_uniform(spark):
+    """Where rows lie in the input says nothing of shard and slot: ten by ten parts of either are filled alike."""
+    data = spark.range(0, 30000, 1, 7).withColumnRenamed("id", "shard").withColumn("slot", F.lit("x")).withColumn("i", F.col("shard"))
+    got = sharding.uniform_shards(data, 5).collect()
+    assert set(got[0].asDict()) == {"i", "shard", "slot"} and sorted(r["i"] for r in got) == list(range(30000))
+    seen = np.zeros((10, 5, 10))
+    for r in got:
+        seen[r["i"] // 3000, r["shard"], r["slot"] // 600] += 1
+    for table in (seen.sum(axis=1), seen.sum(axis=2), seen.reshape(10, 50)):
+        mean, free = table.sum() / table.size, (table.shape[0] - 1) * (table.shape[1] - 1)
+        assert abs(((table - mean) ** 2 / mean).sum() - free) < 4.5 * math.sqrt(2 * free)
+
+
 def test_packing(docs, empty, rows):
     _, encode = library(queries.BYTE_BPE)
     got = packing.pack_documents(docs, queries.BYTE_BPE).collect()
