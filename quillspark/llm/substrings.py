@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 
 from .common import as_array, new_path, release, split_words, texts_of, with_text, written
 
-#: Rows of an input file in a batch, and bytes of compressed input to a slot.
-ROWS, SLOT_BYTES = 2048, 4 << 20
+#: Rows of an input file in a batch, bytes of text to a slot, and bytes of answers that are read at once.
+ROWS, SLOT_BYTES, GROUP_BYTES = 2048, 8 << 20, 8 << 20
 _MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SENT = "slot int, batch long, kind int, data binary"
 _TOLD = "bucket int, batch long, slot int, data binary"
@@ -147,23 +148,30 @@ def runs(batches, most: int = 4 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 class Answers:
-    """Reads what slots have told a batch; the last file read stays at hand."""
+    """Reads what slots have told a batch. A folder's files are sorted by batch, and of these only the groups of rows are read whose
+    extremes have the batch between them, so that what is read doesn't grow with the folder; the last folder's files stay open."""
 
     def __init__(self, path: str, buckets: int) -> None:
         self.store, self.folder = fs.FileSystem.from_uri(path)
-        self.buckets, self.last, self.rows = buckets, None, {}
+        self.buckets, self.last, self.files = buckets, None, []
 
     def of(self, batch: int) -> list[tuple[int, bytes]]:
         bucket = batch % self.buckets
         if bucket != self.last:
-            self.last, self.rows = bucket, {}
+            for f in self.files:
+                f.close(force=True)
             found = self.store.get_file_info(fs.FileSelector(f"{self.folder}/bucket={bucket}", allow_not_found=True))
-            for f in found:
-                if f.path.endswith(".parquet"):
-                    with self.store.open_input_file(f.path) as source:
-                        for r in pq.read_table(source).to_pylist():
-                            self.rows.setdefault(r["batch"], []).append((r["slot"], r["data"]))
-        return self.rows.get(batch, [])
+            self.last, self.files = bucket, [pq.ParquetFile(self.store.open_input_file(i.path)) for i in found if i.path.endswith(".parquet")]
+        out = []
+        for f in self.files:
+            at = f.schema_arrow.get_field_index("batch")
+            for i in range(f.num_row_groups):
+                told = f.metadata.row_group(i).column(at).statistics
+                if told is None or not told.has_min_max or told.min <= batch <= told.max:
+                    rows = f.read_row_group(i)
+                    rows = rows.filter(pc.equal(rows.column("batch"), batch))
+                    out += zip(rows.column("slot").to_pylist(), rows.column("data").to_pylist())
+        return out
 
 
 def sent_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -327,21 +335,22 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     spark = docs.sparkSession
     block = (window + 1) // 2
     rows = located(docs)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = min(20, max(4, math.ceil(math.log2(max(1, size / SLOT_BYTES)))))
-    slots = 1 << bits
+    size = rows.agg(F.sum(F.octet_length("row.text"))).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(max(1, size / SLOT_BYTES))))  # slots grow with the text: none gets more, however much there is
+    buckets = 1 << ((bits + 1) // 2 + 3)  # folders of answers grow with the root of that, and what lies in each is sorted
     text = rows.select(F.col("row.text").alias("text"), "batch")
 
     def asked(sent: DataFrame, answer, name: str) -> str:
         path = new_path(spark, name)
         told = sent.groupBy("slot").applyInArrow(answer, _TOLD)
-        told.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+        told = told.repartition("bucket").sortWithinPartitions("bucket", "batch")
+        told.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
         return path
 
-    at = asked(text.mapInArrow(send_anchors(block, bits), _SENT), find_anchors(slots), "anchors")
-    once = asked(text.mapInArrow(send_windows(block, window, bits, at, slots), _SENT), find_single(slots), "single")
+    at = asked(text.mapInArrow(send_anchors(block, bits), _SENT), find_anchors(buckets), "anchors")
+    once = asked(text.mapInArrow(send_windows(block, window, bits, at, buckets), _SENT), find_single(buckets), "single")
     schema = T.StructType([*rows.select("row").schema, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = rows.select("row", "batch").mapInArrow(drop_repeats(block, window, bits, at, once, slots), schema)
+    done = rows.select("row", "batch").mapInArrow(drop_repeats(block, window, bits, at, once, buckets), schema)
     own = [c for c in docs.columns if c.lower() not in ("kept", "n_words", "n_removed")]
     return done.select(*(F.col(f"row.`{c}`").alias(c) for c in own), "kept", "n_words", "n_removed")
 
