@@ -1,13 +1,16 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, discounted by link density; the container with the
-most points is kept with those of its siblings that have a fair share, and its text is read block by block.
+Paragraphs pass points for their length and commas to their ancestors, discounted by link density, and an element that says it is an
+article starts with some. The container with the most points is the best; as long as what holds it adds prose and few links, that is
+taken instead. It is kept with those of its siblings that are prose, lists or headings and hardly linked, whatever their points, and
+its text is read block by block.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,11 @@ DROPPED = RAW | frozenset("head nav footer aside form button select option dialo
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SCOPES = frozenset("ul ol dl table article section div main body html td th blockquote aside nav footer header form".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table figure figcaption".split())
+#: Points that an article starts with, link density of what is prose, and the points, as a share of the best container's, that make
+#: what holds it the container.
+ARTICLE, LINKED, HOLDS = 5.0, 0.25, 0.2
 CONTENT = frozenset("div p article section body nav main header h1 h2".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article body main figcaption".split())
 CONTAINERS = frozenset("div section article body main td".split())
@@ -62,7 +69,7 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and not (parent.inside and tag in HEADINGS):
+        if name in ("class", "id", "role"):
             for word in value.split():
                 if UNWANTED.fullmatch(word) or not parent.inside and UNWANTED_OUTSIDE.fullmatch(word):
                     return True
@@ -235,6 +242,26 @@ def _weigh(nodes: list[Node]) -> None:
             up.score += points * share
             share = 0.5 if level == 0 else share / 3
             up = up.parent
+    for node in nodes:
+        if node.tag in ("article", "main") and node.chars and not node.dropped:
+            node.score += ARTICLE
+
+
+def _holds_more(best: Node, density: Callable[[Node], float]) -> bool:
+    """Whether the element around the best container is the container: it has hardly any links, and beyond what the best one has
+    passed on to it points of its own, or of others inside it."""
+    up = best.parent
+    return up is not None and up.tag in CONTAINERS - {"body", "td"} and density(up) < LINKED and up.score - 0.5 * best.score >= HOLDS * best.score
+
+
+def _prose(n: Node, density: float) -> bool:
+    """Whether a sibling of the container belongs to the text: a heading without links, a list or a short text with few, or a
+    container whose own paragraphs have points."""
+    if n.tag in HEADINGS:
+        return not n.linked
+    if not n.chars or density >= LINKED:
+        return False
+    return n.tag == "p" or n.tag in LISTS or n.tag in PARAGRAPHS and n.score > 0
 
 
 def main_text(page: str | None) -> str:
@@ -243,26 +270,16 @@ def main_text(page: str | None) -> str:
         return ""
     root, nodes = parse(page)
     _weigh(nodes)
-    live = [n for n in nodes if not n.dropped and n.score > 0]
     density = lambda n: n.linked / n.chars if n.chars else 0.0
-    if not live:  # no paragraph has points: a marked article, or all there is
-        live = [n for n in nodes if n.tag in ("article", "main") and not n.dropped and n.chars] or [root]
-    best = max(live, key=lambda n: n.score * (1 - density(n)))
-    up = best
-    while up is not None:  # the outermost marked article that holds the best container is the container
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.parent
+    points = lambda n: n.score * (1 - density(n))
+    live = [n for n in nodes if not n.dropped and n.score > 0]
+    best = max(live, key=points) if live else root  # no points at all: all there is
+    while _holds_more(best, density):
+        best = best.parent
     kept = [best]
-    if best.parent is not None and best.tag not in ("article", "main"):
-        least = max(10.0, 0.2 * best.score * (1 - density(best)))
-        kept = []
-        for n in (p for p in best.parent.parts if isinstance(p, Node)):
-            fair = n.score * (1 - density(n)) >= least
-            prose = n.tag == "p" and (n.chars > 80 and density(n) < 0.25 or 0 < n.chars <= 80 and not n.linked)
-            heading = n.tag in ("h1", "h2", "h3") and not n.linked
-            if n is best or not n.dropped and (fair or prose or heading):
-                kept.append(n)
+    if best.parent is not None:
+        least = max(10.0, 0.2 * points(best))
+        kept = [n for n in best.parent.parts if isinstance(n, Node) and (n is best or not n.dropped and (points(n) >= least or _prose(n, density(n))))]
     blocks: list[str] = []
     for n in kept:
         _read(n, blocks)
@@ -299,8 +316,9 @@ def _read(top: Node, blocks: list[str]) -> None:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from the whole html; one pass, no shuffle.
 
-    Inside an article only elements whose whole class, id or role marks them as advert, menu, notice, sidebar or comments are
-    dropped; formulas and captions stay. Malformed and very deep pages are read in linear time.
+    Elements whose whole class, id or role marks them as advert, menu, notice, sidebar or comments are dropped wherever they are,
+    paragraphs and headings too; formulas and captions stay. So are forms, those around a whole page among them, and what is
+    shown only without scripts. Malformed and very deep pages are read in linear time.
     A null or empty html has an empty text; a null page_id or url stays null; repeated rows give a row each; other columns are
     ignored; an empty table gives an empty result.
     """
