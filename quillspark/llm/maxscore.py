@@ -16,7 +16,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import placed
 from .vectors import TopK, finite, search_in_blocks
 
 #: Candidates in a block.
@@ -95,10 +94,11 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, scale: int = 64, shard_
     rows: vec_id, embedding; components become floor(scale * x). Queries are the rows whose vec_id is divisible by ``every``.
     Rows with a null vec_id, a null vector or a null or non-finite component take no part; other columns are ignored; ties
     go to the smaller vec_id; with fewer than k candidates all are returned; repeated rows are candidates each, and rows that
-    share a vec_id ask once, with the smallest of their vectors; an empty table gives an empty result.
+    share a vec_id ask once, with the smallest of their vectors; shorter vectors count as filled up with zeros; an empty table gives
+    an empty result.
     """
-    whole = placed(rows.select("vec_id", "embedding")).where(F.col("row.vec_id").isNotNull() & finite(F.col("row.embedding")))
-    whole = whole.select("row.vec_id", F.transform("row.embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"), "file", "at")
+    whole = rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
+    whole = whole.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
 
     def search(ids: np.ndarray, vectors: np.ndarray) -> Callable:
         return Shard(ids, vectors, k, block)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 #: Queries compared at once.
 QUERIES = 2048
@@ -70,19 +72,22 @@ class TopK:
 def search_in_blocks(rows: DataFrame, is_query: Column, search: Callable, k: int, score: str, shard_rows: int, block_rows: int) -> DataFrame:
     """For each query its k best candidates among all other rows: query_id, rank, vec_id, score.
 
-    rows: vec_id, v, file, at (see common.placed). Candidates are dealt to shards by where they lie, so that repeated rows spread,
-    and queries to blocks by hash; a task sees one shard and one block, so its memory is bounded, and it returns k candidates a
-    query. prepared = search(ids, vectors) indexes a shard, and prepared(query ids, queries) gives a TopK. Candidates with the
-    query's own vec_id are left out. Repeated rows are candidates each; rows that share a vec_id ask once, with the smallest
-    of their vectors.
+    rows: vec_id, v. Candidates are dealt to shards, and queries to blocks, by hash of what they are, and stand in a task in order
+    of vec_id and vector, so that neither the order nor the place of rows changes an answer. Rows that repeat are counted first, and
+    no more than k of them are dealt, as no more can be among the k best. A task sees one shard and one block, so its memory
+    is bounded, and it returns k candidates a query. prepared = search(ids, vectors) indexes a shard, and prepared(query ids,
+    queries) gives a TopK. Candidates with the query's own vec_id are left out. Repeated rows are candidates each; rows that share
+    a vec_id ask once, with the smallest of their vectors. Shorter vectors count as filled up with zeros.
     """
-    told = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    rows = written(rows.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies")), "vectors")
+    told = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = max(1, -(-told["n"] // shard_rows)), max(1, -(-told["q"] // block_rows))
     kind = dict(rows.dtypes)["v"]
     element = np.int64 if "bigint" in kind else np.float64
-    shard = F.pmod(F.xxhash64("file", "at"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(blocks)).cast("int")
-    candidates = rows.select("vec_id", "v", F.lit(False).alias("asks"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    copies = rows.select("vec_id", "v", shard.alias("shard"), F.explode(F.array_repeat(F.lit(False), F.col("copies"))).alias("asks"))
+    candidates = copies.select("vec_id", "v", "asks", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = queries.select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
 
@@ -90,6 +95,8 @@ def search_in_blocks(rows: DataFrame, is_query: Column, search: Callable, k: int
         asks = table.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
         ids = table.column("vec_id").to_numpy()
         vectors = matrix(table.column("v"), element)
+        order = np.lexsort([*vectors.T[::-1], ids])
+        asks, ids, vectors = asks[order], ids[order], vectors[order]
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, element))]
         if not asks.all():
             prepared = search(ids[~asks], vectors[~asks])

@@ -16,7 +16,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import placed
 from .vectors import TopK, finite, search_in_blocks
 
 LEAF = 32
@@ -144,12 +143,12 @@ def neighbours(rows: DataFrame, every: int = 20, k: int = 20, factor: float | No
     rows: vec_id, embedding. Queries are the rows whose vec_id is divisible by ``every``; every valid row is in a tree. Rows
     with a null vec_id, a null or zero vector or a null or non-finite component take no part; other columns are ignored;
     ties go to the smaller vec_id; with fewer than k candidates all are returned; repeated rows are candidates each, and rows
-    that share a vec_id ask once, with the smallest of their vectors; an empty table gives an empty result. factor: one is
+    that share a vec_id ask once, with the smallest of their vectors; shorter vectors count as filled up with zeros; an empty table gives
+    an empty result. The answer depends on the rows alone, not on their order or place. factor: one is
     exact; none lets each shard fit it to ``recall`` on at most SAMPLE queries.
     """
-    whole = placed(rows.select("vec_id", "embedding"))
-    whole = whole.where(F.col("row.vec_id").isNotNull() & finite(F.col("row.embedding")) & F.exists("row.embedding", lambda x: x != 0))
-    whole = whole.select("row.vec_id", F.transform("row.embedding", lambda x: x.cast("double")).alias("v"), "file", "at")
+    whole = rows.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
+    whole = whole.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
     norm = whole.agg(F.max(squares)).first()[0] or 0.0
 

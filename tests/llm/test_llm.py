@@ -633,3 +633,46 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() and set(out.columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+PARA = "Words of an article, with commas, and more words to make it long enough to have points of its own. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # siblings stay whatever their points: a list, a short section, a heading, a figure
+        (f"<div><div class=a><p>{PARA * 3}</p><p>{PARA}</p><p>{PARA}</p></div><h2>More</h2><ul><li>one</li><li>two</li></ul><div class=b><p>{PARA}</p></div><figure><figcaption>Cap</figcaption></figure></div>", [PARA * 3, PARA, PARA, "More", "one", "two", PARA, "Cap"]),
+        # marked paragraphs and headings go, inside an article too
+        (f"<article><h1>T</h1><p>{PARA}</p><p class='advertisement'>Buy now</p><h2 class=newsletter>Join us</h2><p class='social'>Share</p><p>{PARA}</p></article>", ["T", PARA, PARA]),
+        # an unmarked list of links beside the text goes, by its density
+        (f"<body><div><a href=1>A link that is long enough</a> <a href=2>Another link that is long</a></div><div><p>{PARA}</p><p>{PARA}</p></div><ul><li><a href=3>three</a></li></ul></body>", [PARA, PARA]),
+        # the article tag does not win against the text of the page
+        (f"<body><article><p><a href=1>{PARA}</a></p></article><div><p>{PARA * 2}</p><p>{PARA * 3}</p></div></body>", [PARA * 2, PARA * 3]),
+        # sections of an article in containers of their own
+        (f"<div id=page><section><p>{PARA * 2}</p></section><section><h3>S</h3><p>{PARA}</p></section><section><p>short</p></section></div>", [PARA * 2, "S", PARA, "short"]),
+        # forms go, those around a page among them, and what is shown without scripts only
+        (f"<form><p>{PARA}</p></form>", []),
+        (f"<p>{PARA}</p><noscript><p>{PARA}</p></noscript>", [PARA]),
+        ("<p>too short for points</p><p>and another</p>", ["too short for points", "and another"]),
+    ],
+)
+def test_scores_decide(page, text):
+    assert html_text.main_text(page) == "\n".join(t.strip() for t in text)
+    for tag in ("div", "section"):
+        if "newsletter" in page:
+            assert html_text.main_text(page.replace("article>", f"{tag}>")) == "\n".join(t.strip() for t in text)
+
+
+@pytest.mark.parametrize("search", [vptree.neighbours, maxscore.top_k])
+def test_order_and_place_of_rows_change_nothing(spark, search, tmp_path):
+    """Rows in another order, other files and other partitions, some of them many times over."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=12).astype(np.float32).tolist()) for i in range(900)]
+    rows += rows[:3] * 30
+    said = []
+    for k, parts in enumerate((1, 5)):
+        spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<float>").repartition(parts).write.parquet(str(tmp_path / f"{k}"))
+        found = search(spark.read.parquet(str(tmp_path / f"{k}")), shard_rows=300, block_rows=20)
+        said.append(sorted(map(tuple, found.collect())))
+    assert said[0] == said[1] and len(said[0]) >= 45 * 20
