@@ -154,8 +154,14 @@ class Answers:
     def __init__(self, path: str, buckets: int) -> None:
         self.store, self.folder = fs.FileSystem.from_uri(path)
         self.buckets, self.last, self.files = buckets, None, []
+        self.batch, self.told = None, []
 
     def of(self, batch: int) -> list[tuple[int, bytes]]:
+        if batch != self.batch:  # a batch comes in several parts
+            self.batch, self.told = batch, self.read(batch)
+        return self.told
+
+    def read(self, batch: int) -> list[tuple[int, bytes]]:
         bucket = batch % self.buckets
         if bucket != self.last:
             for f in self.files:
