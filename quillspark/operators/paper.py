@@ -123,3 +123,9 @@ def learned_terms(results: DataFrame) -> DataFrame:
     uses = first_uses(results.select("doc_id", "block_idx", "translation")).withColumn("n", F.col("ord"))
     uses = uses.select("doc_id", X.term_key(F.col("en")).alias("en_key"), F.row_number().over(order).alias("ord"), "zh", "en_full", F.lit(None).cast("string").alias("note"), F.lit(True).alias("seen"))
     return add_terms(ingest_terms(events), uses)
+
+
+def distinct_formulas(formulas: DataFrame) -> DataFrame:
+    """Formulas (tex, display), one row for each that looks different: key, a hash of both, tex, display, uses."""
+    key = F.when(F.col("display"), X.formula_key(F.col("tex"), True)).otherwise(X.formula_key(F.col("tex"), False))
+    return formulas.groupBy("tex", "display").agg(F.count(F.lit(1)).alias("uses")).select(key.alias("key"), "tex", "display", "uses")

@@ -707,7 +707,7 @@ _TITLE = "case page_id % 4 when 0 then concat('Part: ', page_id % 10) when 1 the
 
 @query(f"""with t as (select page_id, html, replace(replace(coalesce(nullif(trim({_TITLE}), ''), cast(page_id as varchar)), ':', '：'), '/', '、') as stem from pages),
 c as (select *, count(*) over (partition by stem) as n from t)
-select stem || case when n > 1 then '  ' || substr(sha1(cast(page_id as varchar)), 1, 16) else '' end || '.html' as name, html from c""".replace("sha1(", "SHA1("))
+select stem || case when n > 1 then '  ' || substr(sha1(cast(page_id as varchar)), 1, 16) else '' end || '.html' as name, html from c""")
 def files_by_title(spark, sf_dir):
     """Every page as a file named by a title, written with a two-phase commit and read again; equal titles are told apart."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.expr(_TITLE).alias("title"))
@@ -910,3 +910,110 @@ def glossary_stream(spark, sf_dir):
     store = ResultStore(spark, path, 1, SG.TERMS, ("doc_id", "en_key"))
     SG.store_terms(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), store, f"{path}/checkpoint").awaitTermination()
     return store.latest().select(F.col("doc_id").cast(events.schema["doc_id"].dataType).alias("doc_id"), "en_key", "ord", "zh", "en_full", "note")
+
+
+_MORE_SHAPES = """concat('<article><section class="ltx_section"><h2 class="ltx_title_section">More</h2><div class="ltx_para"><p class="ltx_p">H<math class="ltx_Math"><annotation encoding="application/x-tex">_{', p_size, '}</annotation></math>↓ of <cite class="ltx_cite"><a class="ltx_ref" href="#bib.b1" title="On part ', p_size, ', 2020a">1</a></cite></p>',
+'<table class="ltx_equationgroup"><tr class="ltx_equation"><td class="ltx_eqn_cell"><math><annotation encoding="application/x-tex">a_', p_size, '</annotation></math></td><td class="ltx_eqn_cell"><math><annotation encoding="application/x-tex">=b</annotation></math></td></tr><tr class="ltx_equation"><td class="ltx_eqn_cell"><math><annotation encoding="application/x-tex">c</annotation></math></td></tr></table></div>',
+'<figure class="ltx_algorithm"><div class="ltx_listing"><div class="ltx_listingline"><span class="ltx_tag_listingline">1</span>x|', p_size, '</div><div class="ltx_listingline">Input: ', p_type, '</div></div><figcaption class="ltx_caption">Alg</figcaption></figure>',
+'<div class="ltx_para"><span class="ltx_inline-block"><span class="ltx_p">box one</span><span class="ltx_p">', p_brand, '</span></span></div><section class="ltx_paragraph"><h4 class="ltx_title_paragraph">Lead</h4><div class="ltx_para"><p class="ltx_p">tail ', p_size, '</p></div></section>',
+'<figure class="ltx_table"><table><tr><td rowspan="2">', p_type, '</td><td>1|2</td></tr><tr><td>3</td></tr></table></figure>',
+'<figure class="ltx_table"><table><tr><td>Task</td><td>a</td><td>b</td><td></td></tr><tr><td>', lower(p_type), '</td><td>left</td><td>up</td><td></td></tr><tr><td>x</td><td>', p_size, '</td><td>2</td><td></td></tr></table></figure></section></article>')"""
+
+
+@query("""select cast(p_partkey as varchar) as doc_id, cast(i as int) as block_idx, kind, cast(level as int) as level, text, raw from (select *, chr(10) as n, chr(92) as b, chr(8203) as z from part), unnest([
+  {'i': 0, 'kind': 'heading', 'level': 2, 'text': 'More', 'raw': 'More'},
+  {'i': 1, 'kind': 'paragraph', 'level': 0, 'text': '$H_{' || p_size || '}' || b || 'downarrow$ of 1', 'raw': 'H$_{' || p_size || '}$↓ of [1](https://www.bing.com/search?q=On%20part%20' || p_size || ' "On part ' || p_size || '")'},
+  {'i': 2, 'kind': 'equation', 'level': 0, 'text': b || 'begin{aligned}' || n || 'a_' || p_size || ' & =b ' || b || b || n || 'c' || n || b || 'end{aligned}', 'raw': '$$' || n || b || 'begin{aligned}' || n || 'a_' || p_size || ' & =b ' || b || b || n || 'c' || n || b || 'end{aligned}' || n || '$$' || n},
+  {'i': 3, 'kind': 'listing', 'level': 0, 'text': 'Alg', 'raw': '| ' || z || ' | ' || z || ' |' || n || '| --- | --- |' || n || '| 1 | x' || b || '|' || p_size || ' |' || n || '| Input | ' || p_type || ' |' || n || '> Alg'},
+  {'i': 4, 'kind': 'text_box', 'level': 0, 'text': 'box one' || n || p_brand, 'raw': '> box one' || n || '> ' || p_brand}, {'i': 5, 'kind': 'heading', 'level': 4, 'text': 'Lead', 'raw': 'Lead'}, {'i': 6, 'kind': 'paragraph', 'level': 0, 'text': 'tail ' || p_size, 'raw': 'tail ' || p_size},
+  {'i': 7, 'kind': 'table', 'level': 0, 'text': n || '<table><tr><td rowspan="2">' || p_type || '</td><td>1|2</td></tr><tr><td>3</td></tr></table>' || n, 'raw': '<table><tr><td rowspan="2">' || p_type || '</td><td>1|2</td></tr><tr><td>3</td></tr></table>' || n},
+  {'i': 8, 'kind': 'table', 'level': 0, 'text': n || '| Task<br>' || lower(p_type) || ' | a<br>left | b<br>up |' || n || '| --- | --- | --- |' || n || '| x | ' || p_size || ' | 2 |', 'raw': '| Task<br>' || lower(p_type) || ' | a<br>left | b<br>up |' || n || '| --- | --- | --- |' || n || '| x | ' || p_size || ' | 2 |'}]) as u(x), lateral (select x.*)""")
+def blocks_of_more_shapes(spark, sf_dir):
+    """Formulas in text and in groups, listings, text boxes, titled paragraphs, tables with spans and with two header rows."""
+    papers = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.expr(_MORE_SHAPES).alias("html"))
+    return H.parse_blocks(papers).select("doc_id", "block_idx", "kind", "level", "text", "raw")
+
+
+@query("select doc_id, (length(text) - length(replace(text, 'a', ''))) % 2 = 1 as dangling from documents where not contains(text, chr(92)) and not contains(text, '$')")
+def dangling_dollars(spark, sf_dir):
+    """Every text with its a as dollars: whether their number is odd."""
+    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit("$")))
+    return docs.select("doc_id", X.dangling_dollar(F.translate("text", "a", "$")).alias("dangling"))
+
+
+@query("""select p_partkey, 'a ' || chr(92) || 'sim ' || p_size || ' $' || chr(92) || 'downarrow$ b $x' || chr(92) || 'uparrow$ ' || p_type || ' $_{' || p_size || '}$ ' || chr(92) || 'text{' || p_brand || '}' as said from part""")
+def sanitized_tex(spark, sf_dir):
+    return _part(spark, sf_dir, "concat('a \\\\thicksim ', p_size, ' \\\\downarrow b $x\\\\uparrow$ ', p_type, ' {}_{', p_size, '} \\\\textsc{', p_brand, '}')", said=P.sanitize("x"))
+
+
+@query("select doc_id, unnest(string_split(replace(replace(text, ' the ', chr(10)), ' of ', chr(10)), chr(10))) as line from (select doc_id, replace(text, chr(13), '') as text from documents)")
+def text_box_lines(spark, sf_dir):
+    """Every text broken at two words, at one of them with a carriage return."""
+    broken = F.replace(F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit(" the "), F.lit("\r\n")), F.lit(" of "), F.lit("\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.text_box_lines(broken)).alias("line"))
+
+
+@query("""with f as (select 'x_{' || l_linenumber || '}' || l_returnflag as tex, l_quantity > 25 as display, l_orderkey from lineitem)
+select substr(sha1(case when display then 'D:' else 'I:' end || tex), 1, 16) as key, tex, display, count(*) as uses from f group by tex, display""")
+def distinct_formulas(spark, sf_dir):
+    """The formulas of all lines, each once by the hash of what it shows."""
+    lines = table(spark, sf_dir, "lineitem").select(F.expr("concat('x_{', l_linenumber, '}', l_returnflag)").alias("tex"), (F.col("l_quantity") > 25).alias("display"))
+    return paper.distinct_formulas(lines)
+
+
+@query("select cast(p_partkey as varchar) as doc_id, cast(0 as int) as block_idx, '/img/' || p_partkey || '.png' as src, case when p_partkey % 3 = 0 then 'images/' || p_partkey || '.png' else '/img/' || p_partkey || '.png' end as local_src from part")
+def local_images(spark, sf_dir):
+    """Figures of parts, of which every third image has been stored."""
+    key = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part").select(key.alias("doc_id"), F.lit(0).alias("block_idx"), F.concat(F.lit("/img/"), key, F.lit(".png")).alias("src"), F.lit(None).cast("string").alias("local_src"))
+    stored = part.where("cast(doc_id as int) % 3 = 0").select("doc_id", "src", F.concat(F.lit("images/"), "doc_id", F.lit(".png")).alias("local"))
+    return H.with_local_images(part, stored)
+
+
+@query("""select s_suppkey as doc_id, '{"alpha":{"zh":"甲' || s_suppkey || '","en_full":null,"note":"n","seen":true}' || case when s_suppkey % 2 = 0 then ',"beta":{"zh":"<KEEP>","en_full":"' || s_name || '","note":null,"seen":false}' else '' end || '}' as glossary_json from supplier""")
+def glossary_files(spark, sf_dir):
+    """A glossary of each supplier as JSON, terms in their order."""
+    made = F.expr("""inline(array_compact(array(named_struct('ord', 1, 'en_key', 'alpha', 'zh', concat('甲', s_suppkey), 'en_full', cast(null as string), 'note', 'n', 'seen', true),
+      if(s_suppkey % 2 = 0, named_struct('ord', 2, 'en_key', 'beta', 'zh', '<KEEP>', 'en_full', s_name, 'note', cast(null as string), 'seen', false), null))))""")
+    return G.glossary_json(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), made))
+
+
+@query("select p_partkey, case p_partkey % 5 when 0 then ['docx'] when 1 then ['docx', 'pdf'] when 2 then ['docx', 'pdf'] when 3 then ['pdf', 'docx'] else [] end as formats from part")
+def export_formats(spark, sf_dir):
+    return _part(spark, sf_dir, "case p_partkey % 5 when 0 then ' DOCX, html' when 1 then 'all' when 2 then 'pdf，docx_pdf' when 3 then 'pdf，docx' else '' end", formats=translate.export_formats(F.col("x")))
+
+
+@query("select l_orderkey as table_id, bool_or(l_linenumber % 4 = 3) as complex, cast(max(case when l_linenumber > 1 then greatest(1, l_linenumber % 4) end) as int) as wide from lineitem group by 1 having count(*) filter (where l_linenumber > 1) > 0")
+def complex_tables(spark, sf_dir):
+    """Orders as tables, one cell a line: whether any spans more than two, and how many columns their rows below the first take."""
+    cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as table_id", "l_linenumber as r", "cast(greatest(1, l_linenumber % 4) as int) as colspan", "l_linenumber = 1 as is_header").where("r > 1 or is_header").distinct()
+    below = cells.where("not is_header")
+    spans = F.transform(F.collect_list(F.greatest(F.lit(1), F.col("colspan") - 1)), lambda c: F.struct(c.alias("colspan"), F.lit(1).alias("rowspan")))
+    wide = tables.table_width(cells).join(below.select("table_id").distinct(), "table_id", "left_semi")
+    return below.groupBy("table_id").agg(X.is_complex_table(spans).alias("complex")).join(wide, "table_id").select("table_id", "complex", F.col("width").alias("wide"))
+
+
+@query("select s_suppkey, cast(o as int) as ord, 'AB' || o || '-' || s_suppkey as en, 'Alpha ' || s_name as en_full, '甲' || o as zh from supplier, (values (0), (1)) as t(o)")
+def first_uses(spark, sf_dir):
+    said = F.expr("concat('见 AB0-', s_suppkey, '（Alpha ', s_name, ', 甲0）和 AB1-', s_suppkey, '（Alpha ', s_name, '，甲1）。')")
+    return G.first_uses(table(spark, sf_dir, "supplier").select("s_suppkey", said.alias("translation"))).select("s_suppkey", F.col("ord").cast("int").alias("ord"), "en", "en_full", "zh")
+
+
+class SeedChat(Chat):
+    """Teaches the first word of the first texts, and another sense of a fixed term."""
+
+    def answer(self, system, user, timeout):
+        text = json.loads(user)["text"]
+        assert "- probe → 【探针】" in system
+        return json.dumps({"translation": text, "terms": [{"en": text.split(" ")[0], "zh": "词"}, {"en": "Probe", "zh": "探头"}]}, ensure_ascii=False)
+
+
+@query("""with t as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'user' and trim(text) <> ''),
+w as (select conv_id, lower(string_split(replace(text, chr(10), ' '), ' ')[1]) as w from t where n = 1),
+k as (select conv_id, k, zh from (select distinct conv_id from conversations), (values ('alignment', '对齐'), ('artifacts', '伪影'), ('probe', '探针'), ('probes', '探针'), ('split', '数据集划分')) as s(k, zh))
+select cast(k.conv_id as varchar) as doc_id, k as en_key, case when k = 'probe' and w.w is not null then '探头' else zh end as zh from k left join w on w.conv_id = k.conv_id
+union all select cast(conv_id as varchar), w, '词' from w where w not in ('alignment', 'artifacts', 'probe', 'probes', 'split')""")
+def seed_glossaries(spark, sf_dir):
+    """Conversations as papers: the fixed terms, and what a model teaches when it is shown their first texts."""
+    turns = _turns(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    return requests.seed_glossary(turns, SeedChat).select("doc_id", "en_key", "zh")

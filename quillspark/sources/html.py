@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.protect import translation_text
-from quillspark.functions.text import SEARCH_PAGES
+from quillspark.functions.text import DISPLAYED, INLINE, SEARCH_PAGES
 from quillspark.operators.tables import fold_header, header_rows, to_markdown
 
 META = ("html_id", "section", "label", "src", "local_src", "caption", "table_md", "listing_md", "listing_raw", "text_box_md")
@@ -201,7 +201,7 @@ RICH_STEPS = (
 #: The steps after the second of these that the literal reading has; they also put spaces inside formulas.
 LITERAL_STEPS = ((re.compile(r"\s*\$(\s|\$)"), r" $\1"), (re.compile(r"(\$|\s)\$\s*"), r"\1$ "))
 #: Commands that only displayed formulas have.
-DISPLAYED = re.compile(r"\\(?:begin|aligned|sum|int|frac|prod|lim|displaystyle|choose|binom|cases|matrix)")
+_DISPLAYED = re.compile(DISPLAYED)
 
 
 def rich_text(node: Element, bib: dict[str, str], engine: str = "bing", mode: str = "short", literal: bool = False) -> str:
@@ -213,7 +213,7 @@ def rich_text(node: Element, bib: dict[str, str], engine: str = "bing", mode: st
             return _footnote(n)
         if n.tag == "math":
             tex = tex_of(n)
-            shown = n.attrs.get("display") == "block" and not (len(tex) <= 25 and not DISPLAYED.search(tex))
+            shown = n.attrs.get("display") == "block" and not (len(tex) <= INLINE and not _DISPLAYED.search(tex))
             return (f"$${tex}$$" if shown else f"${tex}$") if tex else ""
         return "\n" if n.tag == "br" else None
 
