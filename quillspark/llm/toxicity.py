@@ -157,7 +157,10 @@ class Model:
             for j in range(1, w):
                 part += table[padded[j : size + j], at + j * f : at + (j + 1) * f]
             out[:, k * f : (k + 1) * f] = part
-        return out, offsets + np.arange(len(offsets)) * pad
+        at = offsets + np.arange(len(offsets)) * pad
+        for back in range(1, pad + 1):  # what begins at a blank is blank to its end, whatever text comes next
+            out[at[1:] - back] = 0
+        return out, at
 
     def logits(self, codes: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
         n = len(offsets) - 1
@@ -231,7 +234,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings | None = None
                 g, b = back[:, i * f : (i + 1) * f], best[:, i * f : (i + 1) * f]
                 for j in range(w):
                     at_ = tap_at[(w, j)] * f
-                    hit = padded[b + j]
+                    hit = np.where(padded[b] < len(which), padded[b + j], len(which))
                     conv_grad[:, at_ : at_ + f] += np.einsum("df,dfk->kf", g, ext[hit])
                     some = (hit < len(which)) & (g != 0)
                     hits.append(hit[some])

@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("quillspark.llm")
 from quillspark.llm import bpe, chunks, html_text, maxscore, near_dup, packing, queries, sharding, simple8b, substrings, toxicity, vptree  # noqa: E402
-from quillspark.llm.common import new_path  # noqa: E402
+from quillspark.llm.common import new_path, split_words  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, row string, n_words int, shard int"
@@ -676,3 +678,47 @@ def test_order_and_place_of_rows_change_nothing(spark, search, tmp_path):
         found = search(spark.read.parquet(str(tmp_path / f"{k}")), shard_rows=300, block_rows=20)
         said.append(sorted(map(tuple, found.collect())))
     assert said[0] == said[1] and len(said[0]) >= 45 * 20
+
+
+def plain_logit(model, text):
+    """The classifier word by word: hashed rows, every filter at every word, the largest response of each, one sum."""
+    s, blank = model.settings, np.zeros(model.settings.width)
+    vectors = []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        word = word.lower().strip(toxicity._EDGES) or word
+        vector = model.word[xxhash.xxh3_64_intdigest(f"<{word}>".encode()) % s.buckets] * 0.3
+        grams, data = [], f"<{word}>".encode()
+        for n in (3, 4, 5, 6):
+            for i in range(len(data) - n + 1):
+                h = (2166136261 + n) % 2**32
+                for b in data[i : i + n]:
+                    h = (h ^ b) * 16777619 % 2**32
+                grams.append(model.gram[(h ^ h >> 15) % s.buckets])
+        vectors.append(vector + (np.sum(grams, axis=0) / len(grams) ** 0.5 if grams else 0))
+    total, k = model.base, 0
+    for w in toxicity.WIDTHS:
+        for f in range(s.filters):
+            said = [0.0]
+            for i in range(len(vectors)):
+                window = [*vectors[i : i + w], *[blank] * w][:w]
+                said.append(sum(float(v @ model.conv[:, model.taps.index((w, j)) * s.filters + f]) for j, v in enumerate(window)))
+            total += max(0.0, max(said) + float(model.bias[k])) * float(model.out[k])
+            k += 1
+    return total
+
+
+def test_toxicity_forward_pass():
+    """Scores against plain loops; a text's score is its own, whatever stands beside it."""
+    rng = np.random.default_rng(5)
+    words = ["Zork,", "blag", "a", "é", "word", "日本", "(x)", "--", "longerword"]
+    texts = ["", " ", "a", *(" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(40)), "zork " * 300]
+    model = toxicity.train(texts, np.arange(len(texts)) % 2, toxicity.Settings(buckets=1 << 12, examples=200))
+    model.bias += rng.normal(0, 0.1, len(model.bias)).astype(np.float32)
+
+    def said(some):
+        codes, offsets, distinct = split_words(pa.array(some, pa.large_string()))
+        return model.logits(codes, offsets, toxicity.words_of(distinct, 1 << 12))
+
+    whole = said(texts)
+    assert np.allclose(whole, [plain_logit(model, t) for t in texts], atol=1e-3)
+    assert np.allclose(whole, [said([t])[0] for t in texts], atol=1e-4) and np.allclose(whole[::-1], said(texts[::-1]), atol=1e-4)
