@@ -24,6 +24,8 @@ from quillspark.operators.glossary import needs_repair
 
 RESULT = "doc_id string, block_idx int, translation string, terms string, prompt_tokens long, completion_tokens long"
 SKIP = "⟦SKIP⟧"
+#: Units of a document that share a row with its glossary.
+PART = 64
 
 
 class TranslatorBackend(Protocol):
@@ -123,28 +125,36 @@ def glossary_maps(glossary: DataFrame) -> DataFrame:
 def translate_units(units: DataFrame, glossary: DataFrame | None, backend: Callable[[], TranslatorBackend], tasks: int | None = None) -> DataFrame:
     """units (doc_id, unit_id, block_idx, text) to results (see RESULT); blank texts are dropped before any Python runs.
 
-    glossary: doc_id, en_key, zh; it is collected per document (a paper's own terms). tasks bounds how many backends are open.
+    glossary: doc_id, en_key, zh; it is collected per document (a paper's own terms) and sent once for each PART units. tasks
+    bounds how many backends are open.
     """
-    rows = units.where(X.strip(F.col("text")) != "").select(F.col("doc_id").cast("string").alias("doc_id"), "unit_id", "block_idx", "text")
-    if glossary is not None:
-        rows = rows.join(glossary_maps(glossary), "doc_id", "left")
-    else:
-        rows = rows.withColumn("terms", F.lit(None).cast("map<string,string>"))
-    dealt = rows.repartition(tasks, "doc_id", "unit_id") if tasks else rows.repartition("doc_id", "unit_id")
-    rows = dealt.sortWithinPartitions("doc_id", "unit_id", "block_idx")
+    rows = units.where(X.has_text(F.col("text"))).select(F.col("doc_id").cast("string").alias("doc_id"), F.floor(F.col("unit_id") / PART).alias("part"), "unit_id", "block_idx", "text")
+    terms = F.lit(None).cast("map<string,string>").alias("terms")
+    both = rows.select("*", terms, F.lit(1).alias("kind"))
+    if glossary is not None:  # a row of its own before the units of each part, no column of all
+        held = glossary_maps(glossary).join(rows.select("doc_id", "part").distinct(), "doc_id")
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("unit_id", "block_idx", "text")]
+        both = both.unionByName(held.select("doc_id", "part", *none, "terms", F.lit(0).alias("kind")))
+    dealt = both.repartition(tasks, "doc_id", "part") if tasks else both.repartition("doc_id", "part")
+    rows = dealt.sortWithinPartitions("doc_id", "part", "kind", "unit_id", "block_idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()
         model.open()
         try:
+            now, known = None, {}
             for batch in _whole_units(batches):
                 out = []
-                for _, unit in batch.groupby(["doc_id", "unit_id"], sort=False, dropna=False):
+                for key, unit in batch.groupby(["doc_id", "part", "kind", "unit_id"], sort=False, dropna=False):
+                    if key[:2] != now:
+                        now, known = key[:2], {}
+                    if key[2] == 0:
+                        known = dict(unit["terms"].iloc[0])
+                        continue
                     held, every = [], []
                     for t in unit["text"]:
                         held.append(protect_text(t, len(every)))
                         every += held[-1][1]
-                    known = dict(unit["terms"].iloc[0] or {})
                     replies = model.translate([t for t, _ in held], known)
                     replies += [None] * (len(held) - len(replies))  # a short answer: ask for the rest one by one
                     for doc, idx, (sent, entries), reply in zip(unit["doc_id"], unit["block_idx"], held, replies):

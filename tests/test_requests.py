@@ -252,3 +252,11 @@ def test_latest_versions(spark):
 def test_table_rows(spark):
     tables = spark.createDataFrame([("d", 0, "| a | b\\|c |\n| --- | :-: |\n\n| - | x |\n| 1 | $|x|$ |\nno row")], "doc_id string, block_idx int, table_md string")
     assert [(r["r"], r["cells"]) for r in T.table_rows(tables).collect()] == [(0, ["a", "b|c"]), (1, ["-", "x"]), (2, ["1", "$|x|$"])]
+
+
+def test_a_glossary_reaches_every_part_and_no_other_document(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART", 2)
+    units = spark.createDataFrame([("a", u, u, "probe") for u in range(5)] + [("b", 0, 0, "probe"), (None, 0, 0, "probe"), ("c", 1, 1, "probe")], UNITS)
+    terms = spark.createDataFrame([("a", "probe", "甲"), ("c", "probe", "乙"), ("z", "probe", "x")], "doc_id string, en_key string, zh string")
+    got = {(r["doc_id"], r["block_idx"]): r["translation"] for r in T.translate_units(units.repartition(3), terms, T.DictionaryBackend, tasks=1).collect()}
+    assert got == {**{("a", u): "甲" for u in range(5)}, ("b", 0): "probe", (None, 0): "probe", ("c", 1): "乙"}
