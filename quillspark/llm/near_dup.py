@@ -306,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, b
     """The rows of docs, all columns unchanged, but one row only of each component: the first by doc_id.
 
     Rows without words or without a doc_id stay, each of them; of repeated rows with words one stays. Rows are told apart by
-    where they lie, so any column names will do. The texts are exchanged once for this.
+    where they lie, so any column names will do. The texts are exchanged once for this. An empty table stays empty.
     """
     rows = placed(docs)
     judged = _judged(rows, shingle, percent, block)

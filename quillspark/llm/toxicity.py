@@ -383,7 +383,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text scores below CUT; rows without text stay."""
+    """The rows of docs, all columns unchanged, whose text scores below CUT; rows without text stay; an empty table stays empty."""
     return _clean(with_logits(docs, model, docs.columns), model)
 
 
@@ -409,5 +409,5 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """clean_documents by the model that classify makes; docs must have a doc_id and a text."""
+    """clean_documents by the model that classify makes; docs must have a doc_id and a text; an empty table stays empty."""
     return _clean(*_judged(docs, labels, settings, docs.columns))

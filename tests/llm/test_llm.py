@@ -722,3 +722,20 @@ def test_toxicity_forward_pass():
     whole = said(texts)
     assert np.allclose(whole, [plain_logit(model, t) for t in texts], atol=1e-3)
     assert np.allclose(whole, [said([t])[0] for t in texts], atol=1e-4) and np.allclose(whole[::-1], said(texts[::-1]), atol=1e-4)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Nine megabytes in one text: its repeats, its copy and its score are found as those of any other."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 1_200_000)]
+    passage = [f"passage{i}" for i in range(40)]
+    long = " ".join([*words[:600_000], *passage, *words[600_000:]])
+    assert len(long) > 8 << 20
+    rows = [(0, long), (1, " ".join(["before", *passage, "after"])), (2, long.replace("passage7 ", "other ")), (3, "short"), (4, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.repeat_digests(data.where("doc_id in (0, 1, 3, 4)")).collect()}
+    assert removed == {0: (1_200_040, 40), 1: (42, 40), 3: (1, 0), 4: (0, 0)}
+    groups = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(data, shingle=2).collect()}
+    assert groups == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.classify(data, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).collect()}
+    assert set(scores) == {0, 1, 2, 3, 4} and all(0 <= s <= 1 for s in scores.values())
