@@ -312,11 +312,12 @@ def drop_repeats(block: int, window: int, bits: int, anchors_at: str, single_at:
             batch = Batch(texts_of(part))
             p, (slots, values) = candidates(batch, found.of(key), block, window, bits)
             if len(p):
+                order = np.argsort(slots, kind="stable")
+                by, again = slots[order], np.ones(len(p), dtype=bool)
                 for slot, data in single.of(key):
-                    mine = np.flatnonzero(slots == slot)
-                    p_bad = mine[np.isin(values[mine], loaded(data))]
-                    values[p_bad], slots[p_bad] = 0, np.uint64(1 << 40)  # seen once: not a repeat
-                p = p[slots != np.uint64(1 << 40)]
+                    mine = order[slice(*np.searchsorted(by, np.array([slot, slot + 1], dtype=np.uint64)))]
+                    again[mine[np.isin(values[mine], loaded(data))]] = False  # seen once: not a repeat
+                p = p[again]
             cover = np.zeros(len(batch.codes) + 1, dtype=np.int64)
             np.add.at(cover, p, 1)
             np.add.at(cover, p + window, -1)
