@@ -2,8 +2,8 @@
 
 A backend is opened once a partition and translates batches; nothing here needs a network. Formulas and references are
 protected before and restored after, with ids of their own in a unit, so that a reference which a reply puts into another
-block of the unit is restored there. ``store`` keeps results as Parquet by version, each run in a part of its own that the
-committer makes visible whole; ``stored`` reads what is there and ``resume`` leaves out what it holds.
+block of the unit is restored there. ``store`` keeps results by version, each run seen whole or not at all; ``stored`` reads the
+latest of them and ``resume`` leaves out what it holds.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.protect import protect_text, restore_text, sanitize_text, split_cells
 from quillspark.operators.glossary import needs_repair
+from quillspark.operators.store import ResultStore
 
 RESULT = "doc_id string, block_idx int, translation string, terms string, prompt_tokens long, completion_tokens long"
 SKIP = "⟦SKIP⟧"
@@ -293,28 +293,24 @@ def parse_group(raw: str, size: int) -> dict[int, str]:
 
 
 def store(results: DataFrame, path: str, version: int) -> None:
-    """Add results under a version; what fails half-way is not seen."""
-    results.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """Add results under a version; what fails half-way is not seen (see store.ResultStore, which also compacts and clears)."""
+    ResultStore(results.sparkSession, path, version, RESULT).add(results)
 
 
-def stored(spark: SparkSession, path: str, version: int, policy: str = "auto") -> DataFrame:
-    """Results of that version, one a block (the longest translation of several); none where nothing is there, where files
-    cannot be read, or where the policy is "never"."""
-    none = spark.createDataFrame([], RESULT + ", version int")
-    if policy == "never":
-        return none
-    try:
-        found = spark.read.option("ignoreCorruptFiles", "true").schema(RESULT + ", version int").parquet(path).where(F.col("version") == version)
-    except AnalysisException:  # no store yet
-        return none
-    order = F.struct(F.length(F.coalesce("translation", F.lit(""))), "translation")
-    rest = [c for c in found.columns if c not in ("doc_id", "block_idx")]
-    return found.groupBy("doc_id", "block_idx").agg(F.max_by(F.struct(*rest), order).alias("x")).select("doc_id", "block_idx", "x.*").select(*found.columns)
+def stored(spark: SparkSession, path: str, version: int, policy: str = "auto", skip_damaged: bool = False) -> DataFrame:
+    """Results of that version, the latest of each block, with the version; none where nothing is there or the policy is "never".
+
+    A file that can't be read is an error, so that nobody pays twice unawares; with skip_damaged its results count as absent, and
+    ResultStore.damaged names it.
+    """
+    kept = ResultStore(spark, path, version, RESULT)
+    found = spark.createDataFrame([], RESULT) if policy == "never" else kept.latest(skip_damaged)
+    return found.withColumn("version", F.lit(version))
 
 
 def translate_stored(units: DataFrame, glossary: DataFrame | None, backend: Callable[[], TranslatorBackend], path: str, version: int, policy: str = "auto") -> DataFrame:
     """All results of the units: what is stored, and the rest translated, stored and read back. With the policy "never" all
-    are translated again, under a version of their own: give a new one."""
+    are translated again, and what is new counts."""
     spark, keyed = units.sparkSession, units.withColumn("doc_id", F.col("doc_id").cast("string"))
     store(translate_units(resume(keyed, stored(spark, path, version, policy), version), glossary, backend), path, version)
     return stored(spark, path, version).join(keyed.select("doc_id", "block_idx").distinct(), ["doc_id", "block_idx"], "left_semi")

@@ -866,11 +866,11 @@ sweep as (select t, cast(0 as bigint) as k, cast([] as bigint[]) as taken, cast(
       from sweep s join cells c on c.t = s.t and c.k = s.k + 1))),
 done as (select * from sweep qualify row_number() over (partition by t order by k desc) = 1),
 lines as (select t, width, unnest(list_distinct(list_transform(told, lambda y: y.p // 100))) as r, told from done)
-select t as table_id, cast(r as int) as r, list_transform(range(0, width), lambda c: coalesce(list_filter(told, lambda y: y.p = r * 100 + c)[1].x, '')) as texts from lines""")
+select t as table_id, cast(r as int) as r, array_to_string(list_transform(range(0, width), lambda c: coalesce(list_filter(told, lambda y: y.p = r * 100 + c)[1].x, '')), '|') as texts from lines""")
 def span_grids(spark, sf_dir):
     """The lines of an order as cells of a table, two a row, with column and row spans."""
     cells = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as table_id", "cast((l_linenumber - 1) div 2 as int) as r", "struct(l_linenumber, l_partkey, l_suppkey, l_returnflag) as ord", "concat(l_returnflag, l_linenumber) as text", "cast(1 + l_partkey % 3 as int) as colspan", "cast(1 + l_suppkey % 3 as int) as rowspan")
-    return tables.span_grid(cells)
+    return tables.span_grid(cells).withColumn("texts", F.array_join("texts", "|"))
 
 
 @query(ORACLES["paper_blocks"])
@@ -978,9 +978,9 @@ def glossary_files(spark, sf_dir):
     return G.glossary_json(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), made))
 
 
-@query("select p_partkey, case p_partkey % 5 when 0 then ['docx'] when 1 then ['docx', 'pdf'] when 2 then ['docx', 'pdf'] when 3 then ['pdf', 'docx'] else [] end as formats from part")
+@query("select p_partkey, case p_partkey % 5 when 0 then 'docx' when 1 then 'docx,pdf' when 2 then 'docx,pdf' when 3 then 'pdf,docx' else '' end as formats from part")
 def export_formats(spark, sf_dir):
-    return _part(spark, sf_dir, "case p_partkey % 5 when 0 then ' DOCX, html' when 1 then 'all' when 2 then 'pdf，docx_pdf' when 3 then 'pdf，docx' else '' end", formats=translate.export_formats(F.col("x")))
+    return _part(spark, sf_dir, "case p_partkey % 5 when 0 then ' DOCX, html' when 1 then 'all' when 2 then 'pdf，docx_pdf' when 3 then 'pdf，docx' else '' end", formats=F.array_join(translate.export_formats(F.col("x")), ","))
 
 
 @query("select l_orderkey as table_id, bool_or(l_linenumber % 4 = 3) as complex, cast(max(case when l_linenumber > 1 then greatest(1, l_linenumber % 4) end) as int) as wide from lineitem group by 1 having count(*) filter (where l_linenumber > 1) > 0")
