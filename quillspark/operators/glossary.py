@@ -22,8 +22,15 @@ BRACKETS = r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z0-9.\-]{0,14})\s*\(([A-Za-z][A-Za-z
 FIRST_USE = r"([A-Za-z][A-Za-z0-9\-/]{1,})（([^,，]+?)[,，]\s*([^）]+?)）"
 
 
+def seed_terms() -> Column:
+    """The first terms as an array of structs, to be inlined for every document."""
+    terms = enumerate(SEEDS.items())
+    none = F.lit(None).cast("string").alias("en_full")
+    return F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(k).alias("en_key"), F.lit(zh).alias("zh"), none, F.lit(note).alias("note"), F.lit(False).alias("seen")) for i, (k, (zh, note)) in terms))
+
+
 def seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, k, zh, None, note, False) for i, (k, (zh, note)) in enumerate(SEEDS.items())], "ord int, en_key string, zh string, en_full string, note string, seen boolean")
+    return spark.range(1).select(F.inline(seed_terms()))
 
 
 def _first(value: Column, ord_: str) -> Column:

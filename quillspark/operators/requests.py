@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 from quillspark.functions.protect import ENTRY, protect_text, restore, sanitize
-from quillspark.operators.glossary import SEEDS, ingest_terms, prompt_lines, seeds
+from quillspark.operators.glossary import SEEDS, ingest_terms, prompt_lines, seed_terms
 from quillspark.operators.pool import in_order
 from quillspark.operators.store import ResultStore
 from quillspark.operators.translate import PROMPT, SKIP, parse_group, parse_reply, system_prompt
@@ -241,9 +241,7 @@ def seed_glossary(blocks: DataFrame, backend: Callable[[], ChatBackend], setting
     as its glossary; by the rules of ingest_terms, the fixed terms first. A document without texts, or whose request fails, has
     the fixed terms alone.
     """
-    spark = blocks.sparkSession
-    docs = blocks.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    fixed = docs.crossJoin(F.broadcast(seeds(spark)))  # five rows a document
+    fixed = blocks.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().select("doc_id", F.inline(seed_terms()))
     lines = prompt_lines(fixed).select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("prompt").alias("glossary"))
     first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda x: x["text"]), "\n\n")
     texts = seed_texts(blocks, most).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(first.alias("text"))
