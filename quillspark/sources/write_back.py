@@ -8,6 +8,8 @@ of a paper, which are cut out.
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ class _Places(_Builder):
             self.ends[node], node = self.size, node.parent
         self.begins[self.root] = 0
 
+    updatepos = HTMLParser.updatepos
+
     def _here(self, at: int | None = None) -> int:
         """Where the parser is; a text that waits for its end ends here."""
         if at is None:
