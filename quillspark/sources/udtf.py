@@ -22,8 +22,8 @@ def _rows(names: list[str], make: Callable[[str], list[dict]]) -> type:
 
 def register(spark: SparkSession) -> None:
     """parse_blocks(html), parse_bibliography(html) and text_leaves(html): the rows of the functions of these names for one page, without
-    its doc_id. A null or empty page gives none."""
+    its doc_id. A null or empty page gives none. Rows go back without Arrow, which would make a table of each page's."""
     titles = lambda html: [{"anchor": a, "title": t} for a, t in bibliography(tree(html)).items()]
     for name, schema, make in (("parse_blocks", BLOCKS, blocks_of), ("parse_bibliography", "doc_id string, anchor string, title string", titles), ("text_leaves", LEAVES, leaves_of)):
         columns = schema.split(", ")[1:]
-        spark.udtf.register(name, udtf(_rows([c.split()[0] for c in columns], make), returnType=", ".join(columns), useArrow=True))
+        spark.udtf.register(name, udtf(_rows([c.split()[0] for c in columns], make), returnType=", ".join(columns), useArrow=False))

@@ -5,6 +5,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.plans import registry
 from quillspark.sources import html as H
 
 PLAIN = "<article><section class='ltx_section'><h2 class=\"ltx_title_section\">T</h2><p class=\"ltx_p\">a &amp; b</p></section></article>"
@@ -21,6 +22,13 @@ def test_pages_of_one_file_are_parsed_by_many_tasks(spark, made):
     assert partitions(made(pages)) == 4 and made(pages).select("doc_id").distinct().count() == 200
 
 
+def test_pages_of_the_table_function_are_parsed_by_many_tasks(spark, tmp_path):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1)
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("blocks_by_sql", "blocks_of_all_shapes"):
+        assert partitions(registry.QUERIES[name](spark, str(tmp_path))) == 4
+
+
 class _Own(H._Builder):
     parse_starttag, parse_endtag = HTMLParser.parse_starttag, HTMLParser.parse_endtag
 
