@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.shared import written
 from quillspark.sources.html import VOID, Element, _Builder, _rows, numbered
 
 #: Classes of regions that are not written back.
@@ -129,8 +130,10 @@ def leaves_of(html: str) -> list[dict]:
 
 def text_leaves(pages: DataFrame) -> DataFrame:
     """The texts of pages (doc_id, html) as rows of LEAVES: parent is the number of the element that holds a text, html_id that of the
-    block (see blocks), role text, cell or caption; a region to be cut out has the role region and no text. A null page has none."""
-    return _rows(pages, leaves_of, LEAVES)
+    block (see blocks), role text, cell or caption; a region to be cut out has the role region and no text. A null page has none.
+
+    They are written to the shared folder, as several steps read them and each would parse the pages again."""
+    return written(_rows(pages, leaves_of, LEAVES), "leaves")
 
 
 def leaf_groups(leaves: DataFrame) -> DataFrame:

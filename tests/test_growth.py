@@ -29,6 +29,13 @@ def test_pages_of_the_table_function_are_parsed_by_many_tasks(spark, tmp_path):
         assert partitions(registry.QUERIES[name](spark, str(tmp_path))) == 4
 
 
+def test_leaves_are_made_once(spark, tmp_path):
+    spark.range(0, 8, 1, 1).selectExpr("id as p_partkey", "'B' as p_brand", "'T' as p_type", "1 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    made = registry.QUERIES["papers_written_back"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and made.count() == 8
+
+
 class _Own(H._Builder):
     parse_starttag, parse_endtag = HTMLParser.parse_starttag, HTMLParser.parse_endtag
 
