@@ -21,6 +21,7 @@ from quillspark.functions import text as X
 from quillspark.functions.protect import protect_text, restore_text, sanitize_text, split_cells
 from quillspark.operators.glossary import needs_repair
 from quillspark.operators.store import ResultStore
+from quillspark.shared import large, spread
 
 RESULT = "doc_id string, block_idx int, translation string, terms string, prompt_tokens long, completion_tokens long"
 SKIP = "⟦SKIP⟧"
@@ -349,23 +350,23 @@ def render_markdown(blocks: DataFrame, results: DataFrame, tables: DataFrame | N
     of paragraphs become paragraphs, and none is left. Columns: doc_id, title and title_zh (for names of files), markdown.
     """
     from quillspark.functions.protect import space_protected
-    from quillspark.operators.units import assemble
+    from quillspark.operators.units import assembled
 
-    told = blocks.join(results.select("doc_id", "block_idx", "translation"), ["doc_id", "block_idx"], "left")
+    told = blocks.join(large(results.select("doc_id", "block_idx", "translation")), ["doc_id", "block_idx"], "left")
     if tables is None:
         told = told.withColumn("table_zh", F.lit(None).cast("string"))
     else:
-        told = told.join(tables.select("doc_id", "block_idx", "table_zh"), ["doc_id", "block_idx"], "left")
+        told = told.join(large(tables.select("doc_id", "block_idx", "table_zh")), ["doc_id", "block_idx"], "left")
     filled = lambda *columns: F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns), F.lit(""))
     shown = structure_markdown(F.col("kind"), filled("translation", "caption"), F.col("src"), F.col("local_src"), F.col("listing_md"), filled("table_zh", "table_md"))
     raw = F.coalesce(shown, F.col("raw"), F.lit(""))
-    body = told.where("kind <> 'title'").withColumn("markdown", X.block_markdown(F.col("kind"), F.col("level"), F.col("text"), raw, filled("translation")))
+    shown = told.withColumn("shown", X.block_markdown(F.col("kind"), F.col("level"), F.col("text"), raw, filled("translation")))
     unmarked = lambda c: X.strip(F.regexp_replace(c, X.NEWPAR, ""))
-    first = lambda c: F.min_by(F.nullif(unmarked(F.col(c)), F.lit("")), "block_idx")
-    title = told.where("kind = 'title'").groupBy("doc_id").agg(first("text").alias("title"), first("translation").alias("title_zh"))
-    joined = told.select("doc_id").distinct().join(assemble(body), "doc_id", "left").join(title, "doc_id", "left")
+    first = lambda c: F.min_by(F.nullif(unmarked(F.col(c)), F.lit("")), F.when(F.col("kind") == "title", F.col("block_idx")))
+    # one aggregate a document, so that blocks are read and joined once
+    joined = shown.groupBy("doc_id").agg(assembled("shown", F.col("kind") != "title").alias("markdown"), first("text").alias("title"), first("translation").alias("title_zh"))
     head = F.concat(F.lit("# "), F.coalesce("title_zh", "title", F.col("doc_id")), F.lit(f"\n\n> 原文: {source}"), "doc_id", F.lit(f"\n> {notice}" if notice else ""), F.lit("\n\n---\n\n"))
-    text = F.regexp_replace(space_protected(F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n"))), X.NEWPAR, "")
+    text = F.regexp_replace(space_protected(F.concat("markdown", F.lit("\n"))), X.NEWPAR, "")
     return joined.select("doc_id", "title", "title_zh", F.concat(head, text).alias("markdown"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,7 +76,12 @@ def abstract_or_first(blocks: DataFrame, most: int = 3) -> DataFrame:
     return told.groupBy("doc_id").agg(F.coalesce(F.nullif(join(F.col("abstract")), F.lit("")), join(~F.col("abstract"))).alias("summary"))
 
 
+def assembled(text: str, which: Column) -> Column:
+    """An aggregate: the texts of which blocks in order, joined by line feeds."""
+    ordered = F.array_sort(F.collect_list(F.when(which, F.struct("block_idx", F.coalesce(F.col(text), F.lit("")).alias("t")))))
+    return F.array_join(F.transform(ordered, lambda x: x["t"]), "\n")
+
+
 def assemble(blocks: DataFrame, text: str = "markdown") -> DataFrame:
     """Per document its blocks in order, joined by line feeds."""
-    ordered = F.array_sort(F.collect_list(F.struct("block_idx", F.coalesce(F.col(text), F.lit("")).alias("t"))))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("markdown"))
+    return blocks.groupBy("doc_id").agg(assembled(text, F.lit(True)).alias("markdown"))
