@@ -12,21 +12,20 @@ import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import text as X
-from quillspark.functions.protect import ENTRY, protect_text, restore, sanitize
+from quillspark.functions.protect import ENTRIES, ENTRY, in_slices, protect_text, restore, sanitize
 from quillspark.operators.glossary import SEEDS, ingest_terms, prompt_lines, seed_terms
 from quillspark.operators.pool import in_order
 from quillspark.operators.store import ResultStore
 from quillspark.operators.translate import PROMPT, SKIP, parse_group, parse_reply, system_prompt
 from quillspark.operators.units import seed_texts
 from quillspark.settings import Settings
-from quillspark.shared import written
+from quillspark.shared import large, written
 
 #: What a request adds to its row.
 ANSWER = T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("requests", "prompt", "completion", "cache_hit"))])
@@ -97,11 +96,13 @@ def observed(answers: DataFrame, observation: Observation) -> DataFrame:
     return answers.observe(observation, *sums, F.count("error").alias("errors"))
 
 
-_PART = T.StructType([T.StructField("block_idx", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("sent", T.StringType()), T.StructField("entries", T.ArrayType(ENTRY))])
+_PART = T.StructType([T.StructField("block_idx", T.IntegerType()), T.StructField("sent", T.StringType()), T.StructField("entries", T.ArrayType(ENTRY))])
+_PARTS = pa.list_(pa.struct([("block_idx", pa.int32()), ("sent", pa.string()), ("entries", ENTRIES)]))
+_SINGLE = pa.struct([("translation", pa.string()), ("terms", pa.string())])
 
 
-@F.pandas_udf(T.ArrayType(_PART))
-def _protected(units: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(_PART))
+def _protected(units: pa.Array) -> pa.Array:
     """Blocks of a unit with placeholders, numbered on from block to block."""
 
     def held(blocks: list) -> list[dict]:
@@ -109,27 +110,30 @@ def _protected(units: pd.Series) -> pd.Series:
         for b in blocks:
             sent, entries = protect_text(b["text"], n)
             n += len(entries)
-            out.append({"block_idx": b["block_idx"], "text": b["text"], "sent": sent, "entries": entries})
+            out.append({"block_idx": b["block_idx"], "sent": sent, "entries": entries})
         return out
 
-    return units.map(held)
+    return in_slices(lambda part: [None if u is None else held(u) for u in part], _PARTS, units)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _by_place(replies: pd.Series, sizes: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _by_place(replies: pa.Array, sizes: pa.Array) -> pa.Array:
     """Translations of a group's reply by place; null where it has none."""
 
     def told(reply: str | None, n: int) -> list[str | None]:
         found = parse_group(reply or "", n)
         return [found.get(i) for i in range(n)]
 
-    return pd.Series([told(r, n) for r, n in zip(replies, sizes)])
+    return in_slices(lambda *part: [told(r, n) for r, n in zip(*part)], pa.list_(pa.string()), replies, sizes)
 
 
-@F.pandas_udf(T.StructType([T.StructField("translation", T.StringType()), T.StructField("terms", T.StringType())]))
-def _single(replies: pd.Series) -> pd.DataFrame:
-    told = [parse_reply(r or "") for r in replies]
-    return pd.DataFrame({"translation": [t for t, _ in told], "terms": [json.dumps(terms, ensure_ascii=False) for _, terms in told]})
+@F.arrow_udf(T.StructType([T.StructField("translation", T.StringType()), T.StructField("terms", T.StringType())]))
+def _single(replies: pa.Array) -> pa.Array:
+    def told(reply: str | None) -> dict:
+        text, terms = parse_reply(reply or "")
+        return {"translation": text, "terms": json.dumps(terms, ensure_ascii=False)}
+
+    return in_slices(lambda part: [told(r) for r in part], _SINGLE, replies)
 
 
 def _formulas(entries: Column) -> Column:
@@ -152,7 +156,7 @@ def _prompted(rows: DataFrame, prompts: DataFrame | None, single: Column, words:
         rows = rows.withColumns({"_summary": F.lit(""), "_glossary": F.lit("")})
     else:
         told = prompts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("summary").alias("_summary"), F.col("glossary").alias("_glossary"))
-        rows = rows.join(told, "doc_id", "left")
+        rows = rows.join(large(told), "doc_id", "left")
     given = [F.coalesce(c, F.lit("")) for c in ("_summary", "_glossary")]
     system = F.when(single, system_prompt(*given, cell=cell, words=words)).otherwise(system_prompt(*given, group=True, cell=cell, words=words))
     return rows.withColumn("system", system).drop("_summary", "_glossary")
@@ -230,7 +234,7 @@ def ask_cells(cells: DataFrame, prompts: DataFrame | None, backend: Callable[[],
     said = F.trim(restore(_single("reply")["translation"], "part.entries"))
     told = answers.select("doc_id", "text", said.alias("_said")).where((F.col("_said") != "") & (F.col("_said") != SKIP)).withColumnRenamed("doc_id", "_doc")
     met = (F.col("doc_id").cast("string").eqNullSafe(F.col("_doc"))) & (F.col("text") == F.col("_text"))
-    both = marked.join(told.withColumnRenamed("text", "_text"), met, "left")
+    both = marked.join(large(told.withColumnRenamed("text", "_text")), met, "left")
     return both.withColumn("translation", F.coalesce("_said", "text")).drop("_send", "_doc", "_text", "_said")
 
 
