@@ -173,23 +173,23 @@ def translate_units(units: DataFrame, glossary: DataFrame | None, backend: Calla
 
 def translate_cells(cells: DataFrame, backend: Callable[[], TranslatorBackend]) -> DataFrame:
     """Table cells (doc_id, table_idx, r, c, text) with translation: only cells that hold English are sent."""
-    marked = cells.withColumn("send", X.is_cell_translatable(F.col("text")))
+    marked = cells.withColumn("send", F.coalesce(X.is_cell_translatable(F.col("text")), F.lit(False)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()
         model.open()
         try:
             for batch in batches:
-                held = [protect_text(t) for t in batch["text"]]
-                said = [restore_text(parse_reply(r)[0], e) for r, (_, e) in zip(model.translate([t for t, _ in held], {}, cell=True), held)]
-                batch["translation"] = [t if s is None or s.strip() == SKIP else s for s, t in zip(said, batch["text"])]
-                yield batch
+                sent, texts = batch.pop("send"), batch["text"].copy()
+                held = [protect_text(t) for t in texts[sent]]
+                said = [restore_text(parse_reply(r)[0], e) for r, (_, e) in zip(model.translate([t for t, _ in held], {}, cell=True), held)] if held else []
+                texts[sent] = [t if s is None or s.strip() == SKIP else s for s, t in zip(said, texts[sent])]
+                yield batch.assign(translation=texts)
         finally:
             model.close()
 
     schema = ", ".join(f"{n} {t}" for n, t in [*cells.dtypes, ("translation", "string")])
-    sent = marked.where("send").drop("send").mapInPandas(run, schema)
-    return sent.unionByName(marked.where("not send").drop("send").withColumn("translation", F.col("text")))
+    return marked.mapInPandas(run, schema)
 
 
 def table_cells(tables: DataFrame) -> DataFrame:
@@ -204,19 +204,19 @@ def translate_tables(tables: DataFrame, backend: Callable[[], TranslatorBackend]
     backend or by cells, which gives cells (doc_id, text, ...) a translation (see requests.ask_cells).
 
     Separator rows and lines that are no rows stay as they are, bars in cells are escaped again. Cells are sent from any
-    table; rows are put together again by one aggregate a table.
+    table; rows are put together again by one aggregate a row and one a table, and no line meets its cells in a join.
     """
-    lines = tables.select("doc_id", "block_idx", F.posexplode(F.split("table_md", "\n")).alias("r", "line"))
-    every = table_cells(tables)
-    separators = every.groupBy("doc_id", "block_idx", "r").agg(is_separator_rows().alias("separator"))
-    sent = every.join(separators.where("not separator").drop("separator"), ["doc_id", "block_idx", "r"])
+    key = ["doc_id", "block_idx"]
+    lines = spread(tables.select(*key, "table_md"), *key).select(*key, F.posexplode(F.split("table_md", "\n")).alias("r", "line")).withColumn("cells", split_cells("line"))
+    is_row = (F.size("cells") > 0) & ~F.forall("cells", is_separator)
+    sent = lines.where(is_row).select(*key, "r", F.posexplode("cells").alias("c", "text"))
     told = cells(sent) if cells else translate_cells(sent, backend)
     escaped = F.replace("translation", F.lit("|"), F.lit("\\|"))
     ordered = F.array_sort(F.collect_list(F.struct("c", escaped.alias("t"))))
-    rows = told.groupBy("doc_id", "block_idx", "r").agg(F.concat(F.lit("| "), F.array_join(F.transform(ordered, lambda x: x["t"]), " | "), F.lit(" |")).alias("said"))
-    both = lines.join(rows, ["doc_id", "block_idx", "r"], "left").select("doc_id", "block_idx", "r", F.coalesce("said", "line").alias("line"))
+    rows = told.groupBy(*key, "r").agg(F.concat(F.lit("| "), F.array_join(F.transform(ordered, lambda x: x["t"]), " | "), F.lit(" |")).alias("line"))
+    both = rows.unionByName(lines.where(~is_row).select(*key, "r", "line"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n")
-    return tables.join(both.groupBy("doc_id", "block_idx").agg(whole.alias("table_zh")), ["doc_id", "block_idx"], "left")
+    return tables.join(large(both.groupBy(*key).agg(whole.alias("table_zh"))), key, "left")
 
 
 def table_rows(tables: DataFrame) -> DataFrame:
@@ -227,9 +227,9 @@ def table_rows(tables: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_idx", "r", split_cells("line").alias("cells")).where(F.size("cells") > 0)
 
 
-def is_separator_rows() -> Column:
-    """Over the cells of a row: whether all are dashes."""
-    return F.bool_and(F.trim("text").rlike("^:?-{3,}:?$"))
+def is_separator(cell: Column) -> Column:
+    """Whether a cell is dashes, as all cells of a separator row are."""
+    return F.trim(cell).rlike("^:?-{3,}:?$")
 
 
 def table_counts(tables: DataFrame) -> DataFrame:
