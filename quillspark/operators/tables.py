@@ -131,8 +131,8 @@ def span_grid(cells: DataFrame, *keys: str) -> DataFrame:
     own = list(keys or ("table_id",))
     span = lambda c: F.greatest(F.lit(1), F.least(F.coalesce(F.col(c).cast("int"), F.lit(1)), F.lit(MOST_SPAN))).alias(c)
     placed = placed_cells(cells.where("r is not null").select(*own, F.col("r").cast("int").alias("r"), "ord", "text", span("colspan"), span("rowspan")), *own)
-    size = placed.groupBy(*own).agg(F.max("r").alias("_last"), F.max(F.col("c") + F.col("colspan")).alias("_width"))
-    told = placed.join(size, own)
+    table = Window.partitionBy(*own)  # and no join with an aggregate, for which all cells would be placed again
+    told = placed.dropna(subset=own).select("*", F.max("r").over(table).alias("_last"), F.max(F.col("c") + F.col("colspan")).over(table).alias("_width"))
     down = F.explode(F.sequence(F.col("r"), F.least(F.col("_last"), F.col("r") + F.col("rowspan") - 1)))
     across = told.select(*own, "_width", F.struct("r", "ord").alias("from"), "text", "c", "colspan", down.alias("r"))
     filled = across.select(*own, "_width", "from", "text", "r", F.explode(F.sequence(F.col("c"), F.col("c") + F.col("colspan") - 1)).alias("c"))
