@@ -144,9 +144,10 @@ def needs_repair(translations: DataFrame, glossary: DataFrame, mode: str = "inte
 
     mode "intended": a term to be kept in English is in the text but not in the translation; "as_coded": it is in the
     translation. Another term is in the translation while its Chinese is not. A document's own terms are sought, all of them in
-    one pass over each text (see automaton); a key that the glossary holds twice counts with both of its translations.
+    one look at each text (see automaton); a key that the glossary holds twice counts with both of its translations.
+    glossary: doc_id, en_key, zh; or doc_id and entries, an array of structs of en_key and zh.
     """
-    from quillspark.functions.text import WRONG_VARIANTS, awkward, has_text, residue
+    from quillspark.functions.text import WRONG_VARIANTS, awkward, has_text, residue, suspect
     from quillspark.operators.automaton import Automaton, by_glossary
 
     if mode not in ("intended", "as_coded"):
@@ -155,7 +156,9 @@ def needs_repair(translations: DataFrame, glossary: DataFrame, mode: str = "inte
     wrong = F.lit(False)
     for phrase in WRONG_VARIANTS:
         wrong = wrong | F.col("translation").contains(phrase)
-    plain = said.select("doc_id", "block_idx", F.when(residue(F.col("translation")), "residue").when(awkward(F.col("translation")), "awkward").when(wrong, "variant").alias("rule")).where("rule is not null")
+    # suspect says whether there is a rule: a test of the rule itself would make the translation anew for each of its parts
+    rule = F.when(residue(F.col("translation")), "residue").when(awkward(F.col("translation")), "awkward").when(wrong, "variant").alias("rule")
+    plain = translations.where(suspect(F.col("translation"))).select("doc_id", "block_idx", rule)
 
     def broken(automaton: Automaton, terms: list[tuple], values: list[str | None]) -> bool:
         text, translation = values
@@ -165,9 +168,10 @@ def needs_repair(translations: DataFrame, glossary: DataFrame, mode: str = "inte
             zh = terms[i][1]
             if zh == KEEP and mode == "as_coded" or zh not in (KEEP, "", None) and zh not in translation:
                 return True
-        if mode == "as_coded" or all(zh != KEEP for _, zh in terms):
+        if mode == "as_coded" or text is None or all(zh != KEEP for _, zh in terms):
             return False
         return any(terms[i][1] == KEEP and i not in used for i in automaton.found(text))
 
-    by_term = by_glossary(said, glossary, broken, ["text", "translation"], ["en_key", "zh"]).select("doc_id", "block_idx", F.lit("term").alias("rule"))
+    other = F.when(F.col("text") != F.col("translation"), F.col("text")).alias("text")  # an equal text lacks nothing: not sent twice
+    by_term = by_glossary(said.select("doc_id", "block_idx", other, "translation"), glossary, broken, ["text", "translation"], ["en_key", "zh"], translations).select("doc_id", "block_idx", F.lit("term").alias("rule"))
     return plain.unionByName(by_term).groupBy("doc_id", "block_idx").agg(F.min("rule").alias("rule"))

@@ -106,3 +106,27 @@ def test_what_is_inside_by_index_and_by_walk():
             walked = [n for n in node._walked() if n is not node and tag in (None, n.tag) and (not classes or not n.classes.isdisjoint(classes))]
             assert list(node.all(*classes, tag=tag)) == walked
         assert list(node.walk()) == list(node._walked())
+
+
+def test_terms_of_a_document_pass_together(spark, tmp_path, monkeypatch):
+    """A glossary's terms are gathered before they meet texts; a term that is a word needs no automaton; rows of terms and gathered ones say the same."""
+    from quillspark.functions import text as X
+    from quillspark.operators import automaton, glossary
+
+    text = "concat('Alphabet gammaray42\\nτέλειος_9 ', repeat('deltoid', int(id)), ' the (块) MATH_ MATH_1> epsilon') as text"
+    spark.range(0, 20, 1, 1).selectExpr("id as doc_id", text, "'en' as lang").write.parquet(str(tmp_path / "documents.parquet"))
+    made = registry.QUERIES["needs_repair_by_glossary"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Aggregate [doc_id" in plan and "en_key#" not in plan.split("MapInArrow")[0]
+    monkeypatch.setattr(automaton, "ENTRIES", 2)
+    said = registry.paragraphs(spark, str(tmp_path)).select("doc_id", "block_idx", "text", F.expr("replace(text, 'a', 'A 的')").alias("translation"))
+    rows = said.select("doc_id", F.explode(F.split("text", " ")).alias("en_key")).distinct().withColumn("zh", F.when(F.length("en_key") % 2 == 0, "<KEEP>").otherwise("那"))
+    gathered = rows.groupBy("doc_id").agg(F.collect_list(F.struct("en_key", "zh")).alias("entries")).unionByName(spark.sql("select 99L as doc_id, cast(array() as array<struct<en_key string, zh string>>) as entries"))
+    want = sorted(map(tuple, glossary.needs_repair(said, rows).collect()))
+    assert want and sorted(map(tuple, glossary.needs_repair(said, gathered).collect())) == want
+    words = automaton.Automaton(["alpha", "be_ta", "Σ"])
+    assert words.machine is None and set(words.found("Alpha-be_ta alphaς ς")) == {0, 1, 2}
+    texts = ["", "x", "(块)", "块", "MATH_ 1", "MATH_1>", "⟦MATH_1⟧", "⟦REF_X2⟧", "⟦REF_X⟧", "<math", "< math", "锐利边界", "锐利", "以...机制运行", "以abc机制运行", "一副产物", "探测分析", "探针", None]
+    column = F.col("t")
+    rule = X.residue(column) | X.awkward(column) | F.greatest(*(column.contains(p) for p in X.WRONG_VARIANTS))
+    assert all(r[0] == r[1] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.suspect(column), rule).collect())
