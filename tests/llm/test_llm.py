@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -739,3 +740,22 @@ def test_texts_longer_than_a_slice(spark):
     assert groups == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
     scores = {r["doc_id"]: r["score"] for r in toxicity.classify(data, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).collect()}
     assert set(scores) == {0, 1, 2, 3, 4} and all(0 <= s <= 1 for s in scores.values())
+
+
+def test_words_are_encoded_as_their_texts_are():
+    """Ids by words are the library's of the whole texts, and what is encoded are bodies and tails, not every word that they make."""
+    spec, other = (open(path, encoding="utf-8").read() for path in (queries.WORD_BPE, queries.BYTE_BPE))
+    encoder = chunks.LibraryEncoder(spec)
+    assert encoder.by_words and not chunks.LibraryEncoder(other).by_words
+    rng = random.Random(11)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", "　", "the", "Word", "ÉCOLE", "straße", "µ", "ª", "İ", "ı", "į", "Į", "ŉ", "Å", "Å", "́", "ΣΑΣ", "ﬁ", "探针", "12", "²", "_", "'s", "'", "'ll", "&&&", "!", "...", "(", "≠", "<|endoftext|>", "<|startoftext|>", "<|end", "👍", "x1", "\0"]
+    texts = ["", " ", "\n\n", "a"] + ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    ids, at = chunks.encoded(pa.array(texts, pa.large_string()), encoder, encoder.specials)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for few in ([], [""], [" \n"]):
+        ids, at = chunks.encoded(pa.array(few, pa.large_string()), encoder, encoder.specials)
+        assert not len(ids) and at.tolist() == [0] * (len(few) + 1)
+    fresh = chunks.LibraryEncoder(spec)
+    chunks.encoded(pa.array(["Some some. SOME, some!!! Some?\nsome; some..."], pa.large_string()), fresh, fresh.specials)
+    assert list(fresh.known) == ["some"]
